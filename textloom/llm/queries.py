@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_mil, secret_scan, url_filter
+from . import media_columns, neighbours, packing, quality_mil, secret_scan, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +16,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+#: The vocabulary file of op7; a parameter of the operator.
+VOCABULARY = os.environ.get("TEXTLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.media_report(read(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(read(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -27,7 +45,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_media_columns": op4_media_columns,
     "op6_url_filters": op6_url_filters,
+    "op7_packing": op7_packing,
     "op9_secret_scans": op9_secret_scans,
     "op10_quality_classifier": op10_quality_classifier,
 }
