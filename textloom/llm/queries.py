@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_columns, neighbours, packing, quality_mil, secret_scan, url_filter
+from . import media_columns, neighbours, packing, quality_mil, secret_scan, suffix_dedup, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_report(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op4_media_columns": op4_media_columns,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_quality_classifier": op10_quality_classifier,
 }
