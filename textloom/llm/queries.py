@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_columns, neighbours, packing, quality_mil, secret_scan, suffix_dedup, url_filter
+from . import media_columns, neighbours, ngram_join, packing, quality_mil, secret_scan, suffix_dedup, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 VOCABULARY = os.environ.get("TEXTLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.shingle_components(read(spark, sf_dir, "documents"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -49,6 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_media_columns": op4_media_columns,
     "op6_url_filters": op6_url_filters,
