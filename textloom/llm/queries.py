@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_columns, neighbours, ngram_join, packing, quality_mil, secret_scan, suffix_dedup, url_filter
+from . import kd_shards, media_columns, neighbours, ngram_join, packing, pfair_mix, quality_mil, secret_scan, suffix_dedup, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 VOCABULARY = os.environ.get("TEXTLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard_report(read(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.shingle_components(read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mixing_report(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -53,9 +61,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_kd_sharding": op1_kd_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_media_columns": op4_media_columns,
+    "op5_pfair_mixing": op5_pfair_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
