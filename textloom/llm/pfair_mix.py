@@ -93,8 +93,8 @@ def make_turns(blocks: dict[str, int], weights: dict[str, float]) -> list[Turn]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, rest: float | None = None, block_rows: int = 32, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with `block` (of its source) and `position` (long, from 0; the order of the mix).
+def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, rest: float | None = None, block_rows: int = 32, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """`__row` (a row of docs as a struct), its block and its position.
 
     weights: target weights of sources; without them a source weighs its number of rows to the power of temperature.
     Sources not in weights, and those beyond MAX_SOURCES, are one stream, which weighs `rest`, or as much as its rows to that power.
@@ -113,9 +113,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     turns = make_turns({s: math.ceil(n / block_rows) for s, n in counts.items()}, {s: max(w, 1e-9) for s, w in own.items()})
 
     buckets = max(1, math.ceil(total / BUCKET_ROWS))
-    keyed = docs.withColumns({"__stream": stream, "__hash": F.xxhash64(id_col, text_col)})
+    # The row travels as a struct, so that no column of its own can clash.
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), stream.alias("__stream"), F.xxhash64(id_col, text_col).alias("__hash"))
     keyed = keyed.withColumn("__bucket", F.pmod(F.xxhash64("__hash"), F.lit(buckets)))
-    ranked = slots(keyed, "__stream", "__bucket", ["__hash", id_col], "__rank")
+    ranked = slots(keyed, "__stream", "__bucket", ["__hash"], "__rank")
     ranked = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows))
     records = [{"s": t.source, "start": t.start, "end": t.end, "base": t.base, "period": t.period, "slots": t.slots} for t in turns]
     table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(records)), "array<struct<s:string,start:bigint,end:bigint,base:bigint,period:bigint,slots:array<int>>>")))
@@ -125,13 +126,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     many, number = F.size("__slots"), F.col("block") - F.col("__start")
     slot = F.col("__base") + F.floor(number / many) * F.col("__period") + F.element_at("__slots", (number % many + 1).cast("int"))
     # Slots are gapless; a source's last block may be short and leaves a gap behind it.
-    out = joined.withColumn("position", slot * block_rows + F.col("__rank") % block_rows)
-    return out.select(*docs.columns, "block", "position")
+    return joined.select("__row", "block", (slot * block_rows + F.col("__rank") % block_rows).alias("position"))
 
 
-def in_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of mixed, with the columns of docs, so that files and rows in them follow the mix's order."""
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, **kw) -> DataFrame:
+    """The rows of docs with `block` (of its source) and `position` (long, from 0; the order of the mix), which replace
+    columns of these names. For the arguments see scheduled()."""
+    kept = [F.col(f"__row.`{c}`") for c in docs.columns if c not in ("block", "position")]
+    return scheduled(docs, weights, **kw).select(*kept, "block", "position")
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, **kw) -> DataFrame:
+    """The rows and columns of docs, dealt to partitions by the mix's order and sorted by it, so that files follow it."""
+    out = scheduled(docs, weights, **kw)
+    return out.repartitionByRange("position").sortWithinPartitions("position").select("__row.*")
 
 
 def mixing_report(docs: DataFrame, **kw) -> DataFrame:
