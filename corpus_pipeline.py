@@ -1,19 +1,71 @@
-"""The corpus pipeline: STAGES, and run(), which applies them to documents."""
+"""The corpus pipeline: STAGES, and run(), which applies them to documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import ngram_join, packing, pfair_mix, quality_mil, queries, secret_scan
+from textloom.llm.common import scratch
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects (a score below 0.5) go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_mil.train(docs, labels.where(~quality_mil.held_out("doc_id")))
+    scored = quality_mil.score(docs, model, score_col="__score")
+    return scored.where("__score >= 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; rows of one id count as one document."""
+    classes = ngram_join.shingle_components(docs)
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if twice.limit(1).count():
+        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        return named.unionByName(kept.where("doc_id is null"))
+    return kept
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mark; every document stays."""
+    return secret_scan.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mix."""
+    return pfair_mix.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packing_report(docs, queries.VOCABULARY)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: Stages learn and solve, which SQL can't express; tests hold run() against a brute-force version.
+#: Stages learn and solve, which SQL can't express; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents, each stage's rows written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
