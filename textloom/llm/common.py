@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,9 +43,14 @@ def frozen(df: DataFrame) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Lets Spark's cleaner delete shuffle and checkpoint files that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete shuffle and checkpoint files that nothing refers to any more.
+
+    References from Python, the plan and its shuffles go one after the other, a collection each.
+    """
+    for _ in range(6):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

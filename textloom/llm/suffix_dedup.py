@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import frozen, release
 
 #: Bytes of text whose anchors are held at a time.
-SEGMENT = 48 << 20
+SEGMENT = 16 << 20
+#: Bytes of text that are hashed at a time; this takes some eighty times the memory.
+PART = 1 << 20
 #: Contexts in a task of step 3, about.
 TASK_ROWS = 120_000
 SHALLOW = 16
@@ -82,12 +84,15 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return np.maximum(out ^ (out >> np.uint64(32)), 1)
 
 
-def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, position in the joined texts, the joined texts) of the anchors of texts."""
+def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, position in the joined texts, the joined texts, the least hash of each window) of the anchors of texts.
+
+    A window that leaves its text has 0 for its least hash.
+    """
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none.view(np.uint64), none, none, data
+        return none.view(np.uint64), none, none, data, none.view(np.uint64)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     h = gram_hashes(data, k)
@@ -100,7 +105,18 @@ def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.nda
     least = np.where(np.cumsum(crossing[: len(least)]) > 0, np.uint64(0), least)
     side = np.zeros(w - 1, np.uint64)
     at = np.flatnonzero(_reduce(np.concatenate([side, least, side]), w, np.maximum) == h)
-    return h[at], np.searchsorted(ends, at, side="right"), at, data
+    return h[at], np.searchsorted(ends, at, side="right"), at, data, least
+
+
+def reach_of(h: np.ndarray, at: np.ndarray, least: np.ndarray, w: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right): the bytes before and from each anchor that the windows whose anchor it is take up.
+
+    These are the same in each text that has such a window, as a window's bytes alone decide its anchor.
+    """
+    side = np.zeros(w - 1, np.uint64)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([side, least, side]), w)[at]  # windows that start w - 1 before to 0 before
+    own = around == h[:, None]
+    return w - 1 - own.argmax(axis=1), length - own[:, ::-1].argmax(axis=1)
 
 
 class BlindTrie:
@@ -252,7 +268,7 @@ def _batches(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
 def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_hash and `spans` (sorted, disjoint, not touching: start, end) of the rows of docs that lose bytes.
 
-    A row is known by its id and xxhash64 of its text.
+    A row is known by its id and a hash of its text.
     """
     if length < 16:
         raise ValueError("length must be at least 16 bytes")
@@ -262,7 +278,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     rows = rows.where(F.octet_length("text") >= length)
 
     # Copies: narrow rows, a digest's smallest id found with map-side sums.
-    digests = rows.select("id", F.xxhash64("text").alias("text_hash"), F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("size"))
+    digests = rows.select("id", F.hash("text").alias("text_hash"), F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("size"))
     first = digests.groupBy("digest", "size").agg(F.min("id").alias("first"))
     copies = frozen(digests.join(first, ["digest", "size"]).where("id > first").select("id", "text_hash", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
 
@@ -278,8 +294,8 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
                     keep.setdefault(hashlib.blake2b(texts[i], digest_size=16).digest(), i)
                 own = np.array(sorted(keep.values()), dtype=np.int64)
                 hs, ds = [], []
-                for part in _groups([len(texts[i]) for i in own], 4 << 20):
-                    h, t, _, _ = anchors([texts[i] for i in own[part]], length, k)
+                for part in _groups([len(texts[i]) for i in own], PART):
+                    h, t, *_ = anchors([texts[i] for i in own[part]], length, k)
                     hs.append(h.view(np.int64))
                     ds.append(ids[own[part]][t])
                 h, d = np.concatenate(hs), np.concatenate(ds)
@@ -302,17 +318,18 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     least = shared(False)
     by = Window.partitionBy("h")
     across = least.withColumns({"a": F.min("id").over(by), "b": F.max("id").over(by)}).where("a < b").select("id", "h")
-    wanted = across.unionByName(shared(True).select("id", "h")).join(copies.select("id"), "id", "left_anti")
-    wanted = frozen(wanted.groupBy("id").agg(F.collect_set("h").alias("hs")))
+    settled = copies.groupBy("id").agg(F.collect_set("text_hash").alias("settled"))
+    wanted = across.unionByName(shared(True).select("id", "h")).groupBy("id").agg(F.collect_set("h").alias("hs"))
+    wanted = frozen(wanted.join(settled, "id", "left"))
     total = wanted.agg(F.sum(F.size("hs"))).first()[0] or 0
     release(docs)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _batches(batches, "text", 8 << 20):
+        for table in _batches(batches, "text", 2 * PART):
             ids = table.column("id").to_numpy()
             hashes = table.column("text_hash").to_numpy()
             texts = _bytes(table.column("text").combine_chunks())
-            h, t, at, data = anchors(texts, length, k)
+            h, t, at, data, least_hash = anchors(texts, length, k)
             hs = table.column("hs").combine_chunks()
             many = np.diff(hs.offsets.to_numpy())
             flat, owner = hs.flatten().to_numpy(), np.repeat(np.arange(len(ids)), many)
@@ -325,22 +342,23 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
             pick = np.sort(order[led & (order >= len(flat))] - len(flat))
             if not len(pick):
                 continue
+            left, right = reach_of(h[pick], at[pick], least_hash, reach + 1, length)
             h, t, at = h.view(np.int64)[pick], t[pick], at[pick]
-            ends = np.cumsum([len(x) for x in texts])
-            starts = ends - np.array([len(x) for x in texts])
-            left, right = np.minimum(reach, at - starts[t]), np.minimum(length, ends[t] - at)
-            column = np.arange(-reach, length)
-            where = at[:, None] + column
-            inside = (column >= -left[:, None]) & (column < right[:, None])
-            ctx = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+            column = np.arange(-reach, length, dtype=np.int16)
+            edge = np.zeros(length, dtype=np.uint8)
+            ctx = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge[:reach], data, edge]), reach + length)[at]
+            left, right = left.astype(np.int16), right.astype(np.int16)
+            ctx[(column < -left[:, None]) | (column >= right[:, None])] = 0
             d = ids[t]
             _, cls = equal_rows(ctx, h, left, right)
             least = np.full(cls.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, cls, d)
             # A smaller document of this task has the same context: all windows around the anchor are settled.
             done = least[cls] < d
+            h = (h & 0x7FFFFFFF).astype(np.int32)
             pos = at - starts[t]
-            out = [(d[done], hashes[t][done], pos[done] - left[done], pos[done] + right[done], np.arange(int(done.sum())) * 7919 + d[done], None)]
+            out = [(d[done], hashes[t][done], pos[done] - left[done], pos[done] + right[done], None, None)]
             # Of equal contexts of one document, at different places, each needs its answer and goes on.
             out.append((d[~done], hashes[t][~done], pos[~done], pos[~done], h[~done], (ctx[~done], left[~done], right[~done])))
             for d_, th, a, b, key, own in out:
@@ -350,7 +368,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
                     if own is None:
                         a_, b_, d2, th2 = _joined(d_[s], th[s], a[s], b[s])
                         n = len(d2)
-                        yield pa.RecordBatch.from_arrays([pa.array(d2 * 31 + a_), pa.array(d2), pa.array(th2), pa.array(a_), pa.array(b_), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], NAMES)
+                        yield pa.RecordBatch.from_arrays([pa.array(((d2 * 31 + a_) & 0x7FFFFFFF).astype(np.int32)), pa.array(d2), pa.array(th2), pa.array(a_), pa.array(b_), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], NAMES)
                     else:
                         flat = own[0][s].tobytes()
                         width = own[0].shape[1]
@@ -389,12 +407,14 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
             s = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (d, th, a, b)], SPANS)
 
-    again = rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, "id")
-    made = again.select("id", "text_hash", "text", "hs").mapInArrow(contexts, "h long, id long, text_hash long, start long, end long, ctx binary, left int, right int")
+    again = rows.withColumn("text_hash", F.hash("text")).join(wanted, "id").where("settled is null or not array_contains(settled, text_hash)")
+    made = again.select("id", "text_hash", "text", "hs").mapInArrow(contexts, "h int, id long, text_hash int, start long, end long, ctx binary, left int, right int")
     tasks = max(8, -(-total // TASK_ROWS))
-    spans = made.repartition(tasks, "h").mapInArrow(settle, "id long, text_hash long, start long, end long")
+    spans = made.repartition(tasks, "h").mapInArrow(settle, "id long, text_hash int, start long, end long")
     # A document's spans: at most as many as it has bytes.
     joined = spans.unionByName(copies).groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    joined = frozen(joined)
+    release(docs)
     return joined
 
 
@@ -431,7 +451,7 @@ def _joined(d: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.ndarray) -> tupl
 def cut_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans and `kept`, the remaining bytes, for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.hash("text"))
     both = rows.join(spans, ["id", "text_hash"], "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
