@@ -68,8 +68,10 @@ def tag_words(words: list[str]) -> list[tuple[str, str]]:
     for w in words:
         low = w.lower()
         before = out[-1][1] if out else ""
-        if not any(c.isalpha() for c in low) or low.startswith("<"):
-            tag = "CD" if low.isdigit() else "SYM"
+        if any(c.isdigit() for c in low):
+            tag = "CD"
+        elif not any(c.isalpha() for c in low) or low.startswith("<"):
+            tag = "SYM"
         elif low in _KNOWN:
             tag = "POS" if low == "'s" and before.startswith("N") else _KNOWN[low]
         elif low in IRREGULAR["v"]:
