@@ -33,9 +33,8 @@ from .common import frozen, release
 
 SLOTS = 1 << 20
 BLOCKS = 64
-BITMAP = 8  # longs
 #: Bytes of text whose shingles are held at a time.
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 #: Partners of one document that are compared with it in one task.
 SALT_ROWS = 2000
 
@@ -100,8 +99,16 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of tokens with each of 64 * BITMAP remainders. Two bitmaps differ in no more bits than their sets in tokens."""
-    bits = np.bincount((tokens >> np.uint64(20)) % np.uint64(64 * BITMAP), minlength=64 * BITMAP) & 1
+    """Parities of the numbers of tokens with each remainder by 64, 128, 256 ...: for up to 256 tokens the first of these
+    not below four times the size, for up to 1024 not below twice, and for more not below it (nor below 2048).
+
+    Two bitmaps of one length differ in no more bits than their sets in tokens; the halves of a bitmap, xor-ed, are the
+    bitmap of half the length.
+    """
+    n = len(tokens)
+    n = 4 * n if n <= 256 else max(1024, 2 * n) if n <= 1024 else max(2048, n)
+    size = 64 << max(0, (n - 1).bit_length() - 6)
+    bits = np.bincount((tokens >> np.uint64(20)) & np.uint64(size - 1), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -125,28 +132,31 @@ def shingle_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     classes = _slot_classes(surveyed)
     # One node per set. rep: the smallest id that has it; rows without an id are no nodes.
     known = surveyed.where("block is null")
-    maps = [F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)]
-    nodes = frozen(known.where("n > 0 and id is not null").groupBy("sid", "n").agg(F.min("id").alias("rep"), *maps))
+    nodes = frozen(known.where("n > 0 and id is not null").groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("map").alias("map")))
     regions = frozen(_regions(rows, classes, n, percent))
     release(docs)
 
-    # The regions' pivot documents: one of the smallest sets' ids, the same one for regions of the same documents.
-    pivot = F.min("sid").over(Window.partitionBy("h"))
+    # A region's pivot document has the largest share of shingles that many sets have: of a large group of edited
+    # copies the text that they come from, near all of them.
+    pivot = F.min(F.struct(-F.col("share"), F.col("sid"))).over(Window.partitionBy("h"))["sid"]
     stars = regions.withColumn("a", pivot).where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
-    links = frozen(_verified(rows, _possible(stars, nodes, percent), nodes, n, percent))
+    # One pivot for each member suffices here: what it leaves unconnected is compared below.
+    stars = _possible(stars, nodes, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = frozen(_verified(rows, stars, nodes, n, percent))
     release(docs)
     labels = components(links)
 
     # Members of different components of a region.
     joined = regions.join(labels, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
     w = Window.partitionBy("h")
-    mixed = joined.withColumns({"lo": F.min("part").over(w), "hi": F.max("part").over(w)}).where("lo <> hi").select("h", "sid", "n", "core", "part")
-    mixed = mixed.join(nodes.drop("n", "rep"), "sid")
+    mixed = joined.withColumns({"lo": F.min("part").over(w), "hi": F.max("part").over(w)}).where("lo <> hi").select("h", "sid", "n", "place", "part")
+    mixed = mixed.join(nodes.select("sid", "map"), "sid")
     one, two = (mixed.select([F.col(c).alias(f"{c}{i}") for c in mixed.columns]) for i in (1, 2))
     rule = (F.col("h1") == F.col("h2")) & (F.col("sid1") < F.col("sid2")) & (F.col("part1") != F.col("part2")) & may_link(F.col("n1"), F.col("n2"), percent)
-    # The smaller set has a common shingle among its first ones, the core.
-    rule = rule & ((F.col("core1") & (F.col("n1") <= F.col("n2"))) | (F.col("core2") & (F.col("n2") <= F.col("n1"))))
-    rule = rule & _near([F.col(f"b{i}1") for i in range(BITMAP)], [F.col(f"b{i}2") for i in range(BITMAP)], F.col("n1") + F.col("n2"), percent)
+    # All that a pair has in common stands no earlier than its first common shingle.
+    common = F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent))
+    rule = rule & (F.col("place1") <= F.col("n1") - common) & (F.col("place2") <= F.col("n2") - common)
+    rule = rule & _near(F.col("map1"), F.col("map2"), F.col("n1") + F.col("n2"), percent)
     others = one.join(two, rule).select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
     more = frozen(_verified(rows, others, nodes, n, percent))
     release(docs)
@@ -162,26 +172,27 @@ def shingle_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
 
 def _survey(rows: DataFrame, n: int) -> DataFrame:
     """A row per document (id, sid, n, bitmap), and per task and block of slots the counts of its sets' shingles."""
-    names = ["id", "sid", "n", *(f"b{i}" for i in range(BITMAP)), "block", "counts"]
+    names = ["id", "sid", "n", "map", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(SLOTS, np.int64), set()
         for part, texts in _texts(batches):
             tokens, cut = shingle_sets(texts, n)
-            sids, bits, new = np.empty(len(texts), np.int64), np.zeros((len(texts), BITMAP), np.int64), np.zeros(len(texts), bool)
+            sids, maps, new = np.empty(len(texts), np.int64), [], np.zeros(len(texts), bool)
             for i in range(len(texts)):
                 own = tokens[cut[i] : cut[i + 1]]
-                sids[i], bits[i] = set_id(own), bitmap(own)
+                sids[i] = set_id(own)
+                maps.append(bitmap(own))
                 new[i] = sids[i] not in seen
                 seen.add(sids[i])
             counts += np.bincount(tokens[np.repeat(new, np.diff(cut))] & np.uint64(SLOTS - 1), minlength=SLOTS)
             none = [pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sids), pa.array(np.diff(cut)), *(pa.array(bits[:, i].copy()) for i in range(BITMAP)), *none], names)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sids), pa.array(np.diff(cut)), pa.array(maps, pa.list_(pa.int64())), *none], names)
         if seen:
             blocks = [x.tobytes() for x in counts.reshape(BLOCKS, -1)]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(BLOCKS, pa.int64())] * (3 + BITMAP), pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(blocks, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(BLOCKS, pa.int64())] * 3, pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(blocks, pa.binary())], names)
 
-    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names[:-2]) + ", block int, counts binary")
+    return rows.mapInArrow(run, "id long, sid long, n long, map array<long>, block int, counts binary")
 
 
 def _slot_classes(surveyed: DataFrame) -> np.ndarray:
@@ -206,7 +217,11 @@ def _slot_classes(surveyed: DataFrame) -> np.ndarray:
 
 
 def _regions(rows: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(h, sid, n, core): each set in the regions of its first shingles, where there are other sets too."""
+    """(h, sid, n, place, share): each set in the regions of its first shingles, where there are other sets too.
+
+    place: the shingle's number in the set's order, from 0.
+    share: thousandths of the set's shingles that are frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -219,36 +234,44 @@ def _regions(rows: DataFrame, classes: np.ndarray, n: int, percent: int) -> Data
                 new[i] &= sids[i] not in seen
                 seen.add(int(sids[i]))
             owner = np.repeat(np.arange(len(texts)), sizes)
-            order = np.lexsort((tokens, classes[tokens & np.uint64(SLOTS - 1)], owner))
+            kind = classes[tokens & np.uint64(SLOTS - 1)]
+            share = 1000 * np.bincount(owner, weights=kind > 0, minlength=len(texts)) // np.maximum(sizes, 1)
+            order = np.lexsort((tokens, kind, owner))
             place = np.arange(len(tokens)) - cut[:-1][owner]
-            # A linked set has ceil(percent / 100 * size) of these shingles at least; an equal or larger one 2p / (1 + p) of them.
+            # A linked set has ceil(percent / 100 * size) of these shingles at least.
             window = sizes - -(-percent * sizes // 100) + 1
-            core = sizes - -(-2 * percent * sizes // (100 + percent)) + 1
             pick = new[owner] & (place < window[owner])
             h, own = tokens[order][pick].view(np.int64), owner[pick]
             for i in range(0, len(h), 200_000):
                 s = slice(i, i + 200_000)
                 o = own[s]
-                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(sids[o]), pa.array(sizes[o].astype(np.int32)), pa.array(place[pick][s] < core[o])], ["h", "sid", "n", "core"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(sids[o]), pa.array(sizes[o].astype(np.int32)), pa.array(place[pick][s].astype(np.int32)), pa.array(share[o].astype(np.int16))], ["h", "sid", "n", "place", "share"])
 
-    every = rows.where("id is not null").select("text").mapInArrow(run, "h long, sid long, n int, core boolean")
+    every = rows.where("id is not null").select("text").mapInArrow(run, "h long, sid long, n int, place int, share short")
     w = Window.partitionBy("h")
-    met = every.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w), "any": F.max("core").over(w)})
-    return met.where("lo <> hi and any").groupBy("h", "sid", "n", "core").agg(F.lit(1).alias("one")).drop("one")
+    # Of a linked pair the smaller set has the region's shingle among its first 1 - 2p / (1 + p).
+    core = F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    met = every.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w), "any": F.max(core).over(w)})
+    return met.where("lo <> hi and any").groupBy("h", "sid", "n", "place", "share").agg(F.lit(1).alias("one")).drop("one")
 
 
-def _near(a: list[Column], b: list[Column], sizes: Column, percent: int) -> Column:
+def _near(a: Column, b: Column, sizes: Column, percent: int) -> Column:
     """Whether two bitmaps allow a link: |a ^ b| is at most (100 - percent) / (100 + percent) of |a| + |b|."""
-    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
-    return differ * (100 + percent) <= sizes * (100 - percent)
+    least = F.least(F.size(a), F.size(b))
+
+    def folded(x: Column) -> Column:
+        halves = F.zip_with(F.slice(x, F.lit(1), least), F.slice(x, least + 1, least), lambda y, z: y.bitwiseXOR(z))
+        return F.when(F.size(x) > least, halves).otherwise(x)
+
+    differ = F.aggregate(F.zip_with(folded(a), folded(b), lambda y, z: F.bit_count(y.bitwiseXOR(z))), F.lit(0), lambda y, z: y + z)
+    return (F.greatest(F.size(a), F.size(b)) > 2 * least) | (differ * (100 + percent) <= sizes * (100 - percent))
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that sizes and bitmaps don't rule out."""
-    one, two = (nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), *(F.col(f"b{i}").alias(f"{x}{i}") for i in range(BITMAP))) for x in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b")
-    rule = _near([F.col(f"a{i}") for i in range(BITMAP)], [F.col(f"b{i}") for i in range(BITMAP)], F.col("na") + F.col("nb"), percent)
-    return both.where(may_link(F.col("na"), F.col("nb"), percent) & rule).select("a", "b")
+    one, two = (nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}")) for x in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").where(may_link(F.col("na"), F.col("nb"), percent))
+    return both.where(_near(F.col("ma"), F.col("mb"), F.col("na") + F.col("nb"), percent)).select("a", "b")
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
