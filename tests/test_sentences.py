@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from textloom.functions.splitter import Model, words
 from textloom.functions import morphology as M
 from textloom.operators import sentences as S
+from textloom.plans import pipelines
 
 TEXT = "Punkt knows that the periods in Mr. Smith and Johann S. Bach do not mark sentence boundaries.  And sometimes sentences can start with non-capitalized words.  i is a good variable name."
 NESTED = '(How does it deal with this parenthesis?)  "It should be part of the\nprevious sentence." "(And the same with this one.)" (\'And this one!\')\n"(\'(And (this)) \'?)" [(and this. )]'
@@ -46,7 +47,8 @@ def test_learning_does_not_depend_on_partitions(spark, corpus, tmp_path):
     one, many = (S.learn(S.word_table(corpus.repartition(n), "doc", "t")) for n in (1, 7))
     assert one.model() == many.model()
     one.save(str(tmp_path / "m"))
-    assert S.load(spark, str(tmp_path / "m")).model() == one.model()
+    assert S.load(spark, str(tmp_path / "m")).model() == pipelines.load_sentence_model(spark, str(tmp_path / "m")) == one.model()
+    assert pipelines.load_sentence_model(spark, str(tmp_path / "none")) is None
 
 
 def test_native_words_agree_with_the_lexer(spark):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidatorModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexer import lexer
@@ -79,6 +82,15 @@ def learn_sentence_model(rows: DataFrame, settings: dict, text_col: str = "X", l
     return sentences.learn(sentences.word_table(keyed.select("doc", sentences.training_text(F.col("t")).alias("t")), "doc", "t"), least)
 
 
+def load_sentence_model(spark: SparkSession, path: str, max_types: int = sentences.MAX_TYPES) -> Model | None:
+    """A saved model, or None with a warning (texts are then one sentence each) where there is none."""
+    try:
+        return sentences.load(spark, path).model(max_types)
+    except AnalysisException:
+        logging.getLogger(__name__).warning("no sentence model at %s", path)
+        return None
+
+
 def pretrain(corpus: DataFrame, config: dict, *, limit: int | None = None, workers: int = 1, id_col: str = "doc") -> DataFrame:
     """word, vector. corpus: id_col and X (array of sentences), as preprocess() gives."""
     own = config["pretrain"]
@@ -120,7 +132,5 @@ def train(corpus: DataFrame, config: dict, vectors: DataFrame | None = None, *,
     stages = classify.feature_stages(own["features"])
     model = classify.search(fit, own["classifier"], features=stages, folds=folds, scoring=own["scoring"], values=values, seed=own["random_state"])
     said = model.transform(held)
-    from pyspark.ml.functions import vector_to_array
-
     curve = classify.roc_curve(said.withColumn("score", vector_to_array("rawPrediction")[1]))
     return Trained(model, classify.search_report(model), classify.classification_report(said), curve, classify.roc_auc(curve))

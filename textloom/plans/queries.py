@@ -423,6 +423,47 @@ def pos_map(spark, sf_dir):
     return tags.select("tag", morphology.class_of_tag("tag").alias("class"))
 
 
+@query(f"WITH {_SMALL} SELECT doc, string_agg(term, ' ' ORDER BY pos) AS words FROM words GROUP BY doc")
+def json_roundtrip(spark, sf_dir):
+    """Token arrays as JSON lines and back."""
+    lines = _lists(spark, sf_dir).select(F.to_json(F.struct("doc", "words")).alias("line"))
+    back = lines.select(F.from_json("line", "doc bigint, words array<string>").alias("r")).select("r.*")
+    return back.select("doc", F.array_join("words", " ").alias("words"))
+
+
+@query(f"WITH {_SMALL} SELECT doc, CAST(count(*) FILTER (WHERE term = 'the') AS INTEGER) AS the, CAST(count(*) FILTER (WHERE term LIKE 'th%') AS INTEGER) AS th FROM words GROUP BY doc")
+def token_counts(spark, sf_dir):
+    return _lists(spark, sf_dir).select("doc", features.count_token("words", "the").alias("the"), features.count_prefix("words", "th").alias("th"))
+
+
+@query("SELECT item_id FROM benchmark ORDER BY item_id LIMIT 25")
+def limit_rows(spark, sf_dir):
+    from ..sources.tables import limit_rows as first_rows
+
+    return first_rows(table(spark, sf_dir, "benchmark").select("item_id"), 25, "item_id")
+
+
+@query(f"WITH {_INDEX}, sq AS (SELECT doc, pos, id FROM words JOIN ix USING (term)) SELECT id, count(DISTINCT doc) AS docs FROM sq GROUP BY id")
+def keras_id_documents(spark, sf_dir):
+    return features.id_documents(_seqs(spark, sf_dir))
+
+
+@query("SELECT doc_id, CAST(1 - quality AS INTEGER) AS zero, CAST(quality AS INTEGER) AS one FROM labels")
+def one_hot_label(spark, sf_dir):
+    label = features.one_hot_label(F.col("quality"))
+    return table(spark, sf_dir, "labels").select("doc_id", F.get(label, F.lit(0)).alias("zero"), F.get(label, F.lit(1)).alias("one"))
+
+
+@query(f"WITH {_COUNTS} SELECT term, df FROM (SELECT term, count(*) AS df FROM counts GROUP BY term) WHERE df >= 5")
+def frequent_terms(spark, sf_dir):
+    return sentences.keep_frequent(features.document_frequencies(features.term_counts(english_tokens(spark, sf_dir))), 5, "df")
+
+
+@query("SELECT doc_id, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '3'), 1, 7) AS BIGINT) % 100 % 5 AS INTEGER) AS fold FROM labels")
+def cv_folds(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", classify.fold("doc_id", 5, 3).alias("fold"))
+
+
 # Sentence model statistics over white-space tokens.
 _TOK = "tok AS (SELECT doc, i - 1 AS pos, w[i] AS tok FROM (SELECT doc_id AS doc, regexp_extract_all(text, '[^ \\t\\n]+') AS w FROM documents WHERE lang = 'en') t, unnest(generate_series(1, len(w))) AS u(i)), ty AS (SELECT *, CASE WHEN regexp_matches(tok, '^-?[.,]?[0-9][0-9,.-]*[.]?$') THEN '##number##' ELSE lower(tok) END AS type FROM tok)"
 
