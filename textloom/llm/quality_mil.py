@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE bytes. Each passage is encoded by one layer over its byte and hashed
-byte-pair frequencies; gated attention weights, learned from document labels alone, sum the passages to one vector,
+byte-pair frequencies and the variety of its four-byte strings; gated attention weights, learned from document labels alone, sum the passages to one vector,
 which a logistic unit scores. Training runs on the driver over a bounded sample of labelled rows (`train_docs`, the
 smallest by a hash of the id); scoring is one pass over the documents without a shuffle.
 
@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 
 PASSAGE = 512
 PAIRS = 256
-FEATURES = 256 + PAIRS
+VARIETY = 512
+#: Byte and byte-pair frequencies, how many of VARIETY hashes of four bytes occur, and how far the passage is filled.
+FEATURES = 256 + PAIRS + 2
+#: A passage of so many bytes counts half: frequencies over few bytes say little.
+HALF = 64
 #: Passages whose features are held at a time.
 BLOCK = 2048
 
@@ -42,16 +46,26 @@ def passage_features(text: bytes | np.ndarray) -> np.ndarray:
 
 
 def _features(data: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
-    base = passage.astype(np.int64) * FEATURES
+    kinds = 256 + PAIRS
+    base = passage.astype(np.int64) * kinds
     wide = data.astype(np.int64)
-    counts = np.bincount(base + wide, minlength=n * FEATURES)
+    counts = np.bincount(base + wide, minlength=n * kinds)
     if len(data) > 1:
         same = passage[1:] == passage[:-1]
         pair = ((wide[:-1] * 40503 + wide[1:] * 2654435761) >> 7) % PAIRS + 256
-        counts += np.bincount((base[1:] + pair)[same], minlength=n * FEATURES)
-    x = counts.reshape(n, FEATURES).astype(np.float32)
-    sizes = np.maximum(1.0, x[:, :256].sum(axis=1, keepdims=True))
-    return np.sqrt(x / sizes)
+        counts += np.bincount((base[1:] + pair)[same], minlength=n * kinds)
+    x = counts.reshape(n, kinds).astype(np.float32)
+    sizes = x[:, :256].sum(axis=1)
+    out = np.empty((n, FEATURES), dtype=np.float32)
+    out[:, :kinds] = np.sqrt(x / np.maximum(1.0, sizes)[:, None])
+    seen = np.zeros(n * VARIETY, dtype=bool)
+    if len(data) > 3:
+        same = passage[3:] == passage[:-3]
+        four = ((wide[:-3] * 73856093 ^ wide[1:-2] * 19349663 ^ wide[2:-1] * 83492791 ^ wide[3:] * 2654435761) >> 5) % VARIETY
+        seen[(passage[3:].astype(np.int64) * VARIETY + four)[same]] = True
+    out[:, -2] = seen.reshape(n, VARIETY).sum(axis=1) / np.maximum(1.0, sizes - 3)
+    out[:, -1] = sizes / (sizes + HALF)
+    return out
 
 
 @dataclass
@@ -70,7 +84,7 @@ class Attention:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(encodings, attention logits) of passages."""
-        h = np.tanh(((x - self.mean) * self.scale) @ self.w + self.b)
+        h = np.tanh(standard(x, self.mean, self.scale) @ self.w + self.b)
         gate = np.tanh(h @ self.v) * _sigmoid(h @ self.u)
         return h, gate @ self.a
 
@@ -101,6 +115,11 @@ class Attention:
         return _sigmoid(total / weight[:, None] @ self.c + self.c0[0]) if len(texts) else np.zeros(0)
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features with mean 0 and deviation 1, those of short passages nearer to 0."""
+    return (x - mean) * scale * x[:, -1:]
+
+
 @dataclass
 class Constant:
     """What is known without labels of both classes."""
@@ -115,7 +134,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, *, hidden: int = 32, gates: int = 16, epochs: int = 30, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Attention | Constant:
+def fit(bags: list[np.ndarray], labels: np.ndarray, *, hidden: int = 32, gates: int = 16, epochs: int = 20, batch: int = 64, rate: float = 3e-3, decay: float = 1e-3, seed: int = 7) -> Attention | Constant:
     """Adam on the logistic loss of documents. bags: each document's passage features."""
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -123,9 +142,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, hidden: int = 32, gates:
     rng = np.random.default_rng(seed)
     every = np.concatenate(bags).astype(np.float32)
     mean, scale = every.mean(axis=0), 1 / np.maximum(every.std(axis=0), 0.01)
-    bags = np.split(((every - mean) * scale).astype(np.float32), np.cumsum([len(x) for x in bags])[:-1])
+    bags = np.split(standard(every, mean, scale).astype(np.float32), np.cumsum([len(x) for x in bags])[:-1])
     draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    p = {"w": draw(FEATURES, hidden), "b": np.zeros(hidden, np.float32), "v": draw(hidden, gates), "u": draw(hidden, gates), "a": draw(gates), "c": draw(hidden), "c0": np.array([np.log(y.mean() / (1 - y.mean()))], np.float32)}
+    p = {"w": draw(every.shape[1], hidden), "b": np.zeros(hidden, np.float32), "v": draw(hidden, gates), "u": draw(hidden, gates), "a": draw(gates), "c": draw(hidden), "c0": np.array([np.log(y.mean() / (1 - y.mean()))], np.float32)}
     m1, m2, step = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0
     m1, m2 = m1
     for epoch in range(epochs):
@@ -169,7 +188,7 @@ def to_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 3000, seed: int = 7) -> Attention | Constant:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 4000, seed: int = 7) -> Attention | Constant:
     """A model from the labelled rows of docs; at most train_docs of them, those with the smallest hash of the id."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     own = own.groupBy("id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(train_docs)
