@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: balanced posting lists.
 
 Centroids come from balanced splits of a bounded sample of the vectors. Every vector goes to its nearest list, and a
-boundary vector also to the lists whose centroid is nearly as near (at most `replicas`, and none that lies closer to a
-list already taken than to the vector). Lists are balanced: one longer than `list_cap` is dealt over sub-lists, all of
-which a query reads. A query finds its nearest centroids by a best-first walk over an in-memory graph of them and
-searches the lists whose distance is at most `prune` times the nearest one's.
+boundary vector also to the lists whose centroid is nearly as near (at most `replicas` in all). Lists are balanced: one
+longer than `list_cap` is dealt over sub-lists, all of which a query reads. A query finds its nearest centroids by a
+best-first walk over an in-memory graph of them and searches the lists whose distance is at most `prune` times the
+nearest one's, and at most `probe`. Both are measured on the sample: they are as large as its own nearest neighbours
+need for the target recall.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 nor do rows without an id; equal vectors are ranked by id; repeated ids never answer each other; an empty table gives
@@ -55,24 +56,33 @@ class Index:
         return np.array([i for _, i in got]), np.array([x for x, _ in got])
 
     def lists_of(self, x: np.ndarray, replicas: int, closure: float) -> list[np.ndarray]:
-        """Each vector's lists: the nearest, and those within closure times its distance that no list taken shadows."""
+        """Each vector's lists: the nearest ones, as far as closure times the nearest's distance."""
         d2 = (x * x).sum(axis=1)[:, None] - 2 * x @ self.centroids.T + (self.centroids**2).sum(axis=1)
         d = np.sqrt(np.maximum(d2, 0))
-        k = min(4 * replicas, d.shape[1])
+        k = min(replicas, d.shape[1])
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        out = []
-        for row, own in zip(d, near):
-            own = own[np.argsort(row[own], kind="stable")]
-            taken: list[int] = []
-            for j in own:
-                if taken and row[j] > closure * row[own[0]] + 1e-12:
-                    break
-                if all(((self.centroids[j] - self.centroids[t]) ** 2).sum() >= row[j] ** 2 for t in taken):
-                    taken.append(int(j))
-                    if len(taken) == replicas:
-                        break
-            out.append(np.array(taken))
-        return out
+        far = np.take_along_axis(d, near, axis=1)
+        return [own[row <= closure * row.min() + 1e-12] for own, row in zip(near, far)]
+
+
+def calibrate(index: Index, sample: np.ndarray, k: int, replicas: int, closure: float, recall: float, asks: int = 200) -> tuple[int, float]:
+    """(probe, prune): how many lists, and how far beyond the nearest, hold the share `recall` of the k nearest
+    neighbours that rows of the sample have in it."""
+    if len(sample) < 2:
+        return len(index.centroids), np.inf
+    lists = [own for i in range(0, len(sample), 512) for own in index.lists_of(sample[i : i + 512], replicas, closure)]
+    x = sample[:asks]
+    to = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ index.centroids.T + (index.centroids**2).sum(axis=1), 0))
+    place = to.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+    ranks, ratios = [], []
+    for i in range(len(x)):
+        d = ((sample - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        for j in np.argpartition(d, min(k, len(d) - 1))[:k]:
+            best = lists[j][place[i, lists[j]].argmin()]
+            ranks.append(place[i, best])
+            ratios.append(to[i, best] / max(to[i].min(), 1e-12))
+    return int(np.quantile(ranks, recall, method="higher")) + 1, float(np.quantile(ratios, min(1.0, recall + 0.02), method="higher"))
 
 
 def build(sample: np.ndarray, lists: int, *, degree: int = 24, rounds: int = 3) -> Index:
@@ -111,7 +121,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, list_rows: int = 256, max_lists: int = 8192, replicas: int = 8, closure: float = 1.25, prune: float = 1.35, probe: int = 128, list_cap: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, list_rows: int = 256, max_lists: int = 8192, replicas: int = 4, closure: float = 1.1, recall: float = 0.97, list_cap: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of all other rows for each row that `queries` selects.
 
     sample_rows bounds the rows that the centroids are fitted on (those with the smallest hash of the id), max_lists
@@ -125,7 +135,9 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "v
     dims, total = sizes[0]["dims"], sizes[0]["count"]
     rows = rows.where(F.size("v") == dims)
     sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()["v"]
-    index = build(np.array(sample.tolist(), dtype=np.float64).reshape(-1, dims), int(min(max_lists, max(1, total // list_rows))))
+    sample = np.array(sample.tolist(), dtype=np.float64).reshape(-1, dims)
+    index = build(sample, int(min(max_lists, max(1, total // list_rows))))
+    probe, prune = calibrate(index, sample, k, replicas, closure, recall)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -138,8 +150,8 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "v
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for q, v in zip(b["id"], b["v"]):
-                own, d = index.nearest(np.array(v), probe)
-                own = own[d <= prune * d[0] + 1e-12]
+                own, d = index.nearest(np.array(v), max(probe, 32))
+                own = own[:probe][d[:probe] <= prune * d[0] + 1e-12]
                 yield pd.DataFrame({"list": own, "q": q, "qv": [v] * len(own)})
 
     deals = rows.select("id", "v").mapInPandas(deal, "list bigint, id bigint, v array<double>")
