@@ -69,10 +69,9 @@ def nnls(a: np.ndarray, b: np.ndarray, limit: int = 3000) -> np.ndarray:
     """The x >= 0 with the least |ax - b|, by active sets: columns join by steepest descent and leave when they turn negative."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, dtype=bool)
-    gram, right = a.T @ a, a.T @ b
-    tolerance = 1e-9 * max(1.0, float(np.abs(right).max(initial=0)))
+    tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(limit):
-        w = right - gram @ x
+        w = a.T @ (b - a @ x)
         w[passive] = -np.inf
         j = int(w.argmax())
         if w[j] <= tolerance:
@@ -80,7 +79,8 @@ def nnls(a: np.ndarray, b: np.ndarray, limit: int = 3000) -> np.ndarray:
         passive[j] = True
         while True:
             own = np.flatnonzero(passive)
-            s = np.linalg.lstsq(gram[np.ix_(own, own)], right[own], rcond=None)[0]
+            part = a[:, own]
+            s = np.linalg.lstsq(part.T @ part, part.T @ b, rcond=None)[0]
             low = s <= 1e-12
             if not low.any():
                 x[:] = 0

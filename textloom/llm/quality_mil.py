@@ -140,9 +140,12 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, hidden: int = 32, gates:
     if not len(y) or y.min() == y.max():
         return Constant(float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5)
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags).astype(np.float32)
-    mean, scale = every.mean(axis=0), 1 / np.maximum(every.std(axis=0), 0.01)
-    bags = np.split(standard(every, mean, scale).astype(np.float32), np.cumsum([len(x) for x in bags])[:-1])
+    every = np.concatenate([x.astype(np.float32) for x in bags])
+    mean = every.mean(axis=0)
+    scale = 1 / np.maximum(np.sqrt(np.maximum(np.einsum("ij,ij->j", every, every) / len(every) - mean * mean, 0)), 0.01)
+    for i in range(0, len(every), BLOCK):  # in place: the sample is held once
+        every[i : i + BLOCK] = standard(every[i : i + BLOCK], mean, scale)
+    bags = np.split(every, np.cumsum([len(x) for x in bags])[:-1])
     draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     p = {"w": draw(every.shape[1], hidden), "b": np.zeros(hidden, np.float32), "v": draw(hidden, gates), "u": draw(hidden, gates), "a": draw(gates), "c": draw(hidden), "c0": np.array([np.log(y.mean() / (1 - y.mean()))], np.float32)}
     m1, m2, step = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0
@@ -204,8 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # train_docs bounds the broadcast side; a document that stands in several rows is taken once.
     got = rows.join(F.broadcast(own), "id").select("id", "text", "y").mapInPandas(run, f"id {kind}, y double, x binary").toPandas()
     got = got.drop_duplicates("id").sort_values("id")
-    bags = [np.frombuffer(x, dtype=np.float16).reshape(-1, FEATURES) for x in got["x"]]
-    return fit(bags, got["y"].to_numpy(), seed=seed)
+    bags, y = [np.frombuffer(x, dtype=np.float16).reshape(-1, FEATURES) for x in got["x"]], got["y"].to_numpy()
+    del got
+    return fit(bags, y, seed=seed)
 
 
 def score(docs: DataFrame, model: Attention | Constant, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
