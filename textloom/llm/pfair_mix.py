@@ -30,7 +30,7 @@ PERIOD = 1000
 #: Sources that are scheduled on their own, the largest ones; the others are one stream.
 MAX_SOURCES = 256
 #: Rows of a hash bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 @dataclass
