@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import ngram_join, packing, pfair_mix, quality_mil, queries, secret_scan
-from textloom.llm.common import scratch
+from textloom.llm.common import discard, scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +62,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents, each stage's rows written as Parquet in the shared folder and read again."""
+    """STAGES over documents, each stage's rows written as Parquet in the shared folder, read again, and then deleted.
+
+    The last stage keeps what it needs of its input before it returns.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = scratch(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    old = None
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            path = scratch(spark, name)
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+        if old:
+            discard(spark, old)
+        old = path
+    return out
