@@ -26,7 +26,10 @@ URLS = [
 ]
 
 
-def test_urls_against_plain_rules(spark):
+@pytest.mark.parametrize("most", [U.MAX_BITS, 1])
+def test_urls_against_plain_rules(spark, monkeypatch, most):
+    """With cascades, and by a join where the lists are too long for them."""
+    monkeypatch.setattr(U, "MAX_BITS", most)
     r = random.Random(1)
     urls = URLS + ["http://" + ".".join(r.choice(["a", "example", "com", "net", "org", ""]) for _ in range(r.randint(1, 4))) + r.choice(["/en/", "/de/8", "/es/", "/en/7", "/", ""]) + r.choice(["", "9", "?q"]) for _ in range(300)] + ["http://x." + "y." * 3000 + "com/en/"]
     rows = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id bigint, url string, rule string, keys string")

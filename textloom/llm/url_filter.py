@@ -19,9 +19,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import frozen
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Bits that one cascade may hold, as its levels are literals of the plan. Longer lists are split by filter_lists().
+#: Bits that a level may hold, as levels are literals of the plan. URLs are judged by a join if a list needs more.
 MAX_BITS = 1 << 23
 
 
@@ -58,12 +60,16 @@ def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed * 64 + i)), F.lit(bits).cast("long")) for i in range(hashes)]
 
 
+class TooLong(ValueError):
+    """A list that no cascade of the allowed size holds."""
+
+
 def bloom(keys: DataFrame, n: int, false_positives: float, seed: int) -> Level:
     """A Bloom filter of the column key; its words are put together by a distributed bit_or."""
     hashes = max(1, math.ceil(-math.log2(false_positives)))
     bits = max(64, math.ceil(n * hashes / math.log(2) / 64) * 64)
     if bits > MAX_BITS:
-        raise ValueError(f"{n} keys need {bits} bits, more than {MAX_BITS}: split the list")
+        raise TooLong(f"{n} keys need {bits} bits, more than {MAX_BITS}")
     at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes, seed))).alias("p"))
     one = F.expr("shiftleft(1L, CAST(p % 64 AS INT))")
     got = at.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(one).alias("v")).collect()
@@ -131,11 +137,24 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     tried = urls.withColumn("keys", F.filter(F.array(*keys), lambda k: k.isNotNull()))
     universe = tried.select(F.explode("keys").alias("key"))
     cascades = {}
-    for verdict in ("block", "allow"):
-        own = [(h + p,) for v, h, p in rules if v == verdict]
-        cascades[verdict] = build_cascade(spark.createDataFrame(own, "key string"), universe)
+    try:
+        for verdict in ("block", "allow"):
+            own = [(h + p,) for v, h, p in rules if v == verdict]
+            cascades[verdict] = build_cascade(spark.createDataFrame(own, "key string"), universe)
+    except TooLong:
+        return _by_join(spark, tried, rules, id_col, default)
     found = F.transform("keys", lambda k: F.when(cascades["block"].holds(k), F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit("block").alias("verdict"))).when(cascades["allow"].holds(k), F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit("allow").alias("verdict"))))
     # keys run from the longer host to the shorter, so that the first of the longest has the longer host.
     best = F.aggregate(F.filter(found, lambda x: x.isNotNull()), F.lit(None).cast("struct<n:int,rule:string,verdict:string>"), lambda a, x: F.when(a.isNull() | (x["n"] > a["n"]), x).otherwise(a))
     judged = tried.withColumn("best", best)
     return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+
+
+def _by_join(spark: SparkSession, tried: DataFrame, rules: list[tuple[str, str, str]], id_col: str, default: str) -> DataFrame:
+    """The same verdicts for lists of any length: each URL's keys meet the rules in an equi-join."""
+    rows = frozen(tried.withColumn("__row", F.monotonically_increasing_id()))
+    own = spark.createDataFrame([(h + p, len(h), v) for v, h, p in rules], "key string, host_length int, verdict string")
+    own = own.groupBy("key").agg(F.max("host_length").alias("host_length"), F.max("verdict").alias("verdict"))  # block comes after allow
+    fits = rows.select("__row", F.explode("keys").alias("key")).join(own, "key")
+    best = fits.groupBy("__row").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), "host_length")).alias("best"))
+    return rows.join(best, "__row", "left").select(id_col, "host", "path", F.col("best.key").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
