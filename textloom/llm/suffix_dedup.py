@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import frozen, release
+from .packed import packed_texts, unpacked
 
 #: Bytes of text whose anchors are held at a time.
 SEGMENT = 16 << 20
@@ -325,10 +326,10 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     release(docs)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _batches(batches, "text", 2 * PART):
+        for table in _batches(batches, "packed", PART):
             ids = table.column("id").to_numpy()
             hashes = table.column("text_hash").to_numpy()
-            texts = _bytes(table.column("text").combine_chunks())
+            texts = unpacked(table.column("packed").to_pylist())
             h, t, at, data, least_hash = anchors(texts, length, k)
             hs = table.column("hs").combine_chunks()
             many = np.diff(hs.offsets.to_numpy())
@@ -407,8 +408,8 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
             s = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (d, th, a, b)], SPANS)
 
-    again = rows.withColumn("text_hash", F.hash("text")).join(wanted, "id").where("settled is null or not array_contains(settled, text_hash)")
-    made = again.select("id", "text_hash", "text", "hs").mapInArrow(contexts, "h int, id long, text_hash int, start long, end long, ctx binary, left int, right int")
+    again = packed_texts(rows).join(wanted, "id").where("settled is null or not array_contains(settled, text_hash)")
+    made = again.select("id", "text_hash", "packed", "hs").mapInArrow(contexts, "h int, id long, text_hash int, start long, end long, ctx binary, left int, right int")
     tasks = max(8, -(-total // TASK_ROWS))
     spans = made.repartition(tasks, "h").mapInArrow(settle, "id long, text_hash int, start long, end long")
     # A document's spans: at most as many as it has bytes.
@@ -451,14 +452,13 @@ def _joined(d: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.ndarray) -> tupl
 def cut_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans and `kept`, the remaining bytes, for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.hash("text"))
-    both = rows.join(spans, ["id", "text_hash"], "left").select("id", "text", "spans")
+    rows = packed_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    both = rows.join(spans, ["id", "text_hash"], "left").select(F.col("id").cast(kind).alias("id"), "packed", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, text, own in zip(b["id"], b["text"], b["spans"]):
-                data = text.encode("utf-8", "surrogatepass")
+            for doc, data, own in zip(b["id"], unpacked(b["packed"]), b["spans"]):
                 merged: list[list[int]] = []
                 for x in own if own is not None else ():
                     if merged and x["start"] <= merged[-1][1]:
