@@ -42,11 +42,17 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark's cleaner delete shuffle and checkpoint files that nothing refers to any more.
+#: Below so many rows shuffle files are too small to wait for their deletion.
+RELEASE_ROWS = 10_000
+
+
+def release(df: DataFrame, rows: int) -> None:
+    """Lets Spark's cleaner delete shuffle and checkpoint files that nothing refers to any more, after steps on so many rows.
 
     References from Python, the plan and its shuffles go one after the other, a collection each.
     """
+    if rows < RELEASE_ROWS:
+        return
     for _ in range(6):
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()

@@ -133,8 +133,9 @@ def shingle_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     # One node per set. rep: the smallest id that has it; rows without an id are no nodes.
     known = surveyed.where("block is null")
     nodes = frozen(known.where("n > 0 and id is not null").groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("map").alias("map")))
+    n_nodes = nodes.count()
     regions = frozen(_regions(rows, classes, n, percent))
-    release(docs)
+    release(docs, n_nodes)
 
     # A region's pivot document has the largest share of shingles that many sets have: of a large group of edited
     # copies the text that they come from, near all of them.
@@ -143,7 +144,7 @@ def shingle_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     # One pivot for each member suffices here: what it leaves unconnected is compared below.
     stars = _possible(stars, nodes, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = frozen(_verified(rows, stars, nodes, n, percent))
-    release(docs)
+    release(docs, n_nodes)
     labels = components(links)
 
     # Members of different components of a region.
@@ -159,7 +160,7 @@ def shingle_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     rule = rule & _near(F.col("map1"), F.col("map2"), F.col("n1") + F.col("n2"), percent)
     others = one.join(two, rule).select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
     more = frozen(_verified(rows, others, nodes, n, percent))
-    release(docs)
+    release(docs, n_nodes)
     labels = components(links.unionByName(more))
 
     reps = nodes.select("sid", "rep").join(labels, "sid", "left").withColumn("part", F.coalesce("part", "sid"))

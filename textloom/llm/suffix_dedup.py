@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     wanted = across.unionByName(shared(True).select("id", "h")).groupBy("id").agg(F.collect_set("h").alias("hs"))
     wanted = frozen(wanted.join(settled, "id", "left"))
     total = wanted.agg(F.sum(F.size("hs"))).first()[0] or 0
-    release(docs)
+    release(docs, total)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _batches(batches, "packed", PART):
@@ -415,7 +415,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     # A document's spans: at most as many as it has bytes.
     joined = spans.unionByName(copies).groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     joined = frozen(joined)
-    release(docs)
+    release(docs, total)
     return joined
 
 
