@@ -82,9 +82,12 @@ def _smoothed(df: DataFrame) -> DataFrame:
 def search(train: DataFrame, name: str, *, features: list | None = None, folds: int = 5, scoring: str = "accuracy", values: dict | None = None, seed: int = 0, parallelism: int = 2) -> CrossValidatorModel:
     """The best of a grid by cross validation, fitted again on all of train (label, and features or what feature stages need)."""
     model = estimator(name, seed)
+    train = train.persist()  # each fold and each point of the grid reads it
     pipeline = Pipeline(stages=[*(features or []), model])
     metric = BinaryClassificationEvaluator(labelCol="label") if scoring == "roc_auc" else MulticlassClassificationEvaluator(labelCol="label", metricName=scoring)
-    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid(name, model, train.count(), values), evaluator=metric, numFolds=folds, seed=seed, parallelism=parallelism).fit(train)
+    out = CrossValidator(estimator=pipeline, estimatorParamMaps=grid(name, model, train.count(), values), evaluator=metric, numFolds=folds, seed=seed, parallelism=parallelism).fit(train)
+    train.unpersist()
+    return out
 
 
 def search_report(model: CrossValidatorModel) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -189,6 +190,12 @@ class Learned:
     starters: DataFrame
     collocations: DataFrame
     contexts: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give up what was persisted; the tables can still be computed."""
+        for df in self.held:
+            df.unpersist()
 
     def model(self, max_types: int = MAX_TYPES) -> S.Model:
         """The record for the workers; a vocabulary over max_types is an error (prune with learn(least=...))."""
@@ -207,17 +214,21 @@ def load(spark: SparkSession, path: str) -> Learned:
 
 
 def learn(words: DataFrame, least: int = 1) -> Learned:
-    """A model from a word table; least: types seen less often keep no context."""
+    """A model from a word table; least: types seen less often keep no context.
+
+    Words and their annotations, which several steps read, are persisted (on disk if need be) until Learned.release().
+    """
+    words = words.persist(StorageLevel.MEMORY_AND_DISK)
     counts, totals = type_counts(words), totals_of(words)
     frequent = abbreviation_scores(counts, totals).where(F.col("score") >= ABBREVIATION).select("type")
-    marked = annotated(words, frequent)
+    marked = annotated(words, frequent).persist(StorageLevel.MEMORY_AND_DISK)
     bits = contexts(marked)
     rare = rare_abbreviations(marked, counts, bits, frequent)
     starters = sentence_starters(marked, counts, totals)
     pairs = collocations(marked, counts, totals, starters)
     if least > 1:
         bits = bits.join(keep_frequent(counts, least).select("type"), "type", "left_semi")
-    return Learned(frequent.unionByName(rare).distinct(), starters, pairs, bits)
+    return Learned(frequent.unionByName(rare).distinct(), starters, pairs, bits, (words, marked))
 
 
 def training_text(text: Column) -> Column:
