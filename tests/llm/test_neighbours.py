@@ -42,6 +42,47 @@ def test_graph_finds_the_nearest_centroid():
     assert np.mean(near) > 0.97
 
 
+def clusters(many=20, rows=400, dims=8):
+    """Clusters so far from each other that no centroid's nearest ones lie in another one."""
+    r = np.random.default_rng(3)
+    return (r.normal(size=(many, 1, dims)) * 1000 + r.normal(size=(many, rows, dims))).reshape(-1, dims)
+
+
+def test_walk_reaches_every_cluster():
+    x = clusters()
+    index = N.build(x, 800)
+    near = [index.nearest(q, 32)[0][0] == ((index.centroids - q) ** 2).sum(axis=1).argmin() for q in x[::40]]
+    assert np.mean(near) > 0.97
+    n = len(index.centroids)
+    assert all(len(index.nearest(q, n)[0]) == n for q in x[::1000])
+
+
+def test_recall_is_measured_by_walking():
+    x = clusters()
+    x = x[np.random.default_rng(4).permutation(len(x))]
+    index = N.build(x, 800)
+    probe, prune, width = N.calibrate(index, x, 10, 4, 1.1, 0.97)
+    hits, lists = 0, [own for i in range(0, len(x), 500) for own in index.lists_of(x[i : i + 500], 4, 1.1)]
+    for i in range(100):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        own, far = index.nearest(x[i], width)
+        read = set(own[:probe][far[:probe] <= prune * far[0] + 1e-12].tolist())
+        hits += sum(bool(read & set(lists[j].tolist())) for j in np.argsort(d)[:10])
+    assert hits >= 0.95 * 1000
+
+
+def test_recall_on_clusters(spark):
+    x = clusters()
+    ids = np.arange(len(x))
+    want = plain(ids, x, ids[::200])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in N.search(df, F.col("vec_id") % 200 == 0, list_rows=10).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(found[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.93 * 10 * len(want)
+
+
 def test_bad_vectors_and_one_common_vector(spark):
     nan = float("nan")
     rows = [(i, [1.0, 2.0] if i % 3 else [float(i), 1.0], i, "x", "y") for i in range(90)]

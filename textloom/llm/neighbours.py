@@ -4,8 +4,10 @@ Centroids come from balanced splits of a bounded sample of the vectors. Every ve
 boundary vector also to the lists whose centroid is nearly as near (at most `replicas` in all). Lists are balanced: one
 longer than `list_cap` is dealt over sub-lists, all of which a query reads. A query finds its nearest centroids by a
 best-first walk over an in-memory graph of them and searches the lists whose distance is at most `prune` times the
-nearest one's, and at most `probe`. Both are measured on the sample: they are as large as its own nearest neighbours
-need for the target recall.
+nearest one's, and at most `probe`. The walk starts from pivots, about the root of the number of centroids and far from
+each other, and the graph is connected: each centroid is linked both ways with its nearest ones and its pivot, each
+pivot with the nearest pivot before it. The walk's width, `probe` and `prune` are measured on the sample, by walking:
+they are as large as its own nearest neighbours need for the target recall.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 nor do rows without an id; equal vectors are ranked by id; repeated ids never answer each other; an empty table gives
@@ -27,18 +29,19 @@ from pyspark.sql import functions as F
 @dataclass
 class Index:
     centroids: np.ndarray
-    links: np.ndarray  # of each centroid to its nearest ones
+    links: list[np.ndarray]  # of each centroid, both ways
+    pivots: np.ndarray  # where walks start
 
     def nearest(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Up to width centroids near q, nearest first, with their distances: a best-first walk over the graph."""
         n = len(self.centroids)
-        starts = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
+        starts = self.pivots
         seen = np.zeros(n, dtype=bool)
         seen[starts] = True
         d = np.sqrt(((self.centroids[starts] - q) ** 2).sum(axis=1))
         open_ = [(float(x), int(i)) for x, i in zip(d, starts)]
         heapq.heapify(open_)
-        best = [(-x, i) for x, i in open_]
+        best = [(-x, i) for x, i in heapq.nsmallest(width, open_)]
         heapq.heapify(best)
         while open_:
             x, i = heapq.heappop(open_)
@@ -65,24 +68,39 @@ class Index:
         return [own[row <= closure * row.min() + 1e-12] for own, row in zip(near, far)]
 
 
-def calibrate(index: Index, sample: np.ndarray, k: int, replicas: int, closure: float, recall: float, asks: int = 200) -> tuple[int, float]:
-    """(probe, prune): how many lists, and how far beyond the nearest, hold the share `recall` of the k nearest
-    neighbours that rows of the sample have in it."""
+def calibrate(index: Index, sample: np.ndarray, k: int, replicas: int, closure: float, recall: float, asks: int = 200) -> tuple[int, float, int]:
+    """(probe, prune, width): how many lists, how far beyond the nearest, and how wide a walk find the share `recall` of
+    the k nearest neighbours that rows of the sample have in it. A walk as wide as the graph reaches every list."""
+    n = len(index.centroids)
     if len(sample) < 2:
-        return len(index.centroids), np.inf
+        return n, np.inf, n
     lists = [own for i in range(0, len(sample), 512) for own in index.lists_of(sample[i : i + 512], replicas, closure)]
     x = sample[:asks]
-    to = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ index.centroids.T + (index.centroids**2).sum(axis=1), 0))
-    place = to.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-    ranks, ratios = [], []
+    near = []  # of each asking row: the lists of its nearest neighbours
     for i in range(len(x)):
         d = ((sample - x[i]) ** 2).sum(axis=1)
         d[i] = np.inf
-        for j in np.argpartition(d, min(k, len(d) - 1))[:k]:
-            best = lists[j][place[i, lists[j]].argmin()]
-            ranks.append(place[i, best])
-            ratios.append(to[i, best] / max(to[i].min(), 1e-12))
-    return int(np.quantile(ranks, recall, method="higher")) + 1, float(np.quantile(ratios, min(1.0, recall + 0.02), method="higher"))
+        near.append([lists[j] for j in np.argsort(d, kind="stable")[: min(k, len(d) - 1)]])
+    width = min(n, 32)
+    while True:
+        ranks, ratios = [], []
+        for q, held in zip(x, near):
+            own, d = index.nearest(q, width)
+            place = np.full(n, n)
+            place[own] = np.arange(len(own))
+            for of in held:
+                r = int(place[of].min())
+                ranks.append(r)
+                ratios.append(d[r] / max(d[0], 1e-12) if r < n else np.inf)
+        ranks_, ratios_ = np.array(ranks), np.array(ratios)
+        for level in np.linspace(recall, 1, 11):
+            probe = int(np.quantile(ranks_, level, method="higher")) + 1
+            prune = float(np.quantile(ratios_, min(1.0, level + 0.02), method="higher"))
+            if ((ranks_ < min(probe, n)) & (ratios_ <= prune)).mean() >= recall:
+                return min(probe, n), prune, width
+        if width == n:
+            return n, np.inf, n
+        width = min(n, 2 * width)
 
 
 def build(sample: np.ndarray, lists: int, *, degree: int = 24, rounds: int = 3) -> Index:
@@ -107,12 +125,34 @@ def build(sample: np.ndarray, lists: int, *, degree: int = 24, rounds: int = 3)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
         centres = np.unique(np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centres), axis=0)
-    links = np.empty((len(centres), min(degree, max(1, len(centres) - 1))), dtype=np.int64)
-    for i in range(0, len(centres), 1024):
+    return Index(centres, *_graph(centres, degree))
+
+
+def _graph(centres: np.ndarray, degree: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(links, pivots) of a connected graph: see the module's docstring."""
+    n = len(centres)
+    near = min(degree, n - 1)
+    pairs = []
+    for i in range(0, n, 1024):
         d = (centres**2).sum(axis=1) - 2 * centres[i : i + 1024] @ centres.T
         d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        links[i : i + 1024] = np.argsort(d, axis=1, kind="stable")[:, : links.shape[1]] if len(centres) > 1 else 0
-    return Index(centres, links)
+        to = np.argsort(d, axis=1, kind="stable")[:, :near]
+        pairs.append(np.stack([np.repeat(np.arange(i, i + len(d)), near), to.ravel()], axis=1))
+    # Each pivot is the centroid farthest from those before it.
+    pivots, far, own = [0], ((centres - centres[0]) ** 2).sum(axis=1), np.zeros(n, dtype=np.int64)
+    tree = []
+    while len(pivots) < np.sqrt(n):
+        p = int(far.argmax())
+        tree.append((p, own[p]))
+        d = ((centres - centres[p]) ** 2).sum(axis=1)
+        own[d < far] = p
+        far = np.minimum(far, d)
+        pivots.append(p)
+    pairs += [np.array(tree, dtype=np.int64).reshape(-1, 2), np.stack([np.arange(n), own], axis=1)]
+    a = np.concatenate(pairs)
+    a = np.unique(np.concatenate([a, a[:, ::-1]]), axis=0)
+    a = a[a[:, 0] != a[:, 1]]
+    return np.split(a[:, 1], np.searchsorted(a[:, 0], np.arange(1, n))), np.array(pivots)
 
 
 def usable(vector: Column) -> Column:
@@ -137,7 +177,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "v
     sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()["v"]
     sample = np.array(sample.tolist(), dtype=np.float64).reshape(-1, dims)
     index = build(sample, int(min(max_lists, max(1, total // list_rows))))
-    probe, prune = calibrate(index, sample, k, replicas, closure, recall)
+    probe, prune, width = calibrate(index, sample, k, replicas, closure, recall)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -150,7 +190,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "v
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for q, v in zip(b["id"], b["v"]):
-                own, d = index.nearest(np.array(v), max(probe, 32))
+                own, d = index.nearest(np.array(v), width)
                 own = own[:probe][d[:probe] <= prune * d[0] + 1e-12]
                 yield pd.DataFrame({"list": own, "q": q, "qv": [v] * len(own)})
 
