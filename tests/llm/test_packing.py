@@ -45,6 +45,32 @@ def test_encoders_agree_on_odd_text():
         assert a(text).tolist() == b(text).tolist(), repr(text)
 
 
+def test_special_tokens_and_long_runs_are_encoded_by_the_vocabulary():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY.replace(".tiktoken", ".json"))
+    for path in (VOCABULARY, VOCABULARY.replace(".tiktoken", ".json")):
+        encode = P.load_encoder(path)
+        for text in ("<|endoftext|>", "one <|endoftext|> two", "<|endoftext|", "a" + " " * 1_100_000 + "b", "a" + " \n" * 60_000, " " * 99_999 + "b"):
+            assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
+        assert encode("<|endoftext|>").tolist() == [50256]
+
+
+def test_tiktoken_stands_for_the_vocabulary():
+    """Each token is what its own bytes merge to, so merging by ranks and by listed pairs comes to the same; and each
+    kind of character is split alike."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY.replace(".tiktoken", ".json"))
+    special = {token.content for token in t.get_added_tokens_decoder().values()}
+    vocabulary = {token: i for token, i in t.get_vocab(with_added_tokens=True).items() if token not in special}
+    assert all([x.id for x in t.model.tokenize(token)] == [i] for token, i in vocabulary.items())
+    encode = P.load_encoder(VOCABULARY)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 61 == 0)]  # all of them were compared once
+    texts = ["a{0}a 1{0}1 !{0}! {0}{0}".format(chr(c)) for c in points]
+    assert all(encode(x).tolist() == y.ids for x, y in zip(texts, t.encode_batch(texts, add_special_tokens=False)))
+
+
 def test_least_squares_against_enumeration():
     r = np.random.default_rng(0)
     for _ in range(20):

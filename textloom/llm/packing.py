@@ -6,7 +6,7 @@ combination's repeat count, which is rounded down to what is there; what is left
 on the histogram. The plan has at most a few thousand combinations, whatever the corpus; pieces find their place in it
 by their rank among the pieces of their length, which counts of input splits give (see common.slots).
 
-Cases: a null or empty text is the end token alone; texts of any length are packed whole; ties in length are ranked by
+Cases: a null or empty text is the end token alone; the string of a special token is that token; texts of any length are packed whole; ties in length are ranked by
 the scan's order; repeated rows are packed as rows of their own; an empty table gives an empty result; other columns
 are not read. Every token is in exactly one piece and every piece in exactly one sequence.
 """
@@ -14,6 +14,7 @@ are not read. Every token is in exactly one piece and every piece in exactly one
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,20 +30,39 @@ from .common import frozen, slots
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: From so many white-space characters in a row on, a text is encoded by tokenizers: tiktoken fails at about a million.
+LONG_RUN = 100_000
+
+
 def load_encoder(path: str):
-    """text -> ids for a .tiktoken (ranks) or .json (tokenizers) vocabulary; strings of special tokens are plain text."""
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
+    """text -> ids of the .json (tokenizers) vocabulary, in which a special token's string is that one token.
+
+    For a .tiktoken file (ranks) the vocabulary is the .json file of the same name beside it; tiktoken encodes the texts
+    for which it gives the same ids, which are all but those with a special token's string or a very long blank run.
+    """
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json" if path.endswith(".tiktoken") else path)
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def exact(text: str) -> np.ndarray:
+        return np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    if not path.endswith(".tiktoken"):
+        return exact
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     t = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(t.encode_ordinary(text), dtype="<u4")
+    special = [token.content for token in own.get_added_tokens_decoder().values()]
+    run = re.compile(r"\s{%d}" % LONG_RUN)
+
+    def encode(text: str) -> np.ndarray:
+        if any(s in text for s in special) or (len(text) >= LONG_RUN and run.search(text)):
+            return exact(text)
+        return np.array(t.encode_ordinary(text), dtype="<u4")
+
+    return encode
 
 
 def pieces(docs: DataFrame, vocabulary: str, *, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
