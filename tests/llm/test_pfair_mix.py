@@ -33,6 +33,44 @@ def test_turns_use_every_block_once():
         assert [x[2] for x in sorted(slots) if x[1] == s] == list(range(n))
 
 
+def slots_of(turns):
+    return {(t.source, t.start + i): t.base + i // len(t.slots) * t.period + t.slots[i % len(t.slots)] for t in turns for i in range(t.end - t.start)}
+
+
+def test_small_targets_are_kept_within_one_block():
+    weights = {"a": 0.6, "b": 0.3994, "c": 0.0006}
+    got = slots_of(P.make_turns({"a": 60_000, "b": 39_940, "c": 60}, weights))
+    assert sorted(got.values()) == list(range(100_000))
+    for (s, i), t in got.items():
+        assert abs(i + 1 - weights[s] * (t + 1)) < 1 + 1e-6 and abs(i - weights[s] * t) < 1 + 1e-6
+
+
+def test_dues_hold_where_sources_end():
+    blocks = {f"s{i}": 1 + i * i % 97 for i in range(700)}
+    weights = {s: n**0.5 for s, n in blocks.items()}
+    got = slots_of(P.make_turns(blocks, weights))
+    total = sum(blocks.values())
+    assert len(got) == total and sorted(got.values()) == list(range(total))
+    for (s, i), t in list(got.items())[::50]:
+        for v, at in ((i / weights[s], 0), ((i + 1) / weights[s], 1)):
+            due = sum(min(blocks[x], weights[x] * v) for x in blocks)
+            assert t > due - 1 - 1e-6 if at == 0 else t < due + 1e-6 + 1
+
+
+def test_every_source_is_scheduled(spark):
+    df = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), F.col("id") % 300).alias("source"))
+    first = {f"s{i}": (3.0 if i == 299 else 1.0) for i in range(300)}
+    for weights in (None, first):
+        rows = P.mix(df, weights, block_rows=1).orderBy("position").collect()
+        assert [r["position"] for r in rows] == list(range(1200))
+        ranks = {}
+        for r in rows:
+            ranks.setdefault(r["source"], []).append((r["block"], r["position"]))
+        # Each source has blocks of its own, 0 to 3, in the order of the mix.
+        assert len(ranks) == 300 and all([b for b, _ in own] == [0, 1, 2, 3] for own in ranks.values())
+    assert ranks["s299"][3][1] < 450
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_rows_are_kept(spark, extra):
     df = fixtures.docs(spark, extra)
