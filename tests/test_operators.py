@@ -142,3 +142,9 @@ def test_forest_importance(spark):
     assert C.feature_importance(rows, ["signal", "noise"], trees=5).first()["feature"] == "signal"
     with pytest.raises(ValueError):
         C.estimator("nope")
+
+
+def test_bag_of_words_keeps_every_term(spark):
+    many = 300_000  # more than CountVectorizer's default
+    rows = spark.range(300).select(F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda x: F.concat(F.lit("t"), x.cast("string"))).alias("tokens"))
+    assert len(C.feature_stages(("bow",))[0].fit(rows).vocabulary) == many

@@ -23,6 +23,10 @@ FOREST = {"numTrees": [90], "maxDepth": [30], "featureSubsetStrategy": ["50", "7
 BOOST = {"maxIter": [60], "maxDepth": [2], "stepSize": [0.8]}
 
 
+#: Terms of a bag of words: as many as a vector can have, so that none at or over min_df is dropped.
+MAX_TERMS = 2**31 - 1
+
+
 def estimator(name: str, seed: int = 0, features: str = "features", label: str = "label") -> Estimator:
     own = {"featuresCol": features, "labelCol": label}
     if name == "lr":
@@ -58,7 +62,7 @@ def feature_stages(features: tuple[str, ...], tokens: str = "tokens", embedding:
         stages.append(ColumnStage(lambda df: df.withColumn("__embedding", array_to_vector(F.transform(embedding, lambda x: x.cast("double") * by)))))
         parts.append("__embedding")
     if "bow" in features:
-        stages += [CountVectorizer(inputCol=tokens, outputCol="__tf", minDF=min_df), IDF(inputCol="__tf", outputCol="__idf"), ColumnStage(_smoothed), Normalizer(inputCol="__tfidf", outputCol="__bow", p=2.0)]
+        stages += [CountVectorizer(inputCol=tokens, outputCol="__tf", minDF=min_df, vocabSize=MAX_TERMS), IDF(inputCol="__tf", outputCol="__idf"), ColumnStage(_smoothed), Normalizer(inputCol="__tfidf", outputCol="__bow", p=2.0)]
         parts.append("__bow")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 
