@@ -9,9 +9,9 @@ fourteen is looked at.
    finds the hashes that splits share. A hash has at most one row per split there, however common it is.
 2. Documents with shared hashes are read again; each such anchor gives its context, the bytes that windows around it
    can hold. A context that a smaller document of the same task has as well is settled there.
-3. The other contexts meet by hash. Right sides (the suffixes) and reversed left sides are each sorted by multikey
-   quicksort with eight-byte letters to a shallow depth, and groups that still agree by a blind trie. Longest common
-   prefixes then give, for each window around an anchor, the smallest document that has it.
+3. The other contexts meet by hash. Right sides (the suffixes) and reversed left sides are each sorted to a
+   shallow depth by numpy's lexsort on eight-byte letters, which stands in for a multikey quicksort, and groups that
+   still agree by a blind trie. Longest common prefixes then give, for each window around an anchor, the smallest document that has it.
 4. Documents equal to a smaller one are removed whole by their digest and take no part in 2 and 3.
 
 Hashes only choose whom to compare; bytes decide.
