@@ -4,6 +4,9 @@ import random
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
+#: Ids that a double can't hold, beside rows without an id.
+LARGE_IDS = [(2**53 + 1, "one text"), (None, "another"), (2**53 + 3, "a third text"), (None, None)]
+
 
 def words(n: int, seed: int) -> str:
     r = random.Random(seed)

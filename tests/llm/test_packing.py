@@ -1,23 +1,21 @@
-import os
-import random
 import zlib
 
 import numpy as np
 import pytest
 
 from textloom.llm import packing as P
-from textloom.llm.queries import VOCABULARY
+from textloom.llm.queries import vocabulary
 
 from . import fixtures
 
-pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+VOCABULARY = vocabulary()
 
 
 @pytest.mark.parametrize("extra", [False, True])
 def test_every_token_is_in_one_piece(spark, extra):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(VOCABULARY.replace(".tiktoken", ".json"))
+    t = Tokenizer.from_file(VOCABULARY)
     got = [r.asDict() for r in P.packing_report(fixtures.docs(spark, extra), VOCABULARY).collect()]
     want = []
     for doc, text, *_ in fixtures.rows():
@@ -36,39 +34,26 @@ def test_every_token_is_in_one_piece(spark, extra):
         assert at <= 1024
 
 
-def test_encoders_agree_on_odd_text():
-    r = random.Random(2)
-    a, b = P.load_encoder(VOCABULARY), P.load_encoder(VOCABULARY.replace(".tiktoken", ".json"))
-    pool = "aZ 09é  \u0085\x1c\t\n\r'sll　中😀_-​́ſK"
-    for _ in range(500):
-        text = "".join(r.choice(pool) for _ in range(r.randint(0, 40)))
-        assert a(text).tolist() == b(text).tolist(), repr(text)
-
-
-def test_special_tokens_and_long_runs_are_encoded_by_the_vocabulary():
+def test_long_and_special_texts():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(VOCABULARY.replace(".tiktoken", ".json"))
-    for path in (VOCABULARY, VOCABULARY.replace(".tiktoken", ".json")):
-        encode = P.load_encoder(path)
-        for text in ("<|endoftext|>", "one <|endoftext|> two", "<|endoftext|", "a" + " " * 1_100_000 + "b", "a" + " \n" * 60_000, " " * 99_999 + "b"):
-            assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
-        assert encode("<|endoftext|>").tolist() == [50256]
+    t = Tokenizer.from_file(VOCABULARY)
+    texts = ["<|endoftext|>", "one <|endoftext|> two", " " * 2_000_000, "a" * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 60_000, ""]
+    for text, ids in zip(texts, P.load_encoder(VOCABULARY)(texts)):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
 
 
-def test_tiktoken_stands_for_the_vocabulary():
-    """Each token is what its own bytes merge to, so merging by ranks and by listed pairs comes to the same; and each
-    kind of character is split alike."""
-    from tokenizers import Tokenizer
+def test_long_texts_are_packed(spark):
+    texts = {1: " " * 2_000_000, 2: "a" * 2_000_000, 3: "\n" * 2_000_000}
+    got = P.packing_report(spark.createDataFrame([*texts.items()], "doc_id bigint, text string"), VOCABULARY).collect()
+    for doc, ids in zip(texts, P.load_encoder(VOCABULARY)([*texts.values()])):
+        own = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == doc)
+        assert [s for s, _ in own] == list(range(0, len(ids) + 1, 1024)) and sum(n for _, n in own) == len(ids) + 1
+
 
-    t = Tokenizer.from_file(VOCABULARY.replace(".tiktoken", ".json"))
-    special = {token.content for token in t.get_added_tokens_decoder().values()}
-    vocabulary = {token: i for token, i in t.get_vocab(with_added_tokens=True).items() if token not in special}
-    assert all([x.id for x in t.model.tokenize(token)] == [i] for token, i in vocabulary.items())
-    encode = P.load_encoder(VOCABULARY)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 61 == 0)]  # all of them were compared once
-    texts = ["a{0}a 1{0}1 !{0}! {0}{0}".format(chr(c)) for c in points]
-    assert all(encode(x).tolist() == y.ids for x, y in zip(texts, t.encode_batch(texts, add_special_tokens=False)))
+def test_large_ids_beside_null_ids(spark):
+    df = spark.createDataFrame(fixtures.LARGE_IDS, "doc_id bigint, text string").coalesce(1)
+    assert sorted((r["doc_id"] for r in P.packing_report(df, VOCABULARY).collect()), key=str) == sorted((d for d, _ in fixtures.LARGE_IDS), key=str)
 
 
 def test_least_squares_against_enumeration():
@@ -89,17 +74,30 @@ def test_least_squares_against_enumeration():
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_plan_places_all_pieces_with_little_padding(seed):
+def test_frames_place_all_pieces_with_little_padding(seed):
     r = np.random.default_rng(seed)
     lengths = np.minimum(1024, r.integers(1, 1025, 20_000) if seed % 2 else r.geometric(0.004, 20_000))
-    h = np.bincount(lengths, minlength=1025)
-    plan = P.make_plan(h, 1024)
-    length = np.repeat(np.arange(1025), h)
-    rank = np.concatenate([np.arange(n) for n in h])
-    seq, order = plan.place(length, rank)
-    used = np.bincount(seq, weights=length)
-    assert len(used) == plan.sequences and used.max() <= 1024 and len({*zip(seq.tolist(), order.tolist())}) == len(seq)
-    assert used.sum() / 1024 / len(used) > 0.97
+    plan = P.make_plan(np.bincount(lengths, minlength=1025), 1024)
+    for frame in (lengths[:16_000], lengths[16_000:], lengths[:1], lengths[:0]):
+        seq, offset, total = P.place(plan, frame)
+        used = np.bincount(seq, weights=frame, minlength=total)
+        assert len(used) == total and (not total or used.min() > 0 and used.max() <= 1024)
+        for s in np.unique(seq)[:200]:
+            own = np.argsort(offset[seq == s])
+            assert offset[seq == s][own].tolist() == (np.cumsum(frame[seq == s][own]) - frame[seq == s][own]).tolist()
+        if len(frame) > 1000:
+            assert used.sum() / 1024 / total > 0.97
+
+
+def test_sequences_follow_the_input(spark, tmp_path):
+    """In each prefix of the sequences, rows come from as far into the input, but for a frame."""
+    docs = spark.createDataFrame([(i, fixtures.words(20 + i * 7 % 300, i)) for i in range(1500)], "doc_id bigint, text string").coalesce(3)
+    docs.write.parquet(f"{tmp_path}/in")
+    cut = P.pieces(spark.read.parquet(f"{tmp_path}/in"), VOCABULARY)
+    got = sorted((tuple(r) for r in P.pack(cut, frame_pieces=100).select("sequence_id", "doc_id").collect()))
+    assert [s for s, _ in got][-1] == len({s for s, _ in got}) - 1 and {d for _, d in got} == set(range(1500))
+    for i in range(0, len(got), 50):
+        assert abs(np.mean([d for _, d in got[i : i + 50]]) - i * 1500 / len(got)) < 250
 
 
 def test_empty_table(spark):

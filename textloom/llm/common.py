@@ -6,7 +6,10 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +95,17 @@ def slots(rows: DataFrame, group: str, part: str, order: list[str], out: str) ->
     numbered = rows.withColumn("__local", local)
     joined = numbered.join(starts, (F.col(group) == F.col(g)) & (F.col(part) == F.col(p)))
     return joined.withColumn(out, (F.col("__from") + F.col("__local") - 1).cast("long")).drop(g, p, "__from", "__local")
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, in parts of about `most` bytes of the column text, a row at least."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist() if b.num_rows else []
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            if i > start and held + n > most:
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if b.num_rows:
+            yield b.slice(start)

@@ -2,87 +2,94 @@
 
 Documents are cut into pieces of at most `window` tokens. The histogram of piece lengths, in classes of `step` tokens,
 is fitted by combinations of up to three classes that fill a window: non-negative least squares gives each
-combination's repeat count, which is rounded down to what is there; what is left is packed greedily, by exact lengths,
-on the histogram. The plan has at most a few thousand combinations, whatever the corpus; pieces find their place in it
-by their rank among the pieces of their length, which counts of input splits give (see common.slots).
-
-Cases: a null or empty text is the end token alone; the string of a special token is that token; texts of any length are packed whole; ties in length are ranked by
-the scan's order; repeated rows are packed as rows of their own; an empty table gives an empty result; other columns
-are not read. Every token is in exactly one piece and every piece in exactly one sequence.
+combination's repeat count for the corpus. Pieces are placed by frames, runs of consecutive pieces of the input: each
+frame takes its share of the repeat counts, rounded to what it holds, and packs greedily, by exact lengths, what is
+left. Sequences are numbered frame after frame, and in a frame by the mean place of their pieces, so that they follow
+the order of the input. The solution has at most as many combinations as there are classes, whatever the corpus; a
+frame is placed where it was read, without a shuffle, and only the frames' numbers of sequences are added up.
+
+Cases: a null or empty text is the end token alone; the string of a special token is that token; texts of any length
+are packed whole; ids of rows are handed on as they are, null or not; repeated rows are packed as rows of their own; an
+empty table gives an empty result; other columns are not read. Every token is in exactly one piece and every piece in
+exactly one sequence.
 """
 
 from __future__ import annotations
 
-import base64
-import re
+import os
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frozen, slots
-
-#: The GPT-2 pre-tokenizer's pattern, which the vocabulary was made for. Fixed value.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
+from .common import frozen, text_batches
 
-#: From so many white-space characters in a row on, a text is encoded by tokenizers: tiktoken fails at about a million.
-LONG_RUN = 100_000
+#: Bytes of text that are encoded at a time, or one text.
+ENCODE_BYTES = 4 << 20
+#: Pieces that are placed together.
+FRAME_PIECES = 16_384
 
 
 def load_encoder(path: str):
-    """text -> ids of the .json (tokenizers) vocabulary, in which a special token's string is that one token.
-
-    For a .tiktoken file (ranks) the vocabulary is the .json file of the same name beside it; tiktoken encodes the texts
-    for which it gives the same ids, which are all but those with a special token's string or a very long blank run.
-    """
+    """texts -> their ids by the tokenizers vocabulary of path; a special token's string is that one token."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json" if path.endswith(".tiktoken") else path)
+    own = Tokenizer.from_file(path)
 
-    def exact(text: str) -> np.ndarray:
-        return np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    if not path.endswith(".tiktoken"):
-        return exact
-    import tiktoken
+    return encode
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    t = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    special = [token.content for token in own.get_added_tokens_decoder().values()]
-    run = re.compile(r"\s{%d}" % LONG_RUN)
 
-    def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special) or (len(text) >= LONG_RUN and run.search(text)):
-            return exact(text)
-        return np.array(t.encode_ordinary(text), dtype="<u4")
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs with __file and __at: for rows read from files, the file's number in its name and the row's in the file,
+    which follow the order in which the rows were written; otherwise the partition's number and the row's."""
+    try:
+        number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+        name = F.concat_ws(" ", F.lpad(number, 12, "0"), F.col("_metadata.file_path"))
+        return docs.withColumns({"__file": name, "__at": F.col("_metadata.row_index")})
+    except AnalysisException:  # not rows of files
+        name = F.lpad(F.spark_partition_id().cast("string"), 12, "0")
+        return docs.withColumns({"__file": name, "__at": F.monotonically_increasing_id()})
 
-    return encode
+
+PLACED = ["file", "at", "start", "length", "ids_crc32", "doc_tokens"]
 
 
 def pieces(docs: DataFrame, vocabulary: str, *, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row per piece: id_col, start, length, ids_crc32, doc_tokens, and with_ids its `ids`."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+    """A row per piece: id_col, file and at (see in_file_order), start, length, ids_crc32, doc_tokens, with_ids its `ids`."""
+    rows = in_file_order(docs).select(F.col(id_col).alias("doc"), F.col("__file").alias("file"), F.col("__at").alias("at"), F.col(text_col).alias("text"))
+    names = ["doc", *PLACED] + ["ids"] * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder(vocabulary)
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc"], b["text"]):
-                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
+        for b in text_batches(batches, "text", ENCODE_BYTES):
+            owner, start, length, crc, size, cut = [], [], [], [], [], []
+            for i, ids in enumerate(encode([t or "" for t in b.column("text").to_pylist()])):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
-                    rows.append((doc, at, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.astype(np.int64)] * with_ids)))
-            yield pd.DataFrame(rows, columns=names).astype({"doc": b["doc"].dtype})
+                    owner.append(i)
+                    start.append(at)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part))
+                    size.append(len(ids))
+                    if with_ids:
+                        cut.append(part.astype(np.int64))
+            own = [b.column(c).take(pa.array(owner, pa.int64())) for c in ("doc", "file", "at")]
+            out = [*own, *(pa.array(x, pa.int64()) for x in (start, length, crc, size))] + [pa.array(cut, pa.list_(pa.int64()))] * with_ids
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    schema = f"doc {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<bigint>" * with_ids
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumnRenamed("doc", id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc {kind}, file string, at bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<bigint>" * with_ids
+    return rows.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, limit: int = 3000) -> np.ndarray:
@@ -131,124 +138,151 @@ def combinations(classes: int) -> list[tuple[int, ...]]:
 
 @dataclass
 class Plan:
-    """first[l], from rank on: see place(). Lengths' ranks below `fitted` go to class slots, the others to residual slots."""
+    """How often each combination of classes is repeated for the whole histogram, and the histogram's number of pieces."""
 
     window: int
     step: int
-    fitted: np.ndarray  # per length: pieces in fitted combinations
-    before: np.ndarray  # per length: fitted pieces of the same class with longer lengths
-    class_slots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    length_slots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    sequences: int = 0
-
-    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sequence, order in it) of the pieces with these lengths and ranks among their length."""
-        seq, order = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        for n in np.unique(length):
-            at = np.flatnonzero(length == n)
-            r = rank[at]
-            fits = r < self.fitted[n]
-            for side, table, k in ((at[fits], self.class_slots.get(-(-int(n) // self.step)), r[fits] + self.before[n]), (at[~fits], self.length_slots.get(int(n)), r[~fits] - self.fitted[n])):
-                if len(side):
-                    starts, bases, many, firsts = table
-                    i = np.searchsorted(starts, k, side="right") - 1
-                    own = k - starts[i]
-                    seq[side] = bases[i] + own // many[i]
-                    order[side] = firsts[i] + own % many[i]
-        return seq, order
+    combos: list[tuple[int, ...]]
+    repeats: np.ndarray
+    pieces: int
 
 
 def make_plan(histogram: np.ndarray, window: int, step: int = 4) -> Plan:
-    """A plan for histogram[l] pieces of each length l up to window."""
+    """The plan for histogram[l] pieces of each length l up to window."""
     if window % step:
         step = 1
     classes = window // step
-    cls = -(-np.arange(window + 1) // step)
-    by_class = np.bincount(cls, weights=histogram, minlength=classes + 1).astype(np.int64)
-    combos = combinations(classes)
-    left = by_class.copy()
-    chosen: list[tuple[tuple[int, ...], int]] = []
+    by_class = np.bincount(-(-np.arange(window + 1) // step), weights=histogram, minlength=classes + 1)
+    combos = combinations(classes)[1:]  # a piece that fills the window alone needs no partner
+    if not combos or not by_class[1:classes].sum():
+        return Plan(window, step, [], np.zeros(0), int(histogram.sum()))
+    a = np.zeros((classes + 1, len(combos)))
+    for j, c in enumerate(combos):
+        np.add.at(a[:, j], list(c), 1)
+    x = nnls(a[1:classes], by_class[1:classes])
+    own = np.flatnonzero(x > 0)
+    own = own[np.argsort(-x[own], kind="stable")]
+    return Plan(window, step, [combos[j] for j in own], x[own], int(histogram.sum()))
+
+
+def place(plan: Plan, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sequence, offset) of each of a frame's pieces, in the frame's order, and the number of sequences."""
+    n = len(lengths)
+    cls = -(-lengths // plan.step)
+    left = np.bincount(cls, minlength=plan.window // plan.step + 1)
+    kinds, times = [], []  # of the chosen sequences: their combination, and when in the frame they come
 
     def take(combo: tuple[int, ...], most: int, have: np.ndarray) -> int:
-        kinds, many = np.unique(combo, return_counts=True)
-        n = int(min(most, (have[kinds] // many).min()))
-        if n > 0:
-            have[kinds] -= n * many
-        return max(n, 0)
-
-    if n := take((classes,), int(left[classes]), left):
-        chosen.append(((classes,), n))
-    if left[1:].sum():
-        a = np.zeros((classes + 1, len(combos) - 1))
-        for j, c in enumerate(combos[1:]):
-            np.add.at(a[:, j], list(c), 1)
-        x = nnls(a[1:classes], left[1:classes].astype(float))
-        for j in np.argsort(-x, kind="stable"):
-            if x[j] < 1:
-                break
-            if n := take(combos[1 + j], int(x[j] + 1e-6), left):
-                chosen.append((combos[1 + j], n))
-    used = by_class - left
-    fitted, before = np.zeros(window + 1, np.int64), np.zeros(window + 1, np.int64)
-    for n in range(window, 0, -1):  # a class's longest pieces are fitted first
-        c = cls[n]
-        done = fitted[max(1, c * step - step + 1) : c * step + 1].sum()
-        before[n] = done
-        fitted[n] = min(histogram[n], used[c] - done)
-    plan = Plan(window, step, fitted, before)
-    plan.class_slots, plan.sequences = _slots(chosen, 0)
-    rest = histogram.astype(np.int64) - fitted
-    rest[0] = 0
-    greedy: list[tuple[tuple[int, ...], int]] = []
-    while rest.any():
-        space, combo, have = window, [], rest.copy()
-        while True:
-            fits = np.flatnonzero(have[: space + 1])
-            if not len(fits):
-                break
-            n = int(fits[-1])
-            k = int(min(have[n], space // n))
-            combo += [n] * k
-            have[n] = 0
-            space -= n * k
-        greedy.append((tuple(combo), take(tuple(combo), int(rest.max()), rest)))
-    plan.length_slots, plan.sequences = _slots(greedy, plan.sequences)
-    return plan
-
-
-def _slots(chosen: list[tuple[tuple[int, ...], int]], base: int) -> tuple[dict, int]:
-    rows: dict[int, list[tuple[int, int, int, int]]] = {}
-    for combo, n in chosen:
-        for kind in sorted(set(combo), reverse=True):
-            many, first = combo.count(kind), combo.index(kind)
-            own = rows.setdefault(kind, [])
-            start = own[-1][0] + own[-1][4] if own else 0
-            own.append((start, base, many, first, many * n))
-        base += n
-    return {k: tuple(np.array([r[i] for r in v], dtype=np.int64) for i in range(4)) for k, v in rows.items()}, base
-
-
-def pack(cut: DataFrame, *, window: int = 1024, step: int = 4) -> DataFrame:
-    """cut (rows with a `length` of 1 to window) with sequence_id, gapless from 0, and offset, gapless in the sequence."""
-    held = frozen(cut.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
+        own, many = np.unique(combo, return_counts=True)
+        k = max(0, min(most, int((have[own] // many).min())))
+        have[own] -= k * many
+        return k
+
+    share = plan.repeats * (n / max(1, plan.pieces))
+    whole = np.floor(share + 1e-9).astype(np.int64)
+    counts = [take(c, int(k), left) for c, k in zip(plan.combos, whole)]
+    for j in np.argsort(whole - share, kind="stable"):  # the largest remainders are rounded up, as far as pieces are there
+        if share[j] - whole[j] >= 0.5:
+            counts[j] += take(plan.combos[j], 1, left)
+    for c, k in zip(plan.combos, counts):
+        kinds += [c] * k
+        times += ((np.arange(k) + 0.5) / max(k, 1)).tolist()
+    used = np.bincount(cls, minlength=len(left)) - left
+    by_class = np.argsort(cls, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[by_class] = np.arange(n) - np.searchsorted(cls[by_class], cls[by_class])
+    fitted = rank < used[cls]
+    seq = _deal(kinds, times, cls, np.flatnonzero(fitted), np.full(n, -1, np.int64), 0)
+    # What is left: longest first, each sequence takes all that still fits.
+    rest = np.flatnonzero(~fitted)
+    have = np.bincount(lengths[rest], minlength=plan.window + 1)
+    greedy: list[tuple[int, ...]] = []
+    while have.any():
+        space, combo, now = plan.window, [], have.copy()
+        while len(fits := np.flatnonzero(now[: space + 1])):
+            size = int(fits[-1])
+            k = int(min(now[size], space // size))
+            combo += [size] * k
+            now[size] = 0
+            space -= size * k
+        greedy += [tuple(combo)] * take(tuple(combo), int(have.max()), have)
+    seq = _deal(greedy, [(i + 0.5) / max(1, len(greedy)) for i in range(len(greedy))], lengths, rest, seq, len(kinds))
+    total = len(kinds) + len(greedy)
+    mean = np.bincount(seq, weights=np.arange(n), minlength=total) / np.maximum(1, np.bincount(seq, minlength=total))
+    new = np.empty(total, np.int64)
+    new[np.argsort(mean, kind="stable")] = np.arange(total)
+    seq = new[seq]
+    order = np.argsort(seq, kind="stable")
+    before = np.cumsum(lengths[order]) - lengths[order]
+    offset = np.empty(n, np.int64)
+    offset[order] = before - before[np.searchsorted(seq[order], seq[order])] if n else before
+    return seq, offset, total
+
+
+def _deal(kinds: list[tuple[int, ...]], times: list[float], key: np.ndarray, pieces: np.ndarray, seq: np.ndarray, base: int) -> np.ndarray:
+    """The pieces of each key, in order, to the sequences that take that key, by time."""
+    if len(pieces):
+        of = np.repeat(np.arange(len(kinds)), [len(c) for c in kinds])
+        want = np.concatenate([np.array(c) for c in kinds])
+        by = np.lexsort((np.array(times)[of], want))
+        seq[pieces[np.argsort(key[pieces], kind="stable")]] = of[by] + base
+    return seq
+
+
+def pack(cut: DataFrame, *, window: int = 1024, step: int = 4, frame_pieces: int = FRAME_PIECES) -> DataFrame:
+    """cut (pieces()) with sequence_id, gapless from 0, and offset, gapless in the sequence; file and at are left out."""
+    held = frozen(cut)
     counts = held.groupBy("length").count().collect()  # at most window rows
     histogram = np.zeros(window + 1, np.int64)
     for r in counts:
         histogram[r["length"]] = r["count"]
     plan = make_plan(histogram, window, step)
-    ranked = slots(held.select("length", "__part", "__row"), "length", "__part", ["__row"], "__rank")
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seq, order = plan.place(b["length"].to_numpy(), b["__rank"].to_numpy())
-            yield pd.DataFrame({"__row": b["__row"], "sequence_id": seq, "__order": order})
-
-    placed = ranked.select("length", "__rank", "__row").mapInPandas(place, "__row bigint, sequence_id bigint, __order bigint")
-    full = held.join(placed, "__row")
-    # A sequence has at most window pieces.
-    earlier = Window.partitionBy("sequence_id").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
-    out = full.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long"))
-    return out.drop("__part", "__row", "__order")
+    names = held.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in _frames(batches, frame_pieces):
+            seq, offset, total = place(plan, frame.column("length").to_numpy())
+            n = frame.num_rows
+            first, begins = frame.column("at")[0].as_py(), frame.column("start")[0].as_py()
+            extra = [pa.array(seq), pa.array(offset), pa.array(np.full(n, first)), pa.array(np.full(n, begins)), pa.array(np.full(n, total))]
+            for x, name in zip(extra, ("__seq", "offset", "__first", "__begins", "__total")):
+                frame = frame.append_column(name, x)
+            yield from frame.to_batches(max_chunksize=10_000)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
+    placed = frozen(held.mapInArrow(run, f"{kinds}, __seq bigint, offset bigint, __first bigint, __begins bigint, __total bigint"))
+    # A row per frame; sums run over the frames of a file, and over files.
+    frames = placed.groupBy("file", "__first", "__begins").agg(F.first("__total").alias("__total"))
+    files = frames.groupBy("file").agg(F.sum("__total").alias("__n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    files = files.select("file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__file_base"))
+    inside = Window.partitionBy("file").orderBy("__first", "__begins").rowsBetween(Window.unboundedPreceding, -1)
+    bases = frames.withColumn("__base", F.coalesce(F.sum("__total").over(inside), F.lit(0))).join(files, "file")
+    bases = bases.select("file", "__first", "__begins", (F.col("__base") + F.col("__file_base")).alias("__base"))
+    out = placed.join(bases, ["file", "__first", "__begins"])
+    return out.withColumn("sequence_id", F.col("__base") + F.col("__seq")).select(*(c for c in names if c not in ("file", "at")), "sequence_id", "offset")
+
+
+def _frames(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Consecutive rows of one file, at most `most` together."""
+    held: list[pa.RecordBatch] = []
+    rows, key = 0, None
+    for b in batches:
+        codes = b.column("file").dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            own = b.column("file")[s].as_py() if e > s else key
+            while s < e:
+                if held and (own != key or rows == most):
+                    yield pa.Table.from_batches(held)
+                    held, rows = [], 0
+                key = own
+                n = min(e - s, most - rows)
+                held.append(b.slice(s, n))
+                rows += n
+                s += n
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def packing_report(docs: DataFrame, vocabulary: str, *, window: int = 1024) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
-#: The vocabulary file of op7; a parameter of the operator.
-VOCABULARY = os.environ.get("TEXTLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+def vocabulary() -> str:
+    """The vocabulary file of op7 and the pipeline; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packing_report(read(spark, sf_dir, "documents"), VOCABULARY)
+    return packing.packing_report(read(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
