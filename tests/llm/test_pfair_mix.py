@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -92,5 +93,52 @@ def test_weights_hold_while_sources_last(spark):
     assert [r["doc_id"] for r in rows] == [r["doc_id"] for r in again]
 
 
+def plain_mix(rows, temperature=0.5, size=32):
+    """Source, block and position of rows (id, source): at each slot the source furthest behind among those whose next
+    block is released; what is due is found by bisection."""
+    blocks = Counter(s for _, s in rows)
+    blocks = {s: -(-n // size) for s, n in blocks.items()}
+    weights = {s: Counter(x for _, x in rows)[s] ** temperature for s in blocks}
+
+    def due(s, t):
+        """Blocks of s due before slot t: weights' shares, none beyond a source's own number."""
+        low, high = 0.0, max(blocks[x] / weights[x] for x in blocks)
+        for _ in range(200):
+            v = (low + high) / 2
+            low, high = (v, high) if sum(min(blocks[x], weights[x] * v) for x in blocks) < t else (low, v)
+        return min(blocks[s], weights[s] * high)
+
+    return blocks, due
+
+
+def test_report_against_dues(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = P.mixing_report(docs, block_rows=4).collect()
+    rows = [(r["doc_id"], r["source"]) for r in docs.collect()]
+    assert sorted(((r["doc_id"], r["source"]) for r in got), key=str) == sorted(rows, key=str)
+    blocks, due = plain_mix(rows, size=4)
+    at = {}
+    for r in got:
+        at.setdefault((r["source"], r["block"]), []).append(r["position"])
+    assert set(at) == {(s, b) for s, n in blocks.items() for b in range(n)}
+    slots = {k: {p // 4 for p in v} for k, v in at.items()}
+    assert all(len(v) == 1 for v in slots.values()) and sorted(t for v in slots.values() for t in v) == list(range(sum(blocks.values())))
+    for (s, b), own in slots.items():
+        (t,) = own
+        assert due(s, t + 1) > b - 1e-6 and due(s, t) < b + 1 + 1e-6  # released, and not late
+
+
+def test_filter_on_position(spark):
+    out = P.mixing_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    every = sorted(r["position"] for r in out.collect())
+    assert sorted(r["position"] for r in out.where("position < 100").collect()) == [p for p in every if p < 100]
+    assert sorted(r["position"] for r in out.where("position > 100 and block = 1").collect()) == sorted(r["position"] for r in out.collect() if r["position"] > 100 and r["block"] == 1)
+
+
+def test_large_ids_beside_null_ids(spark):
+    df = spark.createDataFrame([(d, t, "a") for d, t in fixtures.LARGE_IDS], "doc_id bigint, text string, source string").coalesce(1)
+    assert sorted((r["doc_id"] for r in P.mixing_report(df).collect()), key=str) == sorted((d for d, _ in fixtures.LARGE_IDS), key=str)
+
+
 def test_empty_table(spark):
     assert P.mixing_report(fixtures.none(spark)).collect() == [] and P.mixed(fixtures.none(spark)).collect() == []

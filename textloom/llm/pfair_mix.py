@@ -9,8 +9,8 @@ each source at a time: it holds a record of each source and eight bytes of each
 Numbers of blocks come from counts of hash buckets (see common.slots): a source that holds most rows is numbered by
 many tasks.
 
-Cases: a null source is a source of its own; sources without a weight share `rest`; texts are not looked at except for
-a hash that tells rows of one id apart; repeated rows are rows of their own; an empty table gives an empty result;
+Cases: a null source is a source of its own; sources without a weight share `rest`; columns are not looked at except for
+a hash that tells rows apart and orders those of a source; repeated rows are rows of their own; an empty table gives an empty result;
 other columns are kept as they are.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from array import array
 from bisect import bisect_left
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ TURN_BLOCKS = 1024
 #: Slots that are broadcast at most; a longer table is joined by shuffles.
 BROADCAST_SLOTS = 10_000_000
 #: Rows of a hash bucket, about.
-BUCKET_ROWS = 5_000
+BUCKET_ROWS = 500
 
 
 @dataclass
@@ -115,8 +116,9 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, *, tempe
     turns = make_turns({s: math.ceil(n / block_rows) for s, n in counts.items()}, {s: w if w > 0 else least * 1e-9 for s, w in own.items()})
 
     buckets = max(1, math.ceil(total / BUCKET_ROWS))
+    told_apart = [id_col, text_col, *(f"`{f.name}`" for f in docs.schema.fields if f.name not in (id_col, text_col) and not re.search("map<|variant", f.dataType.simpleString()))]
     # The row travels as a struct, so that no column of its own can clash.
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), stream.alias("__stream"), F.xxhash64(id_col, text_col).alias("__hash"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), stream.alias("__stream"), F.xxhash64(*told_apart).alias("__hash"))
     keyed = keyed.withColumn("__bucket", F.pmod(F.xxhash64("__hash"), F.lit(buckets)))
     ranked = slots(keyed, "__stream", "__bucket", ["__hash"], "__rank")
     ranked = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows))
@@ -127,7 +129,8 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, *, tempe
     table = F.broadcast(table) if sum(len(t.slots) for t in turns) <= BROADCAST_SLOTS else table
     turn = F.floor(F.col("block") / TURN_BLOCKS)
     joined = ranked.join(table, (F.col("__stream") == F.col("__s")) & (turn == F.col("__turn")))
-    slot = F.element_at("__slots", (F.col("block") % TURN_BLOCKS + 1).cast("int"))
+    # Null beyond the end: a filter on the position may come before the join.
+    slot = F.get("__slots", F.pmod("block", F.lit(TURN_BLOCKS)).cast("int"))
     # Slots are gapless; a source's last block may be short and leaves a gap behind it.
     return joined.select("__row", "block", (slot * block_rows + F.col("__rank") % block_rows).alias("position"))
 
