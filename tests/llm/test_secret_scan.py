@@ -80,5 +80,21 @@ def test_report_and_redaction(spark, extra):
         assert S.redact(df).columns == df.columns
 
 
+def test_clashing_columns(spark):
+    df = fixtures.docs(spark, True)
+    assert sorted(map(str, S.secret_report(df).collect())) == sorted(map(str, S.secret_report(fixtures.docs(spark)).collect()))
+
+
+def test_keys_of_letters_need_a_class_that_asks_for_no_digits():
+    key = "key QwErTyUiOpAsDfGhJkLzXcVb end"
+    assert S.Scanner().spans(key) == []
+    assert S.Scanner((S.EntropyClass("letters", "A-Za-z", 20, 4.0, digits=0),)).spans(key)
+
+
+def test_large_ids_beside_null_ids(spark):
+    df = spark.createDataFrame(fixtures.LARGE_IDS, "doc_id bigint, text string").coalesce(1)
+    assert sorted((r["doc_id"] for r in S.secret_report(df).collect()), key=str) == sorted((d for d, _ in fixtures.LARGE_IDS), key=str)
+
+
 def test_empty_table(spark):
     assert S.secret_report(fixtures.none(spark)).collect() == [] and S.redact(fixtures.none(spark)).collect() == []

@@ -71,5 +71,10 @@ def test_deep_shallow_orders_like_sorted():
         assert common[i] == (-1 if g != h else next((k for k in range(26) if a[k] != b[k]), 26))
 
 
+def test_large_ids_beside_null_ids(spark):
+    df = spark.createDataFrame(fixtures.LARGE_IDS, "doc_id bigint, text string").coalesce(1)
+    assert sorted((r["doc_id"] for r in S.suffix_report(df).collect()), key=str) == sorted((d for d, _ in fixtures.LARGE_IDS), key=str)
+
+
 def test_empty_table(spark):
     assert run(fixtures.none(spark)) == []

@@ -2,14 +2,16 @@
 
 HTML parsing yields, per document, an ordered array of text pieces and media references (with their captions).
 References name stored media by digest; a join on the digest resolves them, one row per reference with its position
-and caption. Media are held once per digest, however many documents refer to them, so that a hot payload is stored and
-moved once, and only the small reference rows are skewed (an equi-join that adaptive execution can split).
+and caption. Media are held once per digest, however many documents refer to them, so that a hot payload is stored,
+moved and measured once. The references of a task to one digest travel together (REFS in a row), so that a hot digest
+meets few rows, and are dealt out again after the join.
 
 The stored form here is a grey PNG of 8-bit samples, 24 wide, whose height is the payload's length over 24.
 
 Cases: null html is an empty sequence; null text is an empty payload, padded to 576 bytes; a reference to a digest that
 is not there keeps its row with a null payload; equal texts have equal stored forms; repeated rows give repeated
-results; texts of any length are stored whole; other columns are not read.
+results; ids are handed on as they are, null or not; texts of any length are stored whole; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +25,21 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 UNIT, WIDTH = 576, 24
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Rows handled at a time, so that few encoded payloads are held at once.
 ROWS = 256
+#: Bytes of stored media that are read back at a time, or one medium.
+MEASURE_BYTES = 8 << 20
+#: References of one digest that travel in a row, and references that a task holds to put them together.
+REFS, HELD_REFS = 500, 100_000
 
 
 def pad(data: bytes) -> bytes:
@@ -151,10 +160,40 @@ def sequences(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
 
 
 def resolve(seqs: DataFrame, media: DataFrame, *, id_col: str) -> DataFrame:
-    """A row (id_col, position, caption, digest, stored) per media reference; media: digest, stored, digests unique."""
-    refs = seqs.select(id_col, F.explode("sequence").alias("x")).where("x.digest is not null")
-    refs = refs.select(id_col, "x.position", "x.caption", "x.digest")
-    return refs.join(media.select("digest", "stored"), "digest", "left").select(id_col, "position", "caption", "digest", "stored")
+    """A row per media reference: id_col, position, caption, digest and the other columns of media, whose digests are unique."""
+    refs = seqs.select(F.col(id_col).alias("id"), F.explode("sequence").alias("x")).where("x.digest is not null")
+    refs = refs.select("x.digest", F.struct("id", "x.position", "x.caption").alias("ref"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= HELD_REFS:
+                yield from _by_digest(held)
+                held, rows = [], 0
+        yield from _by_digest(held)
+
+    kind = seqs.schema[id_col].dataType.simpleString()
+    together = refs.mapInArrow(gather, f"digest string, refs array<struct<id:{kind},position:int,caption:string>>")
+    met = together.join(media, "digest", "left")
+    met = met.repartition(F.xxhash64("digest", F.col("refs")[0]))
+    own = [c for c in media.columns if c != "digest"]
+    return met.select(F.explode("refs").alias("r"), "digest", *own).select(F.col("r.id").alias(id_col), "r.position", "r.caption", "digest", *own)
+
+
+def _by_digest(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The references of held, REFS of one digest at most in a row."""
+    table = pa.Table.from_batches(held).sort_by("digest").combine_chunks() if held else None
+    if table is None or not table.num_rows:
+        return
+    digests, refs = table.column("digest").chunk(0), table.column("ref").chunk(0)
+    codes = digests.dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    sizes = np.diff(np.append(starts, len(codes)))
+    cuts = np.concatenate([np.arange(s, s + n, REFS) for s, n in zip(starts, sizes)])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(codes)).astype(np.int32)), refs)
+    yield pa.RecordBatch.from_arrays([digests.take(pa.array(cuts)), lists], ["digest", "refs"])
 
 
 def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -194,21 +233,33 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return pages, media.groupBy("digest").agg(F.first("stored").alias("stored"))
 
 
-def media_report(docs: DataFrame) -> DataFrame:
-    """The contract's columns: every text stored as a medium, referred to by a page, resolved and read back."""
-    pages, media = store_texts(docs)
-    found = resolve(sequences(pages, id_col="doc_id"), media, id_col="doc_id")
+MEASURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+
+def measured(media: DataFrame) -> DataFrame:
+    """digest and what its stored form, read back, measures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, "stored", MEASURE_BYTES):
             rows = []
-            for doc_id, caption, stored in zip(b["doc_id"], b["caption"], b["stored"]):
+            for stored in b.column("stored").to_pylist():
                 x = decode_png(stored)
                 payload = x.tobytes()
-                sums = x.sum(dtype=np.int64), (x.astype(np.int64) ** 2).sum(), (x >= 128).sum()
-                parts = np.bincount(x.reshape(-1) >> 5, minlength=8)
+                counts = np.bincount(x.reshape(-1), minlength=256)
+                values = np.arange(256)
+                sums = counts @ values, counts @ (values * values), counts[128:].sum()
+                parts = counts.reshape(8, 32).sum(axis=1)
                 feature = f"{x.shape[1]}x{x.shape[0]};sum={sums[0]};squares={sums[1]};high={sums[2]};eighths={'/'.join(map(str, parts))}"
-                rows.append((doc_id, int(caption), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": b["doc_id"].dtype})
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), *columns], ["digest", *(c.split()[0] for c in MEASURES.split(", "))])
+
+    return media.select("digest", "stored").mapInArrow(run, f"digest string, {MEASURES}")
+
 
-    return found.mapInPandas(measure, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+def media_report(docs: DataFrame) -> DataFrame:
+    """The contract's columns: every text stored as a medium, referred to by a page, resolved and read back."""
+    pages, media = store_texts(docs)
+    found = resolve(sequences(pages, id_col="doc_id"), measured(media), id_col="doc_id")
+    return found.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), *(c.split()[0] for c in MEASURES.split(", ")))

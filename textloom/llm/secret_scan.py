@@ -2,10 +2,13 @@
 
 Candidates are long runs of key-like characters. For each character class a window slides over the candidate's runs
 of that class; the window's entropy is kept up by adding and taking away one character's count. Windows at or over the
-class's entropy join into spans. Spans that lie in a pattern's span, or that the allow-list matches, are not added.
+class's entropy join into spans. A window must also hold as many digits and letters as its class asks for (two of each
+here: long words and file names of letters alone have as much entropy as keys, so that keys without digits are only
+found by a class that asks for none). Spans that lie in a pattern's span, or that the allow-list matches, are not added.
 
 Cases: a null text is empty and has no spans; texts of any length are scanned whole; repeated rows give repeated
-results; an empty table gives an empty result; other columns are not read (redact() keeps them as they are).
+results; ids are handed on as they are, null or not; an empty table gives an empty result; other columns are not read
+(redact() keeps them as they are).
 """
 
 from __future__ import annotations
@@ -16,9 +19,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
+#: Bytes of text that are scanned at a time, or one text.
+SCAN_BYTES = 4 << 20
 KINDS = ("assign", "access", "hex", "entropy")
 _WORDS = ("password", "passwd", "secret", "token", "api_?key")
 
@@ -35,12 +43,14 @@ _HINTS = ("passw", "secret", "token", "api")
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """A window over characters of `alphabet` is suspect from `bits` of entropy on, if it mixes digits and letters."""
+    """A window over characters of `alphabet` is suspect from `bits` of entropy on, with `digits` and `letters` at least."""
 
     name: str
     alphabet: str
     window: int
     bits: float
+    digits: int = 2
+    letters: int = 2
 
 
 CLASSES = (
@@ -60,8 +70,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGIT, _LETTER = frozenset("0123456789"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def entropy_windows(run: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
-    """Spans of run whose windows have at least `bits` of entropy and two digits and two letters or more."""
+def entropy_windows(run: str, window: int, bits: float, least_digits: int = 2, least_letters: int = 2) -> Iterator[tuple[int, int]]:
+    """Spans of run whose windows have at least `bits` of entropy, and as many digits and letters as given or more."""
     if len(run) < window:
         return
     plogp = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
@@ -81,7 +91,7 @@ def entropy_windows(run: str, window: int, bits: float) -> Iterator[tuple[int, i
             total += plogp[n - 1] - plogp[n]
             digits -= gone in _DIGIT
             letters -= gone in _LETTER
-        if i >= window - 1 and total <= limit and digits >= 2 and letters >= 2:
+        if i >= window - 1 and total <= limit and digits >= least_digits and letters >= least_letters:
             if i - window + 1 > end:
                 if start >= 0:
                     yield start, end
@@ -95,6 +105,7 @@ class Scanner:
     def __init__(self, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED):
         self.classes = [(c, re.compile(f"[{c.alphabet}]{{{c.window},}}")) for c in classes]
         self.allowed = [re.compile(a) for a in allowed]
+        self.mixed = all(c.digits for c in classes)
 
     def base(self, text: str) -> list[tuple[str, int, int]]:
         found = []
@@ -109,11 +120,11 @@ class Scanner:
         found: list[tuple[int, int]] = []
         for m in _CANDIDATE.finditer(text):
             word = m[0]
-            if word.isalpha() or any(a.fullmatch(word) for a in self.allowed):
+            if (self.mixed and word.isalpha()) or any(a.fullmatch(word) for a in self.allowed):
                 continue
             for c, runs in self.classes:
                 for r in runs.finditer(word):
-                    for a, b in entropy_windows(r[0], c.window, c.bits):
+                    for a, b in entropy_windows(r[0], c.window, c.bits, c.digits, c.letters):
                         found.append((m.start() + r.start() + a, m.start() + r.start() + b))
         joined: list[list[int]] = []
         for a, b in sorted(found):
@@ -142,13 +153,16 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cla
     """id_col and `spans`, an array of (kind, start, end), for each row of docs. One pass, no shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(classes, allowed)
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in scanner.spans(t)] for t in b["text"]]})
+        for b in text_batches(batches, "text", SCAN_BYTES):
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in scanner.spans(t)] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, shape)], ["id", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    out = rows.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
     return out.withColumnRenamed("id", id_col)
 
 

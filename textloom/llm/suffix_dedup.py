@@ -28,13 +28,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frozen, release
+from .common import frozen, release, text_batches
 from .packed import packed_texts, unpacked
 
 #: Bytes of text whose anchors are held at a time.
@@ -455,12 +454,12 @@ def cut_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text
     rows = packed_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     both = rows.join(spans, ["id", "text_hash"], "left").select(F.col("id").cast(kind).alias("id"), "packed", "spans")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, data, own in zip(b["id"], unpacked(b["packed"]), b["spans"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, "packed", PART):
+            sizes, removed, many, rest = [], [], [], []
+            for data, own in zip(unpacked(b.column("packed").to_pylist()), b.column("spans").to_pylist()):
                 merged: list[list[int]] = []
-                for x in own if own is not None else ():
+                for x in own or ():
                     if merged and x["start"] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], x["end"])
                     else:
@@ -469,10 +468,14 @@ def cut_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text
                 for s, e in merged:
                     kept.append(data[at:s])
                     at = e
-                out.append((doc, len(data), sum(e - s for s, e in merged), len(merged), b"".join([*kept, data[at:]])))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    out = both.mapInPandas(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+                sizes.append(len(data))
+                removed.append(sum(e - s for s, e in merged))
+                many.append(len(merged))
+                rest.append(b"".join([*kept, data[at:]]))
+            counts = [pa.array(x, pa.int64()) for x in (sizes, removed, many)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *counts, pa.array(rest, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    out = both.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
