@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from textloom.llm import ngram_join, packing, pfair_mix, quality_mil, queries, secret_scan
 from textloom.llm.common import discard, scratch
 
+#: The key of a row in drop_near_duplicates.
+KEY = "__row_key"
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (a score below 0.5) go."""
@@ -24,15 +27,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows of one id count as one document."""
-    classes = ngram_join.shingle_components(docs)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if twice.limit(1).count():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        return named.unionByName(kept.where("doc_id is null"))
-    return kept
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Rows are told apart by a key of their own: rows of one id with unrelated texts all stay, and rows without an id are
+    documents like any other, which stay only if their group has no id.
+    """
+    keyed = docs.withColumn(KEY, F.monotonically_increasing_id())
+    classes = ngram_join.shingle_components(keyed, id_col=KEY).select(KEY, "component_id")
+    # Only rows of groups of two and more are looked at again: a group's first row is its component's key.
+    grouped = classes.where(f"{KEY} <> component_id")
+    heads = grouped.select(F.col("component_id").alias(KEY), "component_id").distinct()
+    members = grouped.unionByName(heads).join(keyed.select(KEY, "doc_id"), KEY)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
+    stays = members.groupBy("component_id").agg(F.min_by(KEY, order).alias("__stays"))
+    gone = members.join(stays, "component_id").where(f"{KEY} <> __stays").select(KEY)
+    return keyed.join(gone, KEY, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packing_report(docs, queries.VOCABULARY)
+    """Sequences of the documents; they follow the order of the mix, frame by frame (see packing)."""
+    return packing.packing_report(docs, queries.vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
