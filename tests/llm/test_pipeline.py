@@ -3,7 +3,7 @@
 import corpus_pipeline as C
 import pytest
 
-from textloom.llm import quality_mil, secret_scan
+from textloom.llm import packing, quality_mil, secret_scan
 
 from . import fixtures
 from .test_ngram_join import plain_components
@@ -39,9 +39,47 @@ def test_one_document_of_each_group_stays(spark, docs):
 
 
 def test_near_duplicates_of_edge_rows(spark):
-    out = STAGES["near_duplicates"](spark, fixtures.docs(spark), SF)
-    want = {c for d, _, c in plain_components([(r[0], r[1]) for r in fixtures.rows()]) if d is not None}
-    assert sorted(r["doc_id"] for r in out.where("doc_id is not null").collect()) == sorted(want) and out.where("doc_id is null").count() == 1
+    df = fixtures.docs(spark)
+    out = STAGES["near_duplicates"](spark, df, SF)
+    rows = fixtures.rows()
+    keyed = [(i, r[1]) for i, r in enumerate(rows)]
+    groups = {}
+    for i, _, c in plain_components(keyed):
+        groups.setdefault(c, []).append(i)
+    want = [rows[min(own, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))][:2] for own in groups.values()]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_unrelated_rows_of_one_id_all_stay(spark):
+    a, b, c = (fixtures.words(50, i) for i in range(3))
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (None, None), (None, None)]
+    out = STAGES["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (None, None), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "secrets", "mixing", "packing"])
+def test_edge_rows_and_clashing_columns(spark, name):
+    plain, extra = (STAGES[name](spark, fixtures.docs(spark, e), SF) for e in (False, True))
+    same = ["doc_id", "start", "length", "ids_crc32"] if name == "packing" else ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(map(str, plain.select(same).collect())) == sorted(map(str, extra.select(same).collect()))
+    if name != "packing":
+        assert extra.columns == fixtures.docs(spark, True).columns
+    if name in ("secrets", "mixing"):
+        assert extra.count() == len(fixtures.rows())
+
+
+def test_sequences_follow_the_mix(spark, docs, tmp_path):
+    """In any prefix of the sequences each source has its share of the mix so far, but for a frame."""
+    STAGES["mixing"](spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    order = [r["source"] for r in packing.in_file_order(mixed).orderBy("__file", "__at").collect()]
+    cut = packing.pack(packing.pieces(mixed, C.queries.vocabulary()), frame_pieces=40)
+    of = {r["doc_id"]: r["source"] for r in docs.collect()}
+    placed = [of[r["doc_id"]] for r in cut.where("start = 0").orderBy("sequence_id", "offset").collect()]
+    assert sorted(placed, key=str) == sorted(order, key=str)
+    for n in range(10, len(order), 10):
+        for s in set(order):
+            assert abs(placed[:n].count(s) - order[:n].count(s)) <= 20
 
 
 def test_secrets_are_gone_and_all_documents_stay(spark, docs):
