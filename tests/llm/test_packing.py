@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -43,6 +44,17 @@ def test_long_and_special_texts():
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_words_are_encoded_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    r, t, encode = random.Random(2), Tokenizer.from_file(VOCABULARY), P.load_encoder(VOCABULARY)
+    pool = "aZ 09é  \u0085\x1c\t\n\r'sll　中😀_-\u200b\u0301ſK\xa0"
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += ["a{0}a 1{0}1 !{0}! {0} {0}{0}".format(chr(c)) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for text, ids, plain in zip(texts, encode(texts), t.encode_batch(texts, add_special_tokens=False)):
+        assert ids.tolist() == plain.ids, repr(text)
+
+
 def test_long_texts_are_packed(spark):
     texts = {1: " " * 2_000_000, 2: "a" * 2_000_000, 3: "\n" * 2_000_000}
     got = P.packing_report(spark.createDataFrame([*texts.items()], "doc_id bigint, text string"), VOCABULARY).collect()

@@ -17,9 +17,11 @@ exactly one sequence.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +37,82 @@ ENCODE_BYTES = 4 << 20
 FRAME_PIECES = 16_384
 
 
-def load_encoder(path: str):
-    """texts -> their ids by the tokenizers vocabulary of path; a special token's string is that one token."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype="<u4") for x in own.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return encode
+#: Longest word whose ids are kept, and words that are kept at a time (twice as many at most).
+WORD, WORDS = 40, 150_000
+#: The place before a single blank or line end between two characters that are no white space: byte-level
+#: pre-tokenizers end a token there.
+_GAP = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Marks the first word of a text, which has no blank before it.
+_FIRST = "\x01"
+
+
+class Encoder:
+    """Texts' ids by the tokenizers vocabulary of path; a special token's string is that one token.
+
+    A byte-level pre-tokenizer, in front of which no normalizer stands, ends a token at each single blank or line end,
+    so that words can be encoded on their own; the ids of short ones are kept. Other vocabularies encode whole texts.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.own = Tokenizer.from_file(path)
+        self.special = [_FIRST, *(t.content for t in self.own.get_added_tokens_decoder().values())]
+        (line_end,) = ends if len(ends := self._fresh(["\n"])[0]) == 1 else (None,)
+        self.line_end = line_end
+        self.by_word = line_end is not None and self.own.normalizer is None and isinstance(self.own.pre_tokenizer, pre_tokenizers.ByteLevel)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _fresh(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, text: str) -> list[str]:
+        """A text's words; those after a line end start with it, those after a blank do not, the first has a mark."""
+        if not any(x in text for x in ("  ", " \n", "\n ", "\n\n")) and text.replace("\n", "").isprintable() and text.strip(" \n") == text:
+            own = text.replace("\n", " \n").split(" ")
+        else:
+            own = [w.removeprefix(" ") for w in _GAP.split(text)]
+            own[0] = " " * text.startswith(" ") + own[0]
+        own[0] = _FIRST + own[0]
+        return own
+
+    def _learn(self, words: list[str]) -> None:
+        for w in [w for w in words if w in self.older]:
+            self.known[w] = self.older[w]
+        new = [w for w in words if w not in self.known]
+        core = {w: w[1:] if w[:1] in (_FIRST, "\n") else w for w in new}
+        plain = [w for w, x in core.items() if x and " " not in x and x.isprintable()]
+        # One text, a word a line.
+        (ids,) = self._fresh(["\n".join(core[w] if w[0] in (_FIRST, "\n") else " " + w for w in plain)])
+        cuts = np.flatnonzero(ids == self.line_end) * 4
+        raw, head = ids.tobytes(), np.array([self.line_end], dtype="<u4").tobytes()
+        for w, s, e in zip(plain, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]):
+            self.known[w] = head + raw[s:e] if w[0] == "\n" else raw[s:e]
+        odd = [w for w in new if w not in self.known]
+        whole = [w.removeprefix(_FIRST) if w[:1] in (_FIRST, "\n") else " " + w for w in odd]
+        self.known |= zip(odd, (x.tobytes() for x in self._fresh(whole)))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.known) > WORDS:
+            self.known, self.older = {}, self.known
+        words = [self._words(t) if t and self.by_word and not any(s in t for s in self.special) else [] for t in texts]
+        new = {w for own in words for w in own} - self.known.keys()
+        self._learn(list(new))
+        rest = iter(self._fresh([t for t, own in zip(texts, words) if not own]))
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, own)), dtype="<u4") if own else next(rest) for own in words]
+        for w in new:
+            if len(w) > WORD:
+                del self.known[w]
+        return out
+
+
+@cache
+def load_encoder(path: str) -> Encoder:
+    """One for a worker's tasks."""
+    return Encoder(path)
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
