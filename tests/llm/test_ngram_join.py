@@ -22,7 +22,7 @@ def plain_sets(texts, n=5):
 
 def plain_components(rows, percent=75):
     sets = plain_sets([t for _, t in rows])
-    part = list(range(len(rows)))
+    part, links = list(range(len(rows))), [0] * len(rows)
 
     def top(i):
         while part[i] != i:
@@ -33,10 +33,12 @@ def plain_components(rows, percent=75):
         a, b = sets[i], sets[j]
         if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
             part[top(j)] = top(i)
+            links[i] += 1
+            links[j] += 1
     out = []
     for i, (doc, _) in enumerate(rows):
         same = [rows[j][0] for j in range(len(rows)) if top(j) == top(i) and rows[j][0] is not None]
-        out.append((doc, len(sets[i]), None if doc is None else min(same)))
+        out.append((doc, len(sets[i]), None if doc is None else min(same), links[i]))
     return sorted(out, key=str)
 
 

@@ -33,7 +33,7 @@ def test_quality_keeps_what_the_model_accepts(spark, docs):
 
 
 def test_one_document_of_each_group_stays(spark, docs):
-    want = sorted({c for _, _, c in plain_components([(r["doc_id"], r["text"]) for r in docs.collect()])})
+    want = sorted({c for _, _, c, _ in plain_components([(r["doc_id"], r["text"]) for r in docs.collect()])})
     out = STAGES["near_duplicates"](spark, docs, SF)
     assert ids(out) == want and out.columns == docs.columns
 
@@ -44,7 +44,7 @@ def test_near_duplicates_of_edge_rows(spark):
     rows = fixtures.rows()
     keyed = [(i, r[1]) for i, r in enumerate(rows)]
     groups = {}
-    for i, _, c in plain_components(keyed):
+    for i, _, c, _ in plain_components(keyed):
         groups.setdefault(c, []).append(i)
     want = [rows[min(own, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))][:2] for own in groups.values()]
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)

@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,16 @@ SLOTS = 1 << 20
 BLOCKS = 64
 #: Bytes of text whose shingles are held at a time.
 SEGMENT = 2 << 20
-#: Partners of one document that are compared with it in one task.
+#: Sets that ask one pivot in one task.
 SALT_ROWS = 2000
+#: Rows of regions that a task looks at together, and sets of one region among them that travel apart from it.
+SEGMENT_ROWS, HOT_ROWS = 1_000_000, 64
+#: Shingles of the members of a cell that are in one block.
+BLOCK_TOKENS = 250_000
+#: Places that one row asks a set for, and bytes of a set that are written at a time.
+LIST_ROWS, SENT_BYTES = 500, 4 << 20
+#: Of distances in floating point: what is this near to a bound is compared exactly.
+SLACK = 1e-9
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -126,49 +135,52 @@ def may_link(a: Column, b: Column, percent: int) -> Column:
 
 
 def shingle_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id for each row of docs; two rows link if 100 * |a & b| >= percent * |a | b|."""
+    """id_col, n_shingles, component_id, n_links (with how many other rows it links) for each row of docs; two rows link
+    if 100 * |a & b| >= percent * |a | b|."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     surveyed = frozen(_survey(rows, n))
     classes = _slot_classes(surveyed)
-    # One node per set. rep: the smallest id that has it; rows without an id are no nodes.
+    # One node per set. rep: the smallest id that has it; copies: how many rows; rows without an id are no nodes.
     known = surveyed.where("block is null")
-    nodes = frozen(known.where("n > 0 and id is not null").groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("map").alias("map")))
+    nodes = frozen(known.where("n > 0 and id is not null").groupBy("sid", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("map").alias("map")))
     n_nodes = nodes.count()
-    regions = frozen(_regions(rows, classes, n, percent))
+    members = frozen(_members(_regions(rows, classes, n, percent)))
     release(docs, n_nodes)
-
-    # A region's pivot document has the largest share of shingles that many sets have: of a large group of edited
-    # copies the text that they come from, near all of them.
-    pivot = F.min(F.struct(-F.col("share"), F.col("sid"))).over(Window.partitionBy("h"))["sid"]
-    stars = regions.withColumn("a", pivot).where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
-    # One pivot for each member suffices here: what it leaves unconnected is compared below.
-    stars = _possible(stars, nodes, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = frozen(_verified(rows, stars, nodes, n, percent))
+    homes = frozen(_homes(rows, members, nodes, n, percent))
+    cells = frozen(_cells(homes, nodes, percent))
     release(docs, n_nodes)
-    labels = components(links)
-
-    # Members of different components of a region.
-    joined = regions.join(labels, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
-    w = Window.partitionBy("h")
-    mixed = joined.withColumns({"lo": F.min("part").over(w), "hi": F.max("part").over(w)}).where("lo <> hi").select("h", "sid", "n", "place", "part")
-    mixed = mixed.join(nodes.select("sid", "map"), "sid")
-    one, two = (mixed.select([F.col(c).alias(f"{c}{i}") for c in mixed.columns]) for i in (1, 2))
-    rule = (F.col("h1") == F.col("h2")) & (F.col("sid1") < F.col("sid2")) & (F.col("part1") != F.col("part2")) & may_link(F.col("n1"), F.col("n2"), percent)
-    # All that a pair has in common stands no earlier than its first common shingle.
-    common = F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent))
-    rule = rule & (F.col("place1") <= F.col("n1") - common) & (F.col("place2") <= F.col("n2") - common)
-    rule = rule & _near(F.col("map1"), F.col("map2"), F.col("n1") + F.col("n2"), percent)
-    others = one.join(two, rule).select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct()
-    more = frozen(_verified(rows, others, nodes, n, percent))
+    visits = frozen(_visits(members, homes, cells, nodes, percent))
+    found = frozen(_compared(rows, visits, homes, cells, nodes, n, percent))
     release(docs, n_nodes)
-    labels = components(links.unionByName(more))
 
-    reps = nodes.select("sid", "rep").join(labels, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    # Members of a cell hang together by its pivot, and a pivot that lives in another cell by that cell's.
+    crossing = found.where("host is not null").join(homes.select("sid", "cell"), "sid").select(F.col("cell").alias("a"), F.col("host").alias("b")).where("a <> b").distinct()
+    moved = cells.select(F.col("cell").alias("a")).join(homes.select(F.col("sid").alias("a"), F.col("cell").alias("b")), "a").where("a <> b")
+    parts = components(crossing.unionByName(moved).distinct())
+    counted = found.groupBy("sid").agg(F.sum("links").alias("links"))
+    # Any two members within half the distance of the pivot link.
+    near = F.when(F.col("dist") <= _half(percent), F.col("core") - F.col("copies")).otherwise(0)
+    inside = homes.join(cells.select("cell", "core"), "cell").select("sid", "cell", near.alias("near"))
+    inside = inside.join(counted, "sid", "left").join(parts.withColumnRenamed("sid", "cell"), "cell", "left")
+    reps = nodes.select("sid", "rep", "copies").join(inside, "sid", "left").withColumn("part", F.coalesce("part", "cell", "sid"))
+    reps = reps.withColumn("n_links", F.col("copies") - 1 + F.coalesce("near", F.lit(0)) + F.coalesce("links", F.lit(0)))
+    reps = frozen(reps.select("sid", "rep", "part", "n_links"))
     least = reps.groupBy("part").agg(F.min("rep").alias("component_id"))
-    final = frozen(reps.join(least, "part").select("sid", "component_id"))
+    final = frozen(reps.join(least, "part").select("sid", "component_id", "n_links"))
+    release(docs, n_nodes)
     out = known.join(final, "sid", "left")
-    mine = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("component_id"))
+    named = F.col("id").isNotNull()
+    mine = F.when(named, F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("component_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
+def _far(percent: int) -> float:
+    """The greatest distance of a link."""
+    return 1 - percent / 100
+
+
+def _half(percent: int) -> float:
+    return _far(percent) / 2 - SLACK
 
 
 def _survey(rows: DataFrame, n: int) -> DataFrame:
@@ -217,15 +229,45 @@ def _slot_classes(surveyed: DataFrame) -> np.ndarray:
     return np.where(extra > 0, 1 + np.log2(np.maximum(counts - mean, 1)), 0).astype(np.uint8)
 
 
+#: Kinds of rows of _regions.
+ROW, SUMMARY, HELD = 0, 1, 2
+
+
 def _regions(rows: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(h, sid, n, place, share): each set in the regions of its first shingles, where there are other sets too.
+    """Each set in the regions of its first shingles.
 
-    place: the shingle's number in the set's order, from 0.
-    share: thousandths of the set's shingles that are frequent.
+    ROW: (h, sid, n, place, share, core); place is the shingle's number in the set's order, from 0; share thousandths of
+    the set's shingles that are frequent; core whether the set can be the smaller one of a pair that meets here.
+    Where many sets of one segment of a task are in a region, the segment gives a SUMMARY, the row that would be the
+    pivot, under the segment's number seg; the sets themselves are HELD rows, dealt out by salt.
     """
+    names = ["h", "salt", "kind", "seg", "sid", "n", "place", "share", "core"]
+
+    def given(h, salt, kind, seg, sid, size, place, share, core) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(h), 200_000):
+            s = slice(i, i + 200_000)
+            kinds = [(h, np.int64), (salt, np.int16), (kind, np.int8), (seg, np.int64), (sid, np.int64), (size, np.int32), (place, np.int32), (share, np.int16), (core, bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[s].astype(k)) for x, k in kinds], names)
+
+    def segment(held: list[tuple], seg: int) -> Iterator[pa.RecordBatch]:
+        h, sid, size, place, share = (np.concatenate(x) for x in zip(*held))
+        core = place <= size - -(-2 * percent * size // (100 + percent))
+        order = np.lexsort((sid, -share, h))  # a region's pivot comes first
+        h, sid, size, place, share, core = (x[order] for x in (h, sid, size, place, share, core))
+        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        many = np.diff(np.append(cut, len(h)))
+        hot = np.repeat(many >= HOT_ROWS, many)
+        zero = np.zeros(len(h), np.int64)
+        salt = np.where(hot, 1 + (sid & 63), 0)
+        yield from given(h, salt, np.where(hot, HELD, ROW), np.where(hot, seg, 0), sid, size, place, share, core)
+        top = cut[many >= HOT_ROWS]
+        if len(top):
+            any_core = np.logical_or.reduceat(core, cut)[many >= HOT_ROWS]
+            yield from given(h[top], zero[top], zero[top] + SUMMARY, zero[top] + seg, sid[top], size[top], place[top], share[top], any_core)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held, many, seg = [], 0, TaskContext.get().partitionId() << 24
         for part, texts in _texts(batches):
             tokens, cut = shingle_sets(texts, n)
             sizes = np.diff(cut)
@@ -236,28 +278,42 @@ def _regions(rows: DataFrame, classes: np.ndarray, n: int, percent: int) -> Data
                 seen.add(int(sids[i]))
             owner = np.repeat(np.arange(len(texts)), sizes)
             kind = classes[tokens & np.uint64(SLOTS - 1)]
-            share = 1000 * np.bincount(owner, weights=kind > 0, minlength=len(texts)) // np.maximum(sizes, 1)
+            share = 1000 * np.bincount(owner, weights=kind > 0, minlength=len(texts)).astype(np.int64) // np.maximum(sizes, 1)
             order = np.lexsort((tokens, kind, owner))
             place = np.arange(len(tokens)) - cut[:-1][owner]
             # A linked set has ceil(percent / 100 * size) of these shingles at least.
             window = sizes - -(-percent * sizes // 100) + 1
             pick = new[owner] & (place < window[owner])
-            h, own = tokens[order][pick].view(np.int64), owner[pick]
-            for i in range(0, len(h), 200_000):
-                s = slice(i, i + 200_000)
-                o = own[s]
-                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(sids[o]), pa.array(sizes[o].astype(np.int32)), pa.array(place[pick][s].astype(np.int32)), pa.array(share[o].astype(np.int16))], ["h", "sid", "n", "place", "share"])
-
-    every = rows.where("id is not null").select("text").mapInArrow(run, "h long, sid long, n int, place int, share short")
-    w = Window.partitionBy("h")
-    # Of a linked pair the smaller set has the region's shingle among its first 1 - 2p / (1 + p).
-    core = F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
-    met = every.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w), "any": F.max(core).over(w)})
-    return met.where("lo <> hi and any").groupBy("h", "sid", "n", "place", "share").agg(F.lit(1).alias("one")).drop("one")
-
-
-def _near(a: Column, b: Column, sizes: Column, percent: int) -> Column:
-    """Whether two bitmaps allow a link: |a ^ b| is at most (100 - percent) / (100 + percent) of |a| + |b|."""
+            own = owner[pick]
+            held.append((tokens[order][pick].view(np.int64), sids[own], sizes[own].astype(np.int32), place[pick].astype(np.int32), share[own].astype(np.int16)))
+            many += len(own)
+            if many >= SEGMENT_ROWS:
+                yield from segment(held, seg)
+                held, many, seg = [], 0, seg + 1
+        if many:
+            yield from segment(held, seg)
+
+    return rows.where("id is not null").select("text").mapInArrow(run, "h long, salt short, kind byte, seg long, sid long, n int, place int, share short, core boolean")
+
+
+def _members(regions: DataFrame) -> DataFrame:
+    """(h, sid, n, place, pivot, rank) of the sets in regions where a pair can meet.
+
+    A region's pivot is the set with the largest share of frequent shingles: of a large group of edited copies the text
+    that they come from, near all of them. A region comes together from rows and summaries, however many sets it has.
+    """
+    w = Window.partitionBy("h", "salt")
+    seen = regions.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w), "hot": F.max("kind").over(w) == SUMMARY, "any": F.max("core").over(w), "top": F.min(F.struct(-F.col("share"), F.col("sid"))).over(w)})
+    met = seen.where((F.col("kind") == HELD) | ((F.col("lo") != F.col("hi")) | F.col("hot")) & F.col("any"))
+    met = frozen(met.select("h", "kind", "seg", "sid", "n", "place", F.col("top.sid").alias("pivot"), (-F.col("top.col1")).cast("short").alias("rank")))
+    rows = met.where(F.col("kind") == ROW).select("h", "sid", "n", "place", "pivot", "rank")
+    tops = met.where(F.col("kind") == SUMMARY).select("h", "seg", "pivot", "rank")
+    held = met.where(F.col("kind") == HELD).select("h", "seg", "sid", "n", "place").join(tops, ["h", "seg"])
+    return rows.unionByName(held.drop("seg")).distinct()
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """A lower bound of |a ^ b| from bitmaps; 0 where they can't be compared."""
     least = F.least(F.size(a), F.size(b))
 
     def folded(x: Column) -> Column:
@@ -265,28 +321,111 @@ def _near(a: Column, b: Column, sizes: Column, percent: int) -> Column:
         return F.when(F.size(x) > least, halves).otherwise(x)
 
     differ = F.aggregate(F.zip_with(folded(a), folded(b), lambda y, z: F.bit_count(y.bitwiseXOR(z))), F.lit(0), lambda y, z: y + z)
-    return (F.greatest(F.size(a), F.size(b)) > 2 * least) | (differ * (100 + percent) <= sizes * (100 - percent))
+    return F.when(F.greatest(F.size(a), F.size(b)) > 2 * least, F.lit(0)).otherwise(differ)
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that sizes and bitmaps don't rule out."""
+def _within(map_a: Column, map_b: Column, n_a: Column, n_b: Column, distance: Column) -> Column:
+    """Whether sets with these bitmaps and sizes may be within the distance: |a ^ b| = x makes it 2x / (|a| + |b| + x)."""
+    apart = F.greatest(_bits_apart(map_a, map_b), F.abs(n_a - n_b))
+    return 2 * apart <= (distance + SLACK) * (n_a + n_b + apart)
+
+
+def _homes(rows: DataFrame, members: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sid, n, copies, cell, dist): each set in the cell of a pivot within the distance of a link, or in its own.
+
+    Of its regions' pivots that bitmaps allow a set asks the first, by share; dist is the exact distance.
+    """
+    asks = members.where("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b"), "rank").distinct()
     one, two = (nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}")) for x in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b").where(may_link(F.col("na"), F.col("nb"), percent))
-    return both.where(_near(F.col("ma"), F.col("mb"), F.col("na") + F.col("nb"), percent)).select("a", "b")
+    able = asks.join(two, "b").join(one, "a").where(may_link(F.col("na"), F.col("nb"), percent))
+    able = able.where(_within(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), F.lit(_far(percent))))
+    first = frozen(able.groupBy("b").agg(F.min_by("a", F.struct(-F.col("rank"), "a")).alias("a")))
+    tasks = first.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("blocks"))
+    none = F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("copies")
+    visitors = first.join(tasks, "a").select(F.col("b").alias("sid"), _to("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"), VISITOR, *none))
+    pivots = tasks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("a").alias("sid"), _to("a", F.col("block"), PIVOT, *none))
+    found = _met(rows, visitors.unionByName(pivots), nodes, n, _attach(percent), "sid long, cell long, dist double")
+    every = members.select("sid").distinct().join(nodes.select("sid", "n", "copies"), "sid").join(found, "sid", "left")
+    return every.select("sid", "n", "copies", F.coalesce("cell", "sid").alias("cell"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
+
+
+def _cells(homes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of each cell: its number of sets, their least and greatest size and sum of sizes, its radius, the rows within
+    half the distance of a link, and the pivot's size and bitmap."""
+    core = F.sum(F.when(F.col("dist") <= _half(percent), F.col("copies")).otherwise(0))
+    cells = homes.groupBy("cell").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("tokens"), F.max("dist").alias("radius"), core.alias("core"))
+    return cells.join(nodes.select(F.col("sid").alias("cell"), F.col("n").alias("pivot_n"), F.col("map").alias("pivot_map")), "cell")
+
+
+def _visits(members: DataFrame, homes: DataFrame, cells: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(sid, host, dist): the sets that must be compared with the members of a cell. Of two cells the larger is host.
+
+    dist: of a cell's own members that are farther from the pivot than half the distance of a link; else null.
+    """
+    far = _far(percent)
+    slack = F.max(100 * F.col("n") - (100 + percent) * F.col("place"))
+    here = members.join(homes.select("sid", "cell"), "sid").groupBy("h", "cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), slack.alias("slack"))
+    here = here.withColumn("others", F.count("*").over(Window.partitionBy("h"))).where("others > 1").drop("others")
+    here = here.join(cells.select("cell", "size", "radius", "pivot_n", "pivot_map"), "cell")
+    one, two = (here.select("h", *(F.col(c).alias(f"{c}{i}") for c in here.columns if c != "h")) for i in (1, 2))
+    rule = F.struct("size1", "cell1") < F.struct("size2", "cell2")
+    rule = rule & (F.col("hi1") * 100 >= F.col("lo2") * percent) & (F.col("hi2") * 100 >= F.col("lo1") * percent)
+    # All that a pair has in common stands no earlier than its first common shingle.
+    rule = rule & (F.col("slack1") >= F.col("lo2") * percent) & (F.col("slack2") >= F.col("lo1") * percent)
+    # The window of the triangle inequality between pivots, widened by both radii.
+    rule = rule & _within(F.col("pivot_map1"), F.col("pivot_map2"), F.col("pivot_n1"), F.col("pivot_n2"), far + F.col("radius1") + F.col("radius2"))
+    pairs = one.join(two, "h").where(rule).select(F.col("cell1").alias("cell"), "size1", F.col("cell2").alias("host")).distinct()
+    alone = pairs.where("size1 = 1").join(homes.where("dist = 0").select("sid", "cell"), "cell").select("sid", "host")
+    crowd = pairs.where("size1 > 1").join(homes.select("sid", "cell", "n"), "cell").join(nodes.select("sid", "map"), "sid")
+    hosts = cells.select(F.col("cell").alias("host"), "least", "most", "radius", "pivot_n", "pivot_map")
+    crowd = crowd.join(hosts, "host").where((F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent))
+    crowd = crowd.where(_within(F.col("map"), F.col("pivot_map"), F.col("n"), F.col("pivot_n"), far + F.col("radius"))).select("sid", "host")
+    # size 1 and a pivot elsewhere: the cell's only member is not its pivot.
+    lone = pairs.where("size1 = 1").join(homes.where("dist > 0").select("sid", "cell"), "cell").select("sid", "host")
+    others = alone.unionByName(lone).unionByName(crowd).select("sid", "host", F.lit(None).cast("double").alias("dist"))
+    shell = homes.where(F.col("dist") > _half(percent)).join(cells.where("size > 1").select("cell"), "cell")
+    return others.unionByName(shell.select("sid", F.col("cell").alias("host"), "dist"))
+
+
+#: Roles in a task of _met.
+PIVOT, MEMBER, VISITOR, OWN = 0, 1, 2, 3
+
 
+def _to(host: str, block: Column, role: int, dist: Column, copies: Column) -> Column:
+    return F.struct(F.col(host).alias("host"), block.alias("block"), F.lit(role).cast("byte").alias("role"), dist.alias("dist"), copies.alias("copies")).alias("to")
 
-def _verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets link.
 
-    The sets are made again from the texts of the documents concerned. Each b's set goes to its a; an a with many b is
-    compared in several tasks, to which its own set goes too.
+def _compared(rows: DataFrame, visits: DataFrame, homes: DataFrame, cells: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sid, links, host): numbers of rows that a set links with; host: a cell that a visitor is linked to, null of members.
+
+    A host's members are dealt over blocks of about BLOCK_TOKENS shingles; visitors go to each of these.
+    """
+    hosts = visits.select(F.col("host").alias("cell")).distinct().join(cells.select("cell", "tokens", "size"), "cell")
+    hosts = frozen(hosts.select("cell", "size", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks")))
+    own = homes.join(hosts, "cell").select("sid", _to("cell", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"), MEMBER, F.col("dist"), F.col("copies")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    none = F.lit(0.0), F.lit(0).cast("long")
+    pivots = hosts.where("size > 1").withColumn("block", every).select(F.col("cell").alias("sid"), _to("cell", F.col("block"), PIVOT, *none))
+    guests = visits.join(nodes.select("sid", "copies"), "sid").join(hosts.select(F.col("cell").alias("host"), "blocks"), "host").withColumn("block", every)
+    strangers = guests.where("dist is null").select("sid", _to("host", F.col("block"), VISITOR, F.lit(0.0), F.col("copies")))
+    shell = guests.where("dist is not null").select("sid", _to("host", F.col("block"), OWN, F.col("dist"), F.col("copies")))
+    asked = own.unionByName(pivots).unionByName(strangers).unionByName(shell)
+    return _met(rows, asked, nodes, n, _count(percent), "sid long, links long, host long")
+
+
+def _met(rows: DataFrame, asked: DataFrame, nodes: DataFrame, n: int, compare, schema: str) -> DataFrame:
+    """What compare gives for asked: rows (sid, to), the sets that go to a block of a host.
+
+    The sets are made again from the texts of the documents concerned. A set that is asked for in many places is made
+    in several tasks, for about LIST_ROWS of them in each.
     """
-    pairs = frozen(pairs)
-    tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    others = pairs.join(tasks, "a").select(F.col("b").alias("sid"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("own")).alias("to"))
-    owns = tasks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(F.col("a").alias("sid"), F.struct("a", "salt", F.lit(True).alias("own")).alias("to"))
-    asked = others.unionByName(owns).groupBy("sid").agg(F.collect_list("to").alias("to")).join(nodes.select("sid", "rep"), "sid")
-    found = rows.join(asked, F.col("id") == F.col("rep")).select("sid", "to", "text")
+    asked = frozen(asked)
+    many = asked.groupBy("sid").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts")).where("parts > 1")
+    spread = asked.join(many, "sid", "left").withColumn("part", F.pmod(F.xxhash64("to.host", "to.block"), F.coalesce("parts", F.lit(1))))
+    lists = spread.groupBy("sid", "part").agg(F.collect_list("to").alias("to")).join(nodes.select("sid", "rep"), "sid")
+    found = rows.join(lists, F.col("id") == F.col("rep")).select("sid", "to", "text")
+    names = ["host", "block", "role", "dist", "copies", "sid", "tokens"]
+    kinds = dict(zip(names, (pa.int64(), pa.int32(), pa.int8(), pa.float64(), pa.int64())))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches):
@@ -297,29 +436,140 @@ def _verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, perce
                 if set_id(own) != sids[i]:
                     continue  # another row with the same id
                 blob = own.tobytes()
-                for k in range(0, len(to), 500):
-                    t = to[k : k + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["a"] for x in t], pa.int64()), pa.array([x["salt"] for x in t], pa.int32()), pa.array([x["own"] for x in t]), pa.array([sids[i]] * len(t), pa.int64()), pa.array([blob] * len(t), pa.binary())], ["a", "salt", "own", "b", "tokens"])
+                step = max(1, SENT_BYTES // len(blob))
+                for k in range(0, len(to), step):
+                    t = to[k : k + step]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in t], kind) for c, kind in kinds.items()), pa.array([sids[i]] * len(t), pa.int64()), pa.array([blob] * len(t), pa.binary())], names)
+
+    sent = found.mapInArrow(sets, "host long, block int, role byte, dist double, copies long, sid long, tokens binary").dropDuplicates(["host", "block", "role", "sid"])
+    return sent.repartition("host", "block").sortWithinPartitions("host", "block", "role").mapInArrow(compare, schema)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    if not len(a):
+        return 0
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in ("host", "block", *columns)))
+
+
+def _attach(percent: int):
+    """compare of _homes: the visitors within the distance of a link from the pivot, with their distance."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, left = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            for x, salt, own, y, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "own", "b", "tokens"))):
+        for b in batches:
+            out = []
+            for host, block, role, sid, blob in _rows_of(iter([b]), "role", "sid", "tokens"):
                 right = np.frombuffer(blob, dtype=np.uint64)
-                if own:
-                    key, left = (x, salt), right
-                elif key == (x, salt):
-                    at = np.searchsorted(left, right)
-                    common = int((left[np.minimum(at, len(left) - 1)] == right).sum())
-                    if 100 * common >= percent * (len(left) + len(right) - common):
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    sent = found.mapInArrow(sets, "a long, salt int, own boolean, b long, tokens binary")
-    met = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
-    return met.mapInArrow(compare, "a long, b long")
+                if role == PIVOT:
+                    compare.key, compare.left = (host, block), right
+                elif compare.key == (host, block):
+                    common = _common(compare.left, right)
+                    both = len(compare.left) + len(right) - common
+                    if 100 * common >= percent * both:
+                        out.append((sid, host, 1 - common / both))
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["sid", "cell", "dist"])
+
+    compare.key, compare.left = None, np.zeros(0, np.uint64)
+    return compare
+
+
+class _Block:
+    """The members of one block of a cell, and its pivot."""
+
+    def __init__(self, host: int, percent: int):
+        self.host, self.percent = host, percent
+        self.pivot: np.ndarray | None = None
+        self.sids: list[int] = []
+        self.dists: list[float] = []
+        self.copies: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.ready = False
+
+    def index(self) -> None:
+        self.ready = True
+        self.sid, self.dist, self.copy = np.array(self.sids, np.int64), np.array(self.dists), np.array(self.copies, np.int64)
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+        self.credit = np.zeros(len(self.sids), np.int64)
+        if len(self.sets) > 1:
+            tokens = np.concatenate(self.sets)
+            order = np.argsort(tokens, kind="stable")
+            self.owner = np.repeat(np.arange(len(self.sets)), self.size)[order]
+            self.token, self.start = np.unique(tokens[order], return_index=True)
+            self.start = np.append(self.start, len(tokens))
+
+    def common(self, right: np.ndarray) -> np.ndarray:
+        if len(self.sets) == 1:
+            return np.array([_common(self.sets[0], right)])
+        at = np.minimum(np.searchsorted(self.token, right), len(self.token) - 1)
+        at = at[self.token[at] == right]
+        begin, many = self.start[at], self.start[at + 1] - self.start[at]
+        if not len(at):
+            return np.zeros(len(self.sets), np.int64)
+        places = np.arange(many.sum()) + np.repeat(begin - np.cumsum(many) + many, many)
+        return np.bincount(self.owner[places], minlength=len(self.sets))
+
+    def visit(self, sid: int, right: np.ndarray, own: bool, dist: float, copies: int) -> int:
+        """The rows that a visitor links with; members are credited with the visitor's."""
+        far, half = _far(self.percent), _half(self.percent)
+        open_ = np.ones(len(self.sids), bool)
+        if own:  # pairs of the core are known; a pair beyond it is looked at once
+            open_ = (self.sid != sid) & ((self.dist <= half) | (self.sid < sid))
+        linked = np.zeros(len(self.sids), bool)
+        if self.pivot is not None:
+            if not own:
+                common = _common(self.pivot, right)
+                dist = 1 - common / (len(self.pivot) + len(right) - common)
+            open_ &= np.abs(self.dist - dist) <= far + SLACK
+            linked = open_ & (self.dist + dist <= far - SLACK)
+            open_ &= ~linked
+        if open_.any():
+            common = self.common(right)
+            linked |= open_ & (100 * common >= self.percent * (self.size + len(right) - common))
+        self.credit[linked] += copies
+        return int(self.copy[linked].sum())
+
+
+def _count(percent: int):
+    """compare of _compared."""
+
+    def given(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["sid", "links", "host"])
+
+    def closed(block: _Block | None) -> list[tuple]:
+        if block is None or not block.ready:
+            return []
+        return [(int(s), int(c), None) for s, c in zip(block.sid, block.credit) if c]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, out = None, None, []
+        for host, number, role, dist, copies, sid, blob in _rows_of(batches, "role", "dist", "copies", "sid", "tokens"):
+            if key != (host, number):
+                out += closed(block)
+                key, block = (host, number), _Block(host, percent)
+            right = np.frombuffer(blob, dtype=np.uint64)
+            if role == PIVOT:
+                block.pivot = right
+            elif role == MEMBER:
+                block.sids.append(sid)
+                block.dists.append(dist)
+                block.copies.append(copies)
+                block.sets.append(right)
+            elif block.sids:
+                if not block.ready:
+                    block.index()
+                if links := block.visit(sid, right, role == OWN, dist, copies):
+                    out.append((sid, links, None if role == OWN else host))
+            if len(out) >= 10_000:
+                yield given(out)
+                out = []
+        yield given(out + closed(block))
+
+    return compare
 
 
 def components(links: DataFrame) -> DataFrame:
