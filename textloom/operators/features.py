@@ -5,6 +5,8 @@ Vectors are sparse long tables until a learner needs them; vocabularies are join
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,9 +124,9 @@ def text_words(column: Column | str, filters: str = BASE_FILTER, lower: bool = T
     return F.filter(F.split(t, f"\\Q{split}\\E"), lambda w: w != "")
 
 
-def hashed_ids(column: Column | str, n: int) -> Column:
-    """Native: 1 to n - 1 for each word of an array, by a hash; words may share one."""
-    return F.transform(as_column(column), lambda w: F.pmod(F.xxhash64(w), F.lit(n - 1)) + 1)
+def hashed_ids(column: Column | str, n: int, hash_of: Callable[[Column], Column] = F.xxhash64) -> Column:
+    """Native: 1 to n - 1 for each word of an array, by a hash (a long); words may share one."""
+    return F.transform(as_column(column), lambda w: F.pmod(hash_of(w), F.lit(n - 1)) + 1)
 
 
 def word_index(tokens: DataFrame) -> DataFrame:

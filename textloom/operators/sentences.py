@@ -213,22 +213,24 @@ def load(spark: SparkSession, path: str) -> Learned:
     return Learned(*(spark.read.parquet(f"{path}/{n}") for n in ("abbreviations", "starters", "collocations", "contexts")))
 
 
-def learn(words: DataFrame, least: int = 1) -> Learned:
+def learn(words: DataFrame, least: int = 1, keep: bool = True) -> Learned:
     """A model from a word table; least: types seen less often keep no context.
 
-    Words and their annotations, which several steps read, are persisted (on disk if need be) until Learned.release().
+    Words and their annotations, which several steps read, are persisted (on disk if need be) until Learned.release();
+    without keep they are computed again, for uses that take one of the model's tables.
     """
-    words = words.persist(StorageLevel.MEMORY_AND_DISK)
+    held = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
+    words = held(words)
     counts, totals = type_counts(words), totals_of(words)
     frequent = abbreviation_scores(counts, totals).where(F.col("score") >= ABBREVIATION).select("type")
-    marked = annotated(words, frequent).persist(StorageLevel.MEMORY_AND_DISK)
+    marked = held(annotated(words, frequent))
     bits = contexts(marked)
     rare = rare_abbreviations(marked, counts, bits, frequent)
     starters = sentence_starters(marked, counts, totals)
     pairs = collocations(marked, counts, totals, starters)
     if least > 1:
         bits = bits.join(keep_frequent(counts, least).select("type"), "type", "left_semi")
-    return Learned(frequent.unionByName(rare).distinct(), starters, pairs, bits, (words, marked))
+    return Learned(frequent.unionByName(rare).distinct(), starters, pairs, bits, (words, marked) if keep else ())
 
 
 def training_text(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import preset
@@ -140,14 +140,18 @@ def _joined(s, *fields: str):
 
 
 # Words and statistics of documents.
-_WORDS = "words AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en')"
-_POS = "words AS (SELECT doc, i - 1 AS pos, w[i] AS term FROM (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en') t, unnest(generate_series(1, len(w))) AS u(i))"
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+_WORDS = "words AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '" + WORD + "')) AS term FROM documents)"
+_POS = "words AS MATERIALIZED (SELECT doc, unnest(generate_series(0, len(w) - 1)) AS pos, unnest(w) AS term FROM (SELECT doc_id AS doc, regexp_extract_all(lower(text), '" + WORD + "') AS w FROM documents))"
 _COUNTS = _WORDS + ", counts AS (SELECT doc, term, count(*) AS tf FROM words GROUP BY doc, term)"
 
 
-def english_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return features.token_table(docs, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+def words_of(column: str) -> Column:
+    return F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.token_table(table(spark, sf_dir, "documents"), "doc_id", words_of("text"))
 
 
 @query("SELECT doc_id AS id, text AS X, CAST(quality AS INTEGER) AS Y FROM documents JOIN labels USING (doc_id)")
@@ -188,7 +192,7 @@ def drop_missing(spark, sf_dir):
 
 @query(f"WITH {_WORDS} SELECT doc, count(*) AS n FROM words WHERE term NOT IN ('the', 'of', 'and') GROUP BY doc")
 def stopword_filter(spark, sf_dir):
-    return features.without_stop_words(english_tokens(spark, sf_dir), ["the", "of", "and"]).groupBy("doc").agg(F.count("*").alias("n"))
+    return features.without_stop_words(document_tokens(spark, sf_dir), ["the", "of", "and"]).groupBy("doc").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, md5(replace(regexp_replace(html, '(?s)<!--(.*?)-->[\\n]?', '\\1', 'g'), '<!--', '')) AS digest FROM pages")
@@ -209,56 +213,50 @@ def emails_in_docs(spark, sf_dir):
 
 @query(f"WITH {_WORDS} SELECT term, count(*) AS n FROM words GROUP BY term")
 def word_freq(spark, sf_dir):
-    return features.word_frequencies(english_tokens(spark, sf_dir))
-
-
-@query("WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS term FROM documents) SELECT term, count(*) AS n FROM w GROUP BY term")
-def word_freq_all(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return features.word_frequencies(features.token_table(docs, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))))
+    return features.word_frequencies(document_tokens(spark, sf_dir))
 
 
 @query(f"WITH {_COUNTS} SELECT term, count(*) AS df FROM counts GROUP BY term")
 def doc_freq(spark, sf_dir):
-    return features.document_frequencies(features.term_counts(english_tokens(spark, sf_dir)))
+    return features.document_frequencies(features.term_counts(document_tokens(spark, sf_dir)))
 
 
 @query(f"WITH {_COUNTS} SELECT doc, term, tf FROM counts")
 def bow_counts(spark, sf_dir):
-    return features.term_counts(english_tokens(spark, sf_dir))
+    return features.term_counts(document_tokens(spark, sf_dir))
 
 
 @query(f"WITH {_COUNTS}, idf AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT doc) FROM counts)) / (1 + count(*))) + 1 AS idf FROM counts GROUP BY term), raw AS (SELECT doc, term, tf * idf AS w FROM counts JOIN idf USING (term)) SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS tfidf FROM raw")
 def tfidf(spark, sf_dir):
-    return features.tfidf(features.term_counts(english_tokens(spark, sf_dir))).select("doc", "term", F.round("tfidf", 6).alias("tfidf"))
+    return features.tfidf(features.term_counts(document_tokens(spark, sf_dir))).select("doc", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
 @query(f"WITH {_WORDS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT term FROM words)")
 def term_dictionary(spark, sf_dir):
-    return features.term_dictionary(english_tokens(spark, sf_dir))
+    return features.term_dictionary(document_tokens(spark, sf_dir))
 
 
 @query(f"WITH {_WORDS} SELECT DISTINCT doc, term, CAST(1 AS INTEGER) AS value FROM words")
 def binary_bag(spark, sf_dir):
-    return features.binary_bag(english_tokens(spark, sf_dir))
+    return features.binary_bag(document_tokens(spark, sf_dir))
 
 
 @query(f"WITH {_POS}, v AS (SELECT term, row_number() OVER (ORDER BY d, p) - 1 AS id FROM (SELECT term, min(doc) AS d, arg_min(pos, (doc, pos)) AS p FROM words GROUP BY term)) SELECT doc, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM words JOIN v USING (term) GROUP BY doc")
 def vocab_encode(spark, sf_dir):
-    tokens = english_tokens(spark, sf_dir)
+    tokens = document_tokens(spark, sf_dir)
     return features.encoded(tokens, features.first_seen_vocabulary(tokens)).select("doc", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-_SENTENCES = "SELECT doc_id AS doc, regexp_extract_all(lower(text), '[^.!?]+') AS s FROM documents WHERE lang = 'en'"
+_SENTENCES = "SELECT doc_id AS doc, regexp_extract_all(lower(text), '[^.!?]+') AS s FROM documents"
 
 
 def _sentence_docs(spark, sf_dir):
     raw = F.regexp_extract_all(F.lower("text"), F.lit("[^.!?]+"), F.lit(0))
-    words = F.transform(raw, lambda s: F.regexp_extract_all(s, F.lit("[a-z]+"), F.lit(0)))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", words.alias("s"))
+    words = F.transform(raw, lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0)))
+    return table(spark, sf_dir, "documents").select("doc_id", words.alias("s"))
 
 
-@query(f"SELECT doc, array_to_string(flatten(list_transform(s, lambda x: regexp_extract_all(x, '[a-z]+'))), ' ') AS words FROM ({_SENTENCES})")
+@query("SELECT doc, array_to_string(flatten(list_transform(s, lambda x: regexp_extract_all(x, '" + WORD + f"'))), ' ') AS words FROM ({_SENTENCES})")
 def flatten_sentences(spark, sf_dir):
     return _sentence_docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.array_join(features.flatten_sentences("s"), " ").alias("words"))
 
@@ -271,7 +269,7 @@ def sentence_labels(spark, sf_dir):
 
 @query(f"WITH {_COUNTS} SELECT doc, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS words, round(max(e.embedding[1]::DOUBLE), 6) AS first FROM counts JOIN embeddings e ON e.vec_id = doc GROUP BY doc")
 def mixed_features(spark, sf_dir):
-    counts = features.term_counts(english_tokens(spark, sf_dir)).groupBy("doc").agg(F.count("*").alias("terms"), F.sum("tf").alias("words"))
+    counts = features.term_counts(document_tokens(spark, sf_dir)).groupBy("doc").agg(F.count("*").alias("terms"), F.sum("tf").alias("words"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
     both = sampling.drop_missing(counts.join(vectors, "doc"), "embedding")
     return both.select("doc", "terms", "words", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
@@ -310,23 +308,16 @@ def nearest_vectors(spark, sf_dir):
     return out.select("query", "rank", "found", F.round("cosine", 6).alias("cosine"))
 
 
-_SMALL = "words AS (SELECT doc, i - 1 AS pos, w[i] AS term FROM (SELECT item_id AS doc, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark) t, unnest(generate_series(1, len(w))) AS u(i))"
-
-
-def small_tokens(spark, sf_dir):
-    return features.token_table(table(spark, sf_dir, "benchmark"), "item_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-
-
-@query(f"WITH {_SMALL} SELECT least(a.term, b.term) AS term, greatest(a.term, b.term) AS other, round(sum(1.0 / (b.pos - a.pos)), 6) AS weight FROM words a JOIN words b ON a.doc = b.doc AND b.pos > a.pos AND b.pos - a.pos <= 5 GROUP BY ALL")
+@query(f"WITH {_POS} SELECT least(a.term, b.term) AS term, greatest(a.term, b.term) AS other, round(sum(1.0 / k), 6) AS weight FROM words a CROSS JOIN range(1, 6) t(k) JOIN words b ON a.doc = b.doc AND b.pos = a.pos + k GROUP BY ALL")
 def cooccurrence(spark, sf_dir):
-    return features.cooccurrences(small_tokens(spark, sf_dir), 5).select("term", "other", F.round("weight", 6).alias("weight"))
+    return features.cooccurrences(document_tokens(spark, sf_dir), 5).select("term", "other", F.round("weight", 6).alias("weight"))
 
 
 def _lists(spark, sf_dir):
-    return small_tokens(spark, sf_dir).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("x")).select("doc", F.transform("x", lambda x: x["term"]).alias("words"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), words_of("text").alias("words")).where(F.size("words") > 0)
 
 
-@query(f"WITH {_SMALL} SELECT term AS word FROM words GROUP BY term HAVING count(*) >= 5")
+@query(f"WITH {_POS} SELECT term AS word FROM words GROUP BY term HAVING count(*) >= 5")
 def word2vec_vocab(spark, sf_dir):
     return embeddings.word2vec(_lists(spark, sf_dir), size=16, min_count=5, window=5).select("word")
 
@@ -334,7 +325,7 @@ def word2vec_vocab(spark, sf_dir):
 @query()
 def word2vec_synonyms(spark, sf_dir):
     vectors = embeddings.word2vec(_lists(spark, sf_dir), size=16, min_count=5, window=5)
-    return embeddings.nearest(vectors, vectors.orderBy("word").limit(18))
+    return embeddings.nearest(vectors, vectors.orderBy("word").limit(18))  # a report on 18 words
 
 
 @query()
@@ -346,26 +337,26 @@ def doc2vec_tags(spark, sf_dir):
 
 @query()
 def glove_vectors(spark, sf_dir):
-    return embeddings.glove(small_tokens(spark, sf_dir), size=16, epochs=3, window=5, max_words=2000).select("word")
+    return embeddings.glove(document_tokens(spark, sf_dir), size=16, epochs=3, window=5).select("word")
 
 
-_INDEX = _SMALL + ", ix AS (SELECT term, count(*) AS n, count(DISTINCT doc) AS docs, row_number() OVER (ORDER BY count(*) DESC, term) AS id FROM words GROUP BY term)"
+_INDEX = _POS + ", ix AS (SELECT term, count(*) AS n, count(DISTINCT doc) AS docs, row_number() OVER (ORDER BY count(*) DESC, term) AS id FROM words GROUP BY term)"
 _SEQ = _INDEX + ", sq AS (SELECT doc, pos, id FROM words JOIN ix USING (term)), cells AS (SELECT doc, id, count(*) AS c, any_value(len) AS len FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS len FROM sq) WHERE id < (SELECT count(*) FROM ix) GROUP BY doc, id)"
 
 
 @query(f"WITH {_INDEX} SELECT term, n, docs, id FROM ix")
 def keras_word_index(spark, sf_dir):
-    return features.word_index(small_tokens(spark, sf_dir))
+    return features.word_index(document_tokens(spark, sf_dir))
 
 
 def _seqs(spark, sf_dir):
-    tokens = small_tokens(spark, sf_dir)
+    tokens = document_tokens(spark, sf_dir)
     return features.sequences(tokens, features.word_index(tokens))
 
 
 @query(f"WITH {_INDEX} SELECT doc, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM words JOIN ix USING (term) WHERE id < 100 GROUP BY doc")
 def keras_sequences(spark, sf_dir):
-    tokens = small_tokens(spark, sf_dir)
+    tokens = document_tokens(spark, sf_dir)
     return features.sequences(tokens, features.word_index(tokens), 100).select("doc", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -373,7 +364,7 @@ def _matrix_query(mode: str, value: str) -> None:
     @query(f"WITH {_SEQ} SELECT doc, id, round({value}, 6) AS value FROM cells" + (" JOIN (SELECT id, docs FROM ix) USING (id)" if mode == "tfidf" else ""), f"keras_{mode}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         seqs = _seqs(spark, sf_dir)
-        index = features.word_index(small_tokens(spark, sf_dir))
+        index = features.word_index(document_tokens(spark, sf_dir))
         docs = features.id_documents(seqs)
         out = features.sequence_matrix(seqs, mode, index.count(), docs, seqs.count())
         return out.select("doc", "id", F.round("value", 6).alias("value"))
@@ -385,9 +376,10 @@ _matrix_query("freq", "c::DOUBLE / len")
 _matrix_query("tfidf", "ln(c::DOUBLE / len) / (1 + ln(1 + docs::DOUBLE / ((SELECT count(DISTINCT doc) FROM words) + 1)))")
 
 
-@query()
+@query(f"WITH {_POS} SELECT doc, string_agg(CAST(CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 999 + 1 AS VARCHAR), ' ' ORDER BY pos) AS ids FROM words GROUP BY doc")
 def keras_onehot(spark, sf_dir):
-    return _lists(spark, sf_dir).select("doc", features.hashed_ids("words", 1000).alias("ids"))
+    ids = features.hashed_ids("words", 1000, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
+    return _lists(spark, sf_dir).select("doc", F.array_join(ids.cast("array<string>"), " ").alias("ids"))
 
 
 @query("SELECT r AS rank, round(least(1.0, sqrt(1e-5 * (greatest(r, 1) * (ln(greatest(r, 1)) + 0.577) + 0.5 - 1.0 / (12.0 * greatest(r, 1))))), 6) AS p FROM range(1000) t(r)")
@@ -395,14 +387,16 @@ def sampling_table(spark, sf_dir):
     return features.sampling_table(spark, 1000).select("rank", F.round("p", 6).alias("p"))
 
 
-@query(f"WITH {_INDEX}, sq AS (SELECT doc, pos, id FROM words JOIN ix USING (term)) SELECT a.doc, a.id AS word, b.id AS context, CAST(1 AS INTEGER) AS label FROM sq a JOIN sq b ON a.doc = b.doc AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 4")
+@query(f"WITH {_INDEX}, sq AS (SELECT doc, pos, id FROM words JOIN ix USING (term)) SELECT a.doc, a.id AS word, b.id AS context, CAST(1 AS INTEGER) AS label FROM sq a CROSS JOIN (VALUES (-4), (-3), (-2), (-1), (1), (2), (3), (4)) t(k) JOIN sq b ON a.doc = b.doc AND b.pos = a.pos + k")
 def skipgrams_pos(spark, sf_dir):
     return features.skipgram_pairs(_seqs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_INDEX}, sq AS (SELECT doc, pos, id FROM words JOIN ix USING (term)) SELECT a.doc, a.id AS word, count(*) AS n, 0 AS label, true AS known FROM sq a CROSS JOIN (VALUES (-4), (-3), (-2), (-1), (1), (2), (3), (4)) t(k) JOIN sq b ON a.doc = b.doc AND b.pos = a.pos + k GROUP BY a.doc, a.id")
 def skipgrams_neg(spark, sf_dir):
-    return features.skipgram_negatives(features.skipgram_pairs(_seqs(spark, sf_dir)), 1000)
+    """Of each document's words: as many negatives as positives, their contexts among the known ids."""
+    out = features.skipgram_negatives(features.skipgram_pairs(_seqs(spark, sf_dir)), 1000)
+    return out.groupBy("doc", "word").agg(F.count("*").alias("n"), F.max("label").alias("label"), F.min(F.col("context").between(1, 999)).alias("known"))
 
 
 @query("SELECT word, CASE word WHEN 'cries' THEN 'cry' WHEN 'is' THEN 'be' WHEN 'making' THEN 'make' WHEN 'stopped' THEN 'stop' ELSE 'watch' END AS lemma FROM (VALUES ('cries'), ('is'), ('making'), ('stopped'), ('watches')) t(word)")
@@ -423,7 +417,7 @@ def pos_map(spark, sf_dir):
     return tags.select("tag", morphology.class_of_tag("tag").alias("class"))
 
 
-@query(f"WITH {_SMALL} SELECT doc, string_agg(term, ' ' ORDER BY pos) AS words FROM words GROUP BY doc")
+@query(f"WITH {_POS} SELECT doc, string_agg(term, ' ' ORDER BY pos) AS words FROM words GROUP BY doc")
 def json_roundtrip(spark, sf_dir):
     """Token arrays as JSON lines and back."""
     lines = _lists(spark, sf_dir).select(F.to_json(F.struct("doc", "words")).alias("line"))
@@ -431,7 +425,7 @@ def json_roundtrip(spark, sf_dir):
     return back.select("doc", F.array_join("words", " ").alias("words"))
 
 
-@query(f"WITH {_SMALL} SELECT doc, CAST(count(*) FILTER (WHERE term = 'the') AS INTEGER) AS the, CAST(count(*) FILTER (WHERE term LIKE 'th%') AS INTEGER) AS th FROM words GROUP BY doc")
+@query(f"WITH {_POS} SELECT doc, CAST(count(*) FILTER (WHERE term = 'the') AS INTEGER) AS the, CAST(count(*) FILTER (WHERE term LIKE 'th%') AS INTEGER) AS th FROM words GROUP BY doc")
 def token_counts(spark, sf_dir):
     return _lists(spark, sf_dir).select("doc", features.count_token("words", "the").alias("the"), features.count_prefix("words", "th").alias("th"))
 
@@ -456,7 +450,7 @@ def one_hot_label(spark, sf_dir):
 
 @query(f"WITH {_COUNTS} SELECT term, df FROM (SELECT term, count(*) AS df FROM counts GROUP BY term) WHERE df >= 5")
 def frequent_terms(spark, sf_dir):
-    return sentences.keep_frequent(features.document_frequencies(features.term_counts(english_tokens(spark, sf_dir))), 5, "df")
+    return sentences.keep_frequent(features.document_frequencies(features.term_counts(document_tokens(spark, sf_dir))), 5, "df")
 
 
 @query("SELECT doc_id, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '3'), 1, 7) AS BIGINT) % 100 % 5 AS INTEGER) AS fold FROM labels")
@@ -465,11 +459,11 @@ def cv_folds(spark, sf_dir):
 
 
 # Sentence model statistics over white-space tokens.
-_TOK = "tok AS (SELECT doc, i - 1 AS pos, w[i] AS tok FROM (SELECT doc_id AS doc, regexp_extract_all(text, '[^ \\t\\n]+') AS w FROM documents WHERE lang = 'en') t, unnest(generate_series(1, len(w))) AS u(i)), ty AS (SELECT *, CASE WHEN regexp_matches(tok, '^-?[.,]?[0-9][0-9,.-]*[.]?$') THEN '##number##' ELSE lower(tok) END AS type FROM tok)"
+_TOK = "tok AS (SELECT doc, i - 1 AS pos, w[i] AS tok FROM (SELECT doc_id AS doc, regexp_extract_all(text, '[^ \\t\\n]+') AS w FROM documents) t, unnest(generate_series(1, len(w))) AS u(i)), ty AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(tok, '^-?[.,]?[0-9][0-9,.-]*[.]?$') THEN '##number##' ELSE lower(tok) END AS type FROM tok)"
 
 
 def _plain_words(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     tokens = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.regexp_extract_all("text", F.lit("[^ \\t\\n]+"), F.lit(0))).alias("pos", "tok"))
     return sentences.words_of_tokens(tokens)
 
@@ -498,11 +492,11 @@ def punkt_abbrevs(spark, sf_dir):
 
 @query()
 def punkt_words(spark, sf_dir):
-    return sentences.word_table(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text").groupBy("tok").agg(F.count("*").alias("n"))
+    return sentences.word_table(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("tok").agg(F.count("*").alias("n"))
 
 
 def _learned(spark, sf_dir):
-    return sentences.learn(_plain_words(spark, sf_dir))
+    return sentences.learn(_plain_words(spark, sf_dir), keep=False)
 
 
 @query()
@@ -587,6 +581,6 @@ def top_terms(spark, sf_dir):
     from pyspark.sql import Window
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), "quality")
-    counts = english_tokens(spark, sf_dir).join(labels, "doc").groupBy("quality", "term").agg(F.count("*").alias("n"))
+    counts = document_tokens(spark, sf_dir).join(labels, "doc").groupBy("quality", "term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("quality").orderBy(F.desc("n"), "term")
     return counts.withColumn("r", F.row_number().over(order)).where("r <= 25").drop("r")
