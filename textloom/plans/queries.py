@@ -483,7 +483,10 @@ c AS (SELECT a.type[1:-2] AS type, a.n AS wn, coalesce(b.n, 0) AS on_ FROM f a L
 s AS (SELECT type, wn, on_, length(type) - length(replace(type, '.', '')) + 1 AS dots, length(type) - (length(type) - length(replace(type, '.', ''))) AS letters FROM c)"""
 
 
-@query(f"WITH {_TOK}, {_SCORE} SELECT type, round(-2.0 * ((wn * ln(periods / total) + on_ * ln(1.0 - periods / total)) - (wn * ln(0.99::DOUBLE) + on_ * ln(1.0 - 0.99::DOUBLE))) * exp(-letters) * dots * pow(letters, -on_), 6) + 0.0 AS score FROM s, tot")
+_ABBREVIATIONS = "SELECT type, -2.0 * ((wn * ln(periods / total) + on_ * ln(1.0 - periods / total)) - (wn * ln(0.99::DOUBLE) + on_ * ln(1.0 - 0.99::DOUBLE))) * exp(-letters) * dots * pow(letters, -on_) AS score FROM s, tot"
+
+
+@query(f"WITH {_TOK}, {_SCORE} SELECT type, round(score, 6) + 0.0 AS score FROM ({_ABBREVIATIONS})")
 def punkt_abbrevs(spark, sf_dir):
     words = _plain_words(spark, sf_dir)
     out = sentences.abbreviation_scores(sentences.type_counts(words), sentences.totals_of(words))
@@ -499,21 +502,63 @@ def _learned(spark, sf_dir):
     return sentences.learn(_plain_words(spark, sf_dir), keep=False)
 
 
-@query()
+def _ln(x: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN ln({x}) END)"
+
+
+def _ratio(a: str, b: str, ab: str) -> str:
+    """The likelihood ratio of a pair in SQL: counts of both and of the pair."""
+    total, p1, p2 = "total", f"({ab} / {a})", f"(({b} - {ab}) / nullif(total - {a}, 0))"
+    p = f"({b} / {total})"
+    rest = f"({total} - {a} - {b} + {ab})"
+    one, two = f"{ab} * {_ln(p)} + ({a} - {ab}) * {_ln('1 - ' + p)}", f"({b} - {ab}) * {_ln(p)} + {rest} * {_ln('1 - ' + p)}"
+    three = f"CASE WHEN {a} = {ab} THEN 0 ELSE {ab} * {_ln(p1)} + ({a} - {ab}) * {_ln('1 - ' + p1)} END"
+    four = f"CASE WHEN {b} = {ab} THEN 0 ELSE ({b} - {ab}) * {_ln(p2)} + {rest} * {_ln('1 - ' + p2)} END"
+    return f"-2.0 * ({one} + {two} - {three} - {four})"
+
+
+_LETTER = "[\\p{L}\\p{M}\\p{Nl}\\p{Pc}]"
+_MARKED = f"""{_TOK}, {_SCORE}, ab AS MATERIALIZED (SELECT DISTINCT type FROM ({_ABBREVIATIONS}) WHERE score >= 0.3),
+w AS (SELECT doc, pos, tok, type, ends_with(tok, '.') AS pf, type = '##number##' AS num, regexp_full_match(tok, '{_LETTER}\\.') AS ini, regexp_full_match(tok, '{_LETTER}+') AS alpha, regexp_matches(type, '{_LETTER}') AS np,
+      CASE WHEN regexp_matches(tok, '^\\p{{Ll}}') THEN 'lower' WHEN regexp_matches(tok, '^\\p{{Lu}}') THEN 'upper' ELSE 'none' END AS cs, ends_with(tok, '.') AND NOT ends_with(tok, '..') AND tok <> '.' AS single, lower(tok[1:-2]) AS stem FROM ty),
+v AS (SELECT *, single AND (stem IN (SELECT type FROM ab) OR string_split(stem, '-')[-1] IN (SELECT type FROM ab)) AS abbr FROM w),
+u AS (SELECT *, tok IN ('.', '?', '!') OR (single AND NOT abbr) AS brk, regexp_full_match(tok, '\\.\\.+') AS ell, CASE WHEN length(type) > 1 AND ends_with(type, '.') THEN type[1:-2] ELSE type END AS bare FROM v),
+k AS (SELECT *, CASE WHEN brk THEN bare ELSE type END AS key FROM u),
+x AS MATERIALIZED (SELECT *, lead(tok) OVER d AS next_tok, lead(type) OVER d AS next_type, lead(key) OVER d AS next_key, lead(cs) OVER d AS next_case, lead(alpha) OVER d AS next_alpha, lead(np) OVER d AS next_np,
+      lag(brk) OVER d AS p_brk, lag(abbr) OVER d AS p_abbr, lag(ell) OVER d AS p_ell, lag(num) OVER d AS p_num, lag(ini) OVER d AS p_ini FROM k WINDOW d AS (PARTITION BY doc ORDER BY pos)),
+both_n AS MATERIALIZED (SELECT t, sum(n)::DOUBLE AS n FROM (SELECT type AS t, n FROM f UNION ALL SELECT type[1:-2], n FROM f WHERE ends_with(type, '.')) GROUP BY t),
+places AS (SELECT key, cs, CASE WHEN coalesce(p_brk, true) AND NOT coalesce(p_num OR p_ini, false) THEN 'initial' WHEN coalesce(p_brk, true) OR coalesce(p_ell OR p_abbr, false) THEN 'unknown' ELSE 'internal' END AS place FROM x),
+ortho AS MATERIALIZED (SELECT key AS type, CAST(bit_or(CASE cs WHEN 'upper' THEN CASE place WHEN 'initial' THEN 2 WHEN 'internal' THEN 4 ELSE 8 END ELSE CASE place WHEN 'initial' THEN 16 WHEN 'internal' THEN 32 ELSE 64 END END) AS INTEGER) AS bits FROM places WHERE cs <> 'none' GROUP BY key),
+st AS (SELECT next_type AS type, count(*)::DOUBLE AS n FROM x WHERE pf AND brk AND NOT num AND NOT ini AND next_alpha GROUP BY next_type),
+st2 AS (SELECT st.type, st.n, b.n AS all_n, (SELECT count(*) FILTER (WHERE brk) FROM x)::DOUBLE AS breaks, total FROM st JOIN both_n b ON b.t = st.type, tot),
+starters AS MATERIALIZED (SELECT type, score FROM (SELECT *, {_ratio("breaks", "all_n", "n")} AS score FROM st2 WHERE all_n >= n) WHERE score >= 30 AND total / breaks > all_n / n)"""
+
+
+@query(f"WITH {_MARKED} SELECT type, round(score, 3) AS score FROM starters")
 def punkt_starters(spark, sf_dir):
-    return _learned(spark, sf_dir).starters
+    return _learned(spark, sf_dir).starters.select("type", F.round("score", 3).alias("score"))
 
 
-@query()
+@query(f"""WITH {_MARKED}, pairs AS (SELECT bare AS type1, next_key AS type2, count(*)::DOUBLE AS n FROM x WHERE pf AND next_tok IS NOT NULL AND np AND next_np GROUP BY ALL),
+cc AS (SELECT type1, type2, p.n, a.n AS n1, b.n AS n2, total FROM pairs p JOIN both_n a ON a.t = type1 JOIN both_n b ON b.t = type2, tot WHERE type2 NOT IN (SELECT type FROM starters))
+SELECT type1, type2, round(score, 3) AS score FROM (SELECT *, {_ratio("n1", "n2", "n")} AS score FROM cc WHERE n1 > 1 AND n2 > 1 AND n > 2 AND n <= least(n1, n2)) WHERE score >= 7.88 AND total / n1 > n2 / n""")
 def punkt_collocations(spark, sf_dir):
-    return _learned(spark, sf_dir).collocations
+    return _learned(spark, sf_dir).collocations.select("type1", "type2", F.round("score", 3).alias("score"))
 
 
-@query()
+@query(f"WITH {_MARKED} SELECT type, bits FROM ortho")
 def punkt_ortho(spark, sf_dir):
     return _learned(spark, sf_dir).contexts
 
 
+@query(f"""WITH {_MARKED}, r AS (SELECT key AS type, bare AS found, next_tok, next_case, bits FROM x LEFT JOIN ortho ON ortho.type = next_key WHERE pf AND next_tok IS NOT NULL AND brk AND NOT abbr AND key NOT IN (SELECT type FROM ab)),
+seldom AS (SELECT r.* FROM r LEFT JOIN f a ON a.type = r.type LEFT JOIN f b ON b.type = r.type[1:-2] WHERE coalesce(a.n, 0) + coalesce(b.n, 0) < 5)
+SELECT type FROM ab UNION SELECT found FROM seldom WHERE next_tok[1] IN (',', ':', ';') OR (next_case = 'lower' AND bits & 2 <> 0 AND bits & 4 = 0)""")
+def punkt_abbreviations(spark, sf_dir):
+    """Frequent and rare abbreviations of the learned model."""
+    return _learned(spark, sf_dir).abbreviations
+
+
 # Evaluation.
 _SCORED = "scored AS (SELECT doc_id, quality AS label, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 7) AS BIGINT) % 1000 / 1000.0::DOUBLE AS score FROM labels)"
 
