@@ -85,3 +85,23 @@ def test_random_chains_of_edits(spark):
 
 def test_empty_table(spark):
     assert J.shingle_components(fixtures.none(spark)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_over_blocks_parts_and_summaries(spark, monkeypatch, seed):
+    """Groups of edited copies, at every distance from their text, with blocks and segments of a few sets."""
+    for name, value in (("HOT_ROWS", 3), ("SEGMENT_ROWS", 900), ("BLOCK_TOKENS", 300), ("ASK_ROWS", 4), ("VISIT_ROWS", 5), ("LIST_ROWS", 2)):
+        monkeypatch.setattr(J, name, value)
+    r = random.Random(seed)
+    rows = []
+    for g in range(3):
+        base = fixtures.words(70, 10 * seed + g).split()
+        for i in range(60):
+            w = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 2, 3, 4, 6])):
+                w[r.randrange(len(w))] = f"e{r.randrange(12)}"
+            rows.append((1000 * g + i, " ".join(w[: r.choice([70, 70, 64, 58])])))
+    rows += [(r[0] + 500, r[1]) for r in rows[::20]] + [rows[0], (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = sorted((tuple(x) for x in J.shingle_components(df).collect()), key=str)
+    assert got == plain_components(rows)

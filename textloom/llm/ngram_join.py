@@ -1,17 +1,26 @@
-"""N-gram Jaccard join in the metric space of shingle sets: an exact self-join, its result given as components.
-
-Distances between unrelated texts are exactly 1, so that no window around a few pivot documents would leave anything
-out. Pivots are therefore the shingles themselves, as one-element sets, in one order for all documents, rarer ones
-first: a document's Voronoi region is that of its first shingle. By the triangle inequality of the symmetric
-difference, a text within the distance lacks at most a quarter of a set's shingles, so that a document is replicated
-to the regions of the first quarter of its shingles and no further; each linked pair meets in the region of its first
-common shingle. Each region is then joined again with a document as its pivot: members within the distance of it are
-connected, and only members of different components go on to be compared with each other, those whose sizes and
-bitmaps (a lower bound of the symmetric difference) leave a link possible. All links found are verified on whole sets.
-
-The order comes from counts of all shingles in a fixed number of slots (SLOTS), so what is broadcast has one size for
-any corpus. Documents with equal sets are one node from the start. Shingles are known by 64-bit hashes, sets by 64
-bits of a digest of these.
+"""N-gram Jaccard join in the metric space of shingle sets: an exact self-join, given as numbers of links and components.
+
+Regions of two kinds of pivots follow each other.
+
+1. Pivots that are single shingles, as one-element sets. Distances between unrelated texts are exactly 1, so that a
+   window around a few documents would leave nothing out; a document's nearest such pivots are its own shingles, and the
+   first in one order for all documents, rarer ones first, is its region. By the triangle inequality of the symmetric
+   difference a text within the distance lacks at most a quarter of a set's shingles: a document is replicated to the
+   regions of the first quarter of its shingles and no further, and each linked pair meets in the region of its first
+   common shingle. A region keeps one summary for the sets of a task that crowd in it, so that no task holds it whole.
+2. Pivots that are documents. Each region names one, and each set goes to the cell of a pivot that it links with, its
+   exact distance kept; what links with none is a cell of its own. Two cells are compared only where they meet in a
+   region and the window of the triangle inequality around both pivots, widened by the cells' radii, allows a link
+   (bitmaps bound the distance of pivots from below). The sets of the smaller one then visit the larger.
+3. Within a cell, members that are together no farther from the pivot than the distance of a link do link, and need no
+   comparison; those whose distances differ by more do not. What is left open is compared on whole sets, in blocks: a
+   block of members meets a part of the visitors.
+
+Links are counted, not listed: a row of the result has the number of rows it links with. Counting them in a cell of
+many different texts that are all far from its pivot takes a comparison of each with each, in tasks of bounded size.
+Documents with equal sets are one node from the start. Shingles are known by 64-bit hashes, sets by 64 bits of a digest
+of these. The order comes from counts of all shingles in a fixed number of slots (SLOTS), so that what is broadcast has
+one size for any corpus.
 
 Cases: null and empty texts and texts without words have an empty set and link with nothing; texts with fewer words
 than n have one shingle; rows of equal text link; a row with a null id links with nothing and has no component; long
@@ -36,8 +45,8 @@ SLOTS = 1 << 20
 BLOCKS = 64
 #: Bytes of text whose shingles are held at a time.
 SEGMENT = 2 << 20
-#: Sets that ask one pivot in one task.
-SALT_ROWS = 2000
+#: Sets that ask one pivot, or visit one block of a cell, together.
+ASK_ROWS, VISIT_ROWS = 500, 4000
 #: Rows of regions that a task looks at together, and sets of one region among them that travel apart from it.
 SEGMENT_ROWS, HOT_ROWS = 1_000_000, 64
 #: Shingles of the members of a cell that are in one block.
@@ -234,36 +243,36 @@ ROW, SUMMARY, HELD = 0, 1, 2
 
 
 def _regions(rows: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Each set in the regions of its first shingles.
+    """Each set in the regions of its first shingles: h, sid and code, which holds place, share, core and kind.
 
-    ROW: (h, sid, n, place, share, core); place is the shingle's number in the set's order, from 0; share thousandths of
-    the set's shingles that are frequent; core whether the set can be the smaller one of a pair that meets here.
-    Where many sets of one segment of a task are in a region, the segment gives a SUMMARY, the row that would be the
-    pivot, under the segment's number seg; the sets themselves are HELD rows, dealt out by salt.
+    ROW: place is the shingle's number in the set's order, from 0; share thousandths of the set's shingles that are
+    frequent; core whether the set can be the smaller one of a pair that meets here. Where many sets of one segment of a
+    task are in a region, the segment gives a SUMMARY, the row that would be the pivot, under the segment's number seg;
+    the sets themselves are HELD rows, dealt out by salt.
     """
-    names = ["h", "salt", "kind", "seg", "sid", "n", "place", "share", "core"]
+    names = ["h", "salt", "sid", "code", "seg"]
+    hot_rows, segment_rows = HOT_ROWS, SEGMENT_ROWS
 
-    def given(h, salt, kind, seg, sid, size, place, share, core) -> Iterator[pa.RecordBatch]:
+    def given(h, salt, sid, place, share, core, kind, seg) -> Iterator[pa.RecordBatch]:
+        code = ((share.astype(np.int64) * 2 + core) * 4 + kind) << 32 | place.astype(np.int64)
         for i in range(0, len(h), 200_000):
             s = slice(i, i + 200_000)
-            kinds = [(h, np.int64), (salt, np.int16), (kind, np.int8), (seg, np.int64), (sid, np.int64), (size, np.int32), (place, np.int32), (share, np.int16), (core, bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[s].astype(k)) for x, k in kinds], names)
+            columns = [(h, np.int64), (salt, np.int16), (sid, np.int64), (code, np.int64)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[s].astype(k)) for x, k in columns), pa.array(np.full(len(h[s]), seg), mask=kind[s] == ROW)], names)
 
     def segment(held: list[tuple], seg: int) -> Iterator[pa.RecordBatch]:
         h, sid, size, place, share = (np.concatenate(x) for x in zip(*held))
         core = place <= size - -(-2 * percent * size // (100 + percent))
         order = np.lexsort((sid, -share, h))  # a region's pivot comes first
-        h, sid, size, place, share, core = (x[order] for x in (h, sid, size, place, share, core))
+        h, sid, place, share, core = (x[order] for x in (h, sid, place, share, core))
         cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         many = np.diff(np.append(cut, len(h)))
-        hot = np.repeat(many >= HOT_ROWS, many)
-        zero = np.zeros(len(h), np.int64)
-        salt = np.where(hot, 1 + (sid & 63), 0)
-        yield from given(h, salt, np.where(hot, HELD, ROW), np.where(hot, seg, 0), sid, size, place, share, core)
-        top = cut[many >= HOT_ROWS]
+        hot = np.repeat(many >= hot_rows, many)
+        yield from given(h, np.where(hot, 1 + (sid & 63), 0), sid, place, share, core, np.where(hot, HELD, ROW), seg)
+        top = cut[many >= hot_rows]
         if len(top):
-            any_core = np.logical_or.reduceat(core, cut)[many >= HOT_ROWS]
-            yield from given(h[top], zero[top], zero[top] + SUMMARY, zero[top] + seg, sid[top], size[top], place[top], share[top], any_core)
+            any_core = np.logical_or.reduceat(core, cut)[many >= hot_rows]
+            yield from given(h[top], np.zeros(len(top)), sid[top], place[top], share[top], any_core, np.full(len(top), SUMMARY), seg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -287,28 +296,31 @@ def _regions(rows: DataFrame, classes: np.ndarray, n: int, percent: int) -> Data
             own = owner[pick]
             held.append((tokens[order][pick].view(np.int64), sids[own], sizes[own].astype(np.int32), place[pick].astype(np.int32), share[own].astype(np.int16)))
             many += len(own)
-            if many >= SEGMENT_ROWS:
+            if many >= segment_rows:
                 yield from segment(held, seg)
                 held, many, seg = [], 0, seg + 1
         if many:
             yield from segment(held, seg)
 
-    return rows.where("id is not null").select("text").mapInArrow(run, "h long, salt short, kind byte, seg long, sid long, n int, place int, share short, core boolean")
+    return rows.where("id is not null").select("text").mapInArrow(run, "h long, salt short, sid long, code long, seg long")
 
 
 def _members(regions: DataFrame) -> DataFrame:
-    """(h, sid, n, place, pivot, rank) of the sets in regions where a pair can meet.
+    """(h, sid, place, pivot, rank) of the sets in regions where a pair can meet.
 
     A region's pivot is the set with the largest share of frequent shingles: of a large group of edited copies the text
     that they come from, near all of them. A region comes together from rows and summaries, however many sets it has.
     """
+    upper = F.shiftright("code", 32)
+    kind, core, share = upper.bitwiseAND(3), F.shiftright(upper, 2).bitwiseAND(1), F.shiftright(upper, 3)
     w = Window.partitionBy("h", "salt")
-    seen = regions.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w), "hot": F.max("kind").over(w) == SUMMARY, "any": F.max("core").over(w), "top": F.min(F.struct(-F.col("share"), F.col("sid"))).over(w)})
-    met = seen.where((F.col("kind") == HELD) | ((F.col("lo") != F.col("hi")) | F.col("hot")) & F.col("any"))
-    met = frozen(met.select("h", "kind", "seg", "sid", "n", "place", F.col("top.sid").alias("pivot"), (-F.col("top.col1")).cast("short").alias("rank")))
-    rows = met.where(F.col("kind") == ROW).select("h", "sid", "n", "place", "pivot", "rank")
+    seen = regions.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w), "hot": F.max(kind).over(w) == SUMMARY, "any": F.max(core).over(w) == 1, "top": F.min(F.struct((-share).alias("share"), F.col("sid"))).over(w)})
+    met = seen.where((kind == HELD) | ((F.col("lo") != F.col("hi")) | F.col("hot")) & F.col("any"))
+    place = F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("place")
+    met = frozen(met.select("h", kind.cast("byte").alias("kind"), "seg", "sid", place, F.col("top.sid").alias("pivot"), (-F.col("top.share")).cast("short").alias("rank")))
+    rows = met.where(F.col("kind") == ROW).select("h", "sid", "place", "pivot", "rank")
     tops = met.where(F.col("kind") == SUMMARY).select("h", "seg", "pivot", "rank")
-    held = met.where(F.col("kind") == HELD).select("h", "seg", "sid", "n", "place").join(tops, ["h", "seg"])
+    held = met.where(F.col("kind") == HELD).select("h", "seg", "sid", "place").join(tops, ["h", "seg"])
     return rows.unionByName(held.drop("seg")).distinct()
 
 
@@ -340,7 +352,7 @@ def _homes(rows: DataFrame, members: DataFrame, nodes: DataFrame, n: int, percen
     able = asks.join(two, "b").join(one, "a").where(may_link(F.col("na"), F.col("nb"), percent))
     able = able.where(_within(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), F.lit(_far(percent))))
     first = frozen(able.groupBy("b").agg(F.min_by("a", F.struct(-F.col("rank"), "a")).alias("a")))
-    tasks = first.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("blocks"))
+    tasks = first.groupBy("a").agg(F.ceil(F.count("*") / ASK_ROWS).cast("int").alias("blocks"))
     none = F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("copies")
     visitors = first.join(tasks, "a").select(F.col("b").alias("sid"), _to("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"), VISITOR, *none))
     pivots = tasks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("a").alias("sid"), _to("a", F.col("block"), PIVOT, *none))
@@ -364,7 +376,7 @@ def _visits(members: DataFrame, homes: DataFrame, cells: DataFrame, nodes: DataF
     """
     far = _far(percent)
     slack = F.max(100 * F.col("n") - (100 + percent) * F.col("place"))
-    here = members.join(homes.select("sid", "cell"), "sid").groupBy("h", "cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), slack.alias("slack"))
+    here = members.join(homes.select("sid", "cell", "n"), "sid").groupBy("h", "cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), slack.alias("slack"))
     here = here.withColumn("others", F.count("*").over(Window.partitionBy("h"))).where("others > 1").drop("others")
     here = here.join(cells.select("cell", "size", "radius", "pivot_n", "pivot_map"), "cell")
     one, two = (here.select("h", *(F.col(c).alias(f"{c}{i}") for c in here.columns if c != "h")) for i in (1, 2))
@@ -398,17 +410,23 @@ def _to(host: str, block: Column, role: int, dist: Column, copies: Column) -> Co
 def _compared(rows: DataFrame, visits: DataFrame, homes: DataFrame, cells: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """(sid, links, host): numbers of rows that a set links with; host: a cell that a visitor is linked to, null of members.
 
-    A host's members are dealt over blocks of about BLOCK_TOKENS shingles; visitors go to each of these.
+    A host's members are dealt over blocks of about BLOCK_TOKENS shingles, its visitors over parts of about VISIT_ROWS
+    sets; each block meets each part in a task of its own.
     """
-    hosts = visits.select(F.col("host").alias("cell")).distinct().join(cells.select("cell", "tokens", "size"), "cell")
-    hosts = frozen(hosts.select("cell", "size", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks")))
-    own = homes.join(hosts, "cell").select("sid", _to("cell", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"), MEMBER, F.col("dist"), F.col("copies")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    hosts = visits.groupBy(F.col("host").alias("cell")).agg(F.ceil(F.count("*") / VISIT_ROWS).cast("int").alias("parts"))
+    hosts = hosts.join(cells.select("cell", "tokens", "size"), "cell")
+    hosts = frozen(hosts.select("cell", "size", "parts", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks")))
+    number = F.col("block") * F.col("parts") + F.col("part")
+    blocks, parts = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("blocks", "parts"))
+    dealt = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
+    own = homes.join(hosts, "cell").withColumn("block", dealt("blocks")).withColumn("part", parts)
+    own = own.select("sid", _to("cell", number, MEMBER, F.col("dist"), F.col("copies")))
     none = F.lit(0.0), F.lit(0).cast("long")
-    pivots = hosts.where("size > 1").withColumn("block", every).select(F.col("cell").alias("sid"), _to("cell", F.col("block"), PIVOT, *none))
-    guests = visits.join(nodes.select("sid", "copies"), "sid").join(hosts.select(F.col("cell").alias("host"), "blocks"), "host").withColumn("block", every)
-    strangers = guests.where("dist is null").select("sid", _to("host", F.col("block"), VISITOR, F.lit(0.0), F.col("copies")))
-    shell = guests.where("dist is not null").select("sid", _to("host", F.col("block"), OWN, F.col("dist"), F.col("copies")))
+    pivots = hosts.where("size > 1").withColumn("block", blocks).withColumn("part", parts).select(F.col("cell").alias("sid"), _to("cell", number, PIVOT, *none))
+    guests = visits.join(nodes.select("sid", "copies"), "sid").join(hosts.select(F.col("cell").alias("host"), "blocks", "parts"), "host")
+    guests = guests.withColumn("part", dealt("parts")).withColumn("block", blocks)
+    strangers = guests.where("dist is null").select("sid", _to("host", number, VISITOR, F.lit(0.0), F.col("copies")))
+    shell = guests.where("dist is not null").select("sid", _to("host", number, OWN, F.col("dist"), F.col("copies")))
     asked = own.unionByName(pivots).unionByName(strangers).unionByName(shell)
     return _met(rows, asked, nodes, n, _count(percent), "sid long, links long, host long")
 
@@ -441,8 +459,8 @@ def _met(rows: DataFrame, asked: DataFrame, nodes: DataFrame, n: int, compare, s
                     t = to[k : k + step]
                     yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in t], kind) for c, kind in kinds.items()), pa.array([sids[i]] * len(t), pa.int64()), pa.array([blob] * len(t), pa.binary())], names)
 
-    sent = found.mapInArrow(sets, "host long, block int, role byte, dist double, copies long, sid long, tokens binary").dropDuplicates(["host", "block", "role", "sid"])
-    return sent.repartition("host", "block").sortWithinPartitions("host", "block", "role").mapInArrow(compare, schema)
+    sent = found.mapInArrow(sets, "host long, block int, role byte, dist double, copies long, sid long, tokens binary")
+    return sent.repartition("host", "block").sortWithinPartitions("host", "block", "role", "sid").mapInArrow(compare, schema)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -451,30 +469,38 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
-def _rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(host, block, role, sid, dist, copies, set) of sorted rows; rows that come twice, from repeated documents, once."""
+    last = None
     for b in batches:
-        yield from zip(*(b.column(c).to_pylist() for c in ("host", "block", *columns)))
+        for *key, dist, copies, blob in zip(*(b.column(c).to_pylist() for c in ("host", "block", "role", "sid", "dist", "copies", "tokens"))):
+            if key != last:
+                last = key
+                yield *key, dist, copies, np.frombuffer(blob, dtype=np.uint64)
 
 
 def _attach(percent: int):
     """compare of _homes: the visitors within the distance of a link from the pivot, with their distance."""
 
+    def given(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["sid", "cell", "dist"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for host, block, role, sid, blob in _rows_of(iter([b]), "role", "sid", "tokens"):
-                right = np.frombuffer(blob, dtype=np.uint64)
-                if role == PIVOT:
-                    compare.key, compare.left = (host, block), right
-                elif compare.key == (host, block):
-                    common = _common(compare.left, right)
-                    both = len(compare.left) + len(right) - common
-                    if 100 * common >= percent * both:
-                        out.append((sid, host, 1 - common / both))
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["sid", "cell", "dist"])
-
-    compare.key, compare.left = None, np.zeros(0, np.uint64)
+        key, left, out = None, np.zeros(0, np.uint64), []
+        for host, block, role, sid, _, _, right in _rows_of(batches):
+            if role == PIVOT:
+                key, left = (host, block), right
+            elif key == (host, block):
+                common = _common(left, right)
+                both = len(left) + len(right) - common
+                if 100 * common >= percent * both:
+                    out.append((sid, host, 1 - common / both))
+            if len(out) >= 10_000:
+                yield given(out)
+                out = []
+        yield given(out)
+
     return compare
 
 
@@ -547,11 +573,10 @@ def _count(percent: int):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, out = None, None, []
-        for host, number, role, dist, copies, sid, blob in _rows_of(batches, "role", "dist", "copies", "sid", "tokens"):
+        for host, number, role, sid, dist, copies, right in _rows_of(batches):
             if key != (host, number):
                 out += closed(block)
                 key, block = (host, number), _Block(host, percent)
-            right = np.frombuffer(blob, dtype=np.uint64)
             if role == PIVOT:
                 block.pivot = right
             elif role == MEMBER:
