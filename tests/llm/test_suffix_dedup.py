@@ -71,6 +71,18 @@ def test_deep_shallow_orders_like_sorted():
         assert common[i] == (-1 if g != h else next((k for k in range(26) if a[k] != b[k]), 26))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_multikey_quicksort_against_sorted(seed):
+    r = np.random.default_rng(seed)
+    n = [0, 1, 2, 50, 1000, 5000][seed]
+    letters = r.integers(0, 3 + 50 * (seed % 2), (n, 3)).astype(np.uint64) * np.uint64(2**61)
+    group = r.integers(0, 1 + n // 20, n)
+    order, tied = S.multikey_quicksort(group, letters)
+    keys = [(int(group[i]), *letters[i].tolist()) for i in order]
+    assert keys == sorted(keys) and sorted(order.tolist()) == list(range(n))
+    assert tied.tolist() == [i > 0 and keys[i] == keys[i - 1] for i in range(n)]
+
+
 def test_large_ids_beside_null_ids(spark):
     df = spark.createDataFrame(fixtures.LARGE_IDS, "doc_id bigint, text string").coalesce(1)
     assert sorted((r["doc_id"] for r in S.suffix_report(df).collect()), key=str) == sorted((d for d, _ in fixtures.LARGE_IDS), key=str)

@@ -10,8 +10,7 @@ fourteen is looked at.
 2. Documents with shared hashes are read again; each such anchor gives its context, the bytes that windows around it
    can hold. A context that a smaller document of the same task has as well is settled there.
 3. The other contexts meet by hash. Right sides (the suffixes) and reversed left sides are each sorted to a
-   shallow depth by numpy's lexsort on eight-byte letters, which stands in for a multikey quicksort, and groups that
-   still agree by a blind trie. Longest common prefixes then give, for each window around an anchor, the smallest document that has it.
+   shallow depth by multikey quicksort, eight bytes a letter, and groups that still agree by a blind trie. Longest common prefixes then give, for each window around an anchor, the smallest document that has it.
 4. Documents equal to a smaller one are removed whole by their digest and take no part in 2 and 3.
 
 Hashes only choose whom to compare; bytes decide.
@@ -186,19 +185,63 @@ def equal_rows(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[new], out
 
 
+def multikey_quicksort(group: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, tied): rows sorted by group and then by their letters; tied: equal to the row before in both.
+
+    Each segment of rows that agree so far is split in three around a pivot, the median of three of its letters at the
+    segment's depth: smaller and greater ones stay at that depth, equal ones go on to the next letter. All segments are
+    split at once, pass by pass, until they have one row or no letter left.
+    """
+    order = np.argsort(group, kind="stable")
+    tied = np.zeros(len(order), dtype=bool)
+    new = np.concatenate([[True], group[order][1:] != group[order][:-1]]) if len(order) else tied
+    at, depth = np.arange(len(order)), np.zeros(len(order), np.int64)  # of the rows in open segments: place, and depth
+    while len(at):
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(at)))
+        if (size == 1).any():
+            keep = np.repeat(size > 1, size)
+            at, depth, new = at[keep], depth[keep], new[keep]
+            continue
+        rows = order[at]
+        letter = letters[rows, depth]
+        x, y, z = letter[start], letter[start + size // 2], letter[start + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z)), size)
+        side = (letter > pivot).astype(np.int64) - (letter < pivot) + 1
+        # Where each row goes: its segment's start, the rows of lesser sides, and those of its own side before it.
+        first = np.repeat(start, size)
+        to, before, cut = first.copy(), np.zeros(len(at), np.int64), np.empty(len(at), np.int64)
+        for k in range(3):
+            mine = side == k
+            upto = np.cumsum(mine)
+            inside = upto - mine - np.repeat(upto[start] - mine[start], size)
+            to[mine] += (before + inside)[mine]
+            before += np.repeat(np.add.reduceat(mine, start), size)
+        moved = np.empty_like(rows)
+        moved[to] = rows
+        order[at] = moved
+        cut[to] = side
+        new = new.copy()
+        new[1:] |= cut[1:] != cut[:-1]
+        depth = depth + (cut == 1)  # a segment's rows have one depth
+        done = depth == letters.shape[1]
+        tied[at[done & ~new]] = True
+        at, depth, new = at[~done], depth[~done], new[~done]
+    return order, tied
+
+
 def deep_shallow(group: np.ndarray, rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): rows sorted by group and then bytes, and what each has in common with its predecessor (-1: another group).
 
-    Equal rows of a group must have been joined before.
+    Equal rows of a group must have been joined before. Multikey quicksort sorts the first `shallow` bytes, eight of them
+    a letter; blind tries order the rows that still agree.
     """
     depth = min(shallow, rows.shape[1]) // 8 * 8
     letters = np.ascontiguousarray(rows[:, :depth]).view(">u8").astype(np.uint64)
-    order = np.lexsort((*letters.T[::-1], group))  # the shallow sort, with eight-byte letters
+    order, tied = multikey_quicksort(group, letters)
     if len(order) > 1:
-        a, b = order[1:], order[:-1]
-        tied = (group[a] == group[b]) & (letters[a] == letters[b]).all(axis=1)
-        starts = np.flatnonzero(tied & ~np.concatenate([[False], tied[:-1]]))
-        stops = np.flatnonzero(tied & ~np.concatenate([tied[1:], [False]])) + 2
+        starts = np.flatnonzero(tied[1:] & ~tied[:-1])
+        stops = np.flatnonzero(tied & ~np.concatenate([tied[1:], [False]])) + 1
         for s, e in zip(starts, stops):
             own = order[s:e]
             trie = BlindTrie(rows[own, depth:])
