@@ -28,8 +28,9 @@ URLS = [
 
 @pytest.mark.parametrize("most", [U.MAX_BITS, 1])
 def test_urls_against_plain_rules(spark, monkeypatch, most):
-    """With cascades, and by a join where the lists are too long for them."""
+    """With a cascade for each list, and with many shards that are judged two at a time."""
     monkeypatch.setattr(U, "MAX_BITS", most)
+    monkeypatch.setattr(U, "SHARDS", 2)
     r = random.Random(1)
     urls = URLS + ["http://" + ".".join(r.choice(["a", "example", "com", "net", "org", ""]) for _ in range(r.randint(1, 4))) + r.choice(["/en/", "/de/8", "/es/", "/en/7", "/", ""]) + r.choice(["", "9", "?q"]) for _ in range(300)] + ["http://x." + "y." * 3000 + "com/en/"]
     rows = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id bigint, url string, rule string, keys string")
@@ -37,6 +38,15 @@ def test_urls_against_plain_rules(spark, monkeypatch, most):
     assert got == {i: plain(u, URL_RULES) for i, u in enumerate(urls)}
 
 
+def test_many_rules_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(U, "MAX_BITS", 2000)
+    rules = [(("block", "allow")[i % 2], f"h{i}.org", f"/p{i % 7}/") for i in range(400)]
+    urls = [f"http://{'a.' * (i % 3)}h{i % 500}.org/p{i % 11}/x" for i in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge_urls(spark, rows, rules).collect()}
+    assert got == {i: plain(u, rules) for i, u in enumerate(urls)}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     listed = [f"k{i}" for i in range(0, 3000, 7)]
     rows = spark.createDataFrame([(f"k{i}",) for i in range(3000)] + [(None,), ("k7",)], "key string")
