@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -30,6 +31,56 @@ def test_scores_in_blocks_equal_scores_alone():
         assert abs(one - s) < 1e-5
 
 
+def plain_features(passage):
+    """Features of one passage, counted one by one."""
+    n = max(1, len(passage))
+    out = [0.0] * Q.FEATURES
+    for b in passage:
+        out[b] += 1
+    for a, b in zip(passage, passage[1:]):
+        out[256 + ((a * 40503 + b * 2654435761) >> 7) % Q.PAIRS] += 1
+    out = [math.sqrt(x / n) for x in out]
+    four = {((a * 73856093 ^ b * 19349663 ^ c * 83492791 ^ d * 2654435761) >> 5) % Q.VARIETY for a, b, c, d in zip(passage, passage[1:], passage[2:], passage[3:])}
+    out[-2], out[-1] = len(four) / max(1, len(passage) - 3), len(passage) / (len(passage) + Q.HALF)
+    return out
+
+
+def plain_score(m, text):
+    """The forward pass of gated attention, passage by passage."""
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    hs, weights = [], []
+    for at in range(0, max(1, len(text)), Q.PASSAGE):
+        x = plain_features(text[at : at + Q.PASSAGE])
+        x = [(v - mean) * scale * x[-1] for v, mean, scale in zip(x, m.mean, m.scale)]
+        h = [math.tanh(sum(v * w for v, w in zip(x, column)) + b) for column, b in zip(m.w.T, m.b)]
+        gate = [math.tanh(sum(v * w for v, w in zip(h, c))) * sig(sum(v * w for v, w in zip(h, d))) for c, d in zip(m.v.T, m.u.T)]
+        hs.append(h)
+        weights.append(math.exp(sum(g * a for g, a in zip(gate, m.a))))
+    z = [sum(w * h[k] for w, h in zip(weights, hs)) / sum(weights) for k in range(len(m.c))]
+    return sig(sum(v * c for v, c in zip(z, m.c)) + m.c0[0])
+
+
+def test_scores_against_a_plain_forward_pass(spark):
+    docs = fixtures.docs(spark)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    model = Q.train(docs, labels.where(~Q.held_out("doc_id")))
+    got = {r["doc_id"]: r["score"] for r in Q.quality_report(docs, labels).collect()}
+    for doc, text, *_ in fixtures.rows():
+        if doc is not None:
+            assert abs(got[doc] - plain_score(model, (text or "").encode())) < 1e-4, doc
+
+
+def test_repeated_ids_and_many_passages(spark):
+    texts = [(i % 6, fixtures.words(40 + 30 * (i % 5), i)) for i in range(30)] + [(7, fixtures.words(5000, 9))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, quality int")
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    scores = [sorted((r["doc_id"], round(r["score"], 9)) for r in Q.quality_report(x, labels, train_passages=3).collect()) for x in (df.coalesce(1), df.repartition(5), df.orderBy("text"))]
+    assert scores[0] == scores[1] == scores[2]
+    whole = Q.passage_features(texts[-1][1].encode())
+    own = Q.spread_features(texts[-1][1].encode(), 3)
+    assert len(own) == 3 and (own[0] == whole[0]).all() and (own[-1] == whole[-1]).all()
+
+
 def test_gradient_by_differences():
     r = np.random.default_rng(1)
     bags = [r.random((n, 5)) for n in (1, 3, 2)]

@@ -3,12 +3,14 @@
 A document is a bag of passages of PASSAGE bytes. Each passage is encoded by one layer over its byte and hashed
 byte-pair frequencies and the variety of its four-byte strings; gated attention weights, learned from document labels alone, sum the passages to one vector,
 which a logistic unit scores. Training runs on the driver over a bounded sample of labelled rows (`train_docs`, the
-smallest by a hash of the id); scoring is one pass over the documents without a shuffle.
+smallest by a hash of the id) and of their passages (`train_passages` of a document, evenly spread over its whole text):
+at most train_docs * train_passages * FEATURES * 2 bytes, 0.5 GB with the parameters given here. Scoring is one pass over
+the documents without a shuffle and reads all passages.
 
 Cases: null and empty texts are one empty passage and are scored as such; long texts are scored whole, some passages
 at a time; without usable labels the score is 0.5, and with labels of one class that class's share after smoothing;
-several labels of one id count by their mean, null labels not at all; repeated rows give repeated results; other
-columns are not read. A passage's bytes may cut a code point; features are counts of bytes and are not hurt by that.
+several labels of one id count by their mean, null labels not at all; of several texts of one id that with the smallest
+hash is learned from; repeated rows give repeated results; other columns are not read. A passage's bytes may cut a code point; features are counts of bytes and are not hurt by that.
 """
 
 from __future__ import annotations
@@ -45,6 +47,16 @@ def passage_features(text: bytes | np.ndarray) -> np.ndarray:
     return _features(data, np.arange(len(data)) // PASSAGE, n)
 
 
+def spread_features(text: bytes, most: int) -> np.ndarray:
+    """The features of at most `most` passages, evenly spread over the text from its first passage to its last."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    n = max(1, -(-len(data) // PASSAGE))
+    if n <= most:
+        return passage_features(data)
+    own = np.linspace(0, n - 1, most).astype(np.int64)
+    return np.concatenate([passage_features(data[i * PASSAGE : (i + 1) * PASSAGE]) for i in own])
+
+
 def _features(data: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
     kinds = 256 + PAIRS
     base = passage.astype(np.int64) * kinds
@@ -191,8 +203,9 @@ def to_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 4000, seed: int = 7) -> Attention | Constant:
-    """A model from the labelled rows of docs; at most train_docs of them, those with the smallest hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 4000, train_passages: int = 128, seed: int = 7) -> Attention | Constant:
+    """A model from the labelled rows of docs; at most train_docs of them, those with the smallest hash of the id, and at
+    most train_passages of each, evenly spread."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     own = own.groupBy("id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(train_docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -201,12 +214,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for b in batches:
             for i in range(0, len(b), 256):
                 part = b.iloc[i : i + 256]
-                yield pd.DataFrame({"id": part["id"], "y": part["y"], "x": [passage_features(to_bytes(t)).astype(np.float16).tobytes() for t in part["text"]]})
+                yield pd.DataFrame({"y": part["y"], "x": [spread_features(to_bytes(t), train_passages).astype(np.float16).tobytes() for t in part["text"]]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
     # train_docs bounds the broadcast side; a document that stands in several rows is taken once.
-    got = rows.join(F.broadcast(own), "id").select("id", "text", "y").mapInPandas(run, f"id {kind}, y double, x binary").toPandas()
-    got = got.drop_duplicates("id").sort_values("id")
+    known = rows.join(F.broadcast(own), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = known.mapInPandas(run, "y double, x binary").toPandas()
+    got = got.sort_values(["y", "x"])  # whatever the order of rows
     bags, y = [np.frombuffer(x, dtype=np.float16).reshape(-1, FEATURES) for x in got["x"]], got["y"].to_numpy()
     del got
     return fit(bags, y, seed=seed)
