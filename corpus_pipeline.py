@@ -39,8 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     heads = grouped.select(F.col("component_id").alias(KEY), "component_id").distinct()
     members = grouped.unionByName(heads).join(keyed.select(KEY, "doc_id"), KEY)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
-    stays = members.groupBy("component_id").agg(F.min_by(KEY, order).alias("__stays"))
-    gone = members.join(stays, "component_id").where(f"{KEY} <> __stays").select(KEY)
+    stays = members.groupBy("component_id").agg(F.min_by(KEY, order).alias(KEY)).select(KEY)
+    gone = members.select(KEY).join(stays, KEY, "left_anti")
     return keyed.join(gone, KEY, "left_anti").select(*docs.columns)
 
 
