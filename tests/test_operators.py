@@ -46,6 +46,29 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(ORACLE_SQL) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("key", ["7", "id % 3", "CASE WHEN id % 10 < 9 THEN 5 ELSE id END", "CASE WHEN id % 2 = 0 THEN id END"])
+def test_stratified_sample_of_repeated_keys(spark, key):
+    rows = spark.range(20_000).selectExpr("id", "id % 5 = 0 AS y", f"{key} AS k")
+    wanted = {True: 100, False: 3500}
+    got = P.stratified_sample(rows, wanted, "y", "k", 1).collect()
+    assert {y: sum(r["y"] == y for r in got) for y in wanted} == wanted and len({r["id"] for r in got}) == 3600
+    assert P.stratified_sample(rows, {True: 30_000}, "y", "k").count() == 4000
+
+
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_running_sums_by_ranges(spark, kind):
+    from textloom.operators.ranking import running
+
+    values = [(float(i * 7919 % 1009), i % 13) for i in range(1009)]
+    df = spark.createDataFrame(values, "x double, n int").withColumn("x", F.col("x").cast(kind)).repartition(3)
+    for down in (False, True):
+        total, want = 0, {}
+        for x, n in sorted(((x if kind == "double" else str(x)), n) for x, n in values)[:: -1 if down else 1]:
+            total += n
+            want[x] = total
+        assert {r["x"]: r["s"] for r in running(df, "x", {"s": "n"}, down).collect()} == want
+
+
 def test_stratified_sample_with_a_huge_class(spark):
     rows = spark.range(30_000).select(F.col("id"), F.when(F.col("id") % 1000 == 0, 0).otherwise(1).alias("y"))
     got = {r["y"]: r["count"] for r in P.stratified_sample(rows, {0: 20, 1: 300, 2: 5}, "y", "id", 3).groupBy("y").count().collect()}

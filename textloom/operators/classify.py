@@ -11,9 +11,10 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running
 from .sampling import split_bucket
 
 # The inverse penalties and tree settings that are searched.
@@ -118,23 +119,20 @@ def classification_report(predicted: DataFrame, label: str = "label", prediction
 
 
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score", places: int | None = None) -> DataFrame:
-    """threshold, fpr, tpr: a row per distinct score, from the highest. places: scores are rounded to so many first.
-
-    Scores are counted before the window, so that it holds distinct scores only.
-    """
+    """threshold, fpr, tpr, and the step before's fpr_before, tpr_before: a row per distinct score, from the highest.
+    places: scores are rounded to so many first. Scores are counted, and the counts summed by ranges (see ranking)."""
     s = F.round(F.col(score).cast("double"), places) if places is not None else F.col(score).cast("double")
     counts = scored.groupBy(s.alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    run = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     whole = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    out = counts.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run)}).crossJoin(F.broadcast(whole))
-    return out.select("threshold", F.try_divide("fp", "all_neg").alias("fpr"), F.try_divide("tp", "all_pos").alias("tpr"))
+    out = running(counts, "threshold", {"tp": "pos", "fp": "neg"}, descending=True).crossJoin(F.broadcast(whole))
+    rate = lambda n, all_: F.try_divide(n, F.col(all_))
+    fp, tp = F.col("fp"), F.col("tp")
+    return out.select("threshold", rate(fp, "all_neg").alias("fpr"), rate(tp, "all_pos").alias("tpr"), rate(fp - F.col("neg"), "all_neg").alias("fpr_before"), rate(tp - F.col("pos"), "all_pos").alias("tpr_before"))
 
 
 def roc_auc(curve: DataFrame) -> DataFrame:
     """auc: the area under a curve by trapezoids, from (0, 0)."""
-    w = Window.orderBy(F.desc("threshold"))
-    before = {"f0": F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), "t0": F.coalesce(F.lag("tpr").over(w), F.lit(0.0))}
-    return curve.withColumns(before).agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"))
+    return curve.agg(F.sum((F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2).alias("auc"))
 
 
 def feature_importance(train: DataFrame, names: list[str] | None = None, k: int = 25, trees: int = 60, seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def digest(key: str | Column, seed: int = 0) -> Column:
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(key.cast("string"), F.lit(str(seed))))
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(str(seed))))
 
 
 def reservoir_sample(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
@@ -16,29 +16,52 @@ def reservoir_sample(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFram
     return df.orderBy(digest(key, seed), key).limit(k)
 
 
+#: Rows beside the sample that a class's ranking may see.
+MORE_ROWS = 1000
+
+
 def stratified_sample(df: DataFrame, per_class: dict, label: str, key: str, seed: int = 0) -> DataFrame:
-    """At most per_class[y] rows of each class y; rows of other classes are dropped.
+    """min(k, n) rows of each class y, of which it has n, for per_class[y] = k; rows of other classes are dropped.
 
-    Counts say how far into the digests each class has to be read, so that the ranking sees little more than the
-    sample even if a class holds most of the table.
+    Those with the smallest digests of their keys; among rows of one key any. Counts by the digests' first digits, and
+    within the range that holds the k-th row by more of them, say how far each class has to be read, so that the ranking
+    sees little more than the sample, even if a class holds most of the table or one key most of a class.
     """
     if not per_class:
         return df.limit(0)
     spark = df.sparkSession
     kind = df.schema[label].dataType.simpleString()
-    wanted = spark.createDataFrame([(str(y), int(k)) for y, k in per_class.items()], "y string, k long").select(F.col("y").cast(kind).alias("__y"), F.col("k").alias("__k"))
-    own = df.join(F.broadcast(wanted), F.col(label) == F.col("__y")).withColumn("__d", digest(key, seed))
-    counts = {r["__y"]: r["n"] for r in own.groupBy("__y").agg(F.count("*").alias("n")).collect()}  # a row per class wanted
-    share = F.lit(1.0)
-    for y, n in counts.items():
-        k = per_class[y] if y in per_class else per_class[str(y)]
-        # Twelve standard deviations more than is needed; if the class is that short, all of it.
-        most = (k + 12 * (k + 1) ** 0.5 + 50) / max(n, 1)
-        share = F.when(F.col("__y") == F.lit(y), F.lit(min(1.0, most))).otherwise(share)
-    place = F.conv(F.substring("__d", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    near = own.where(place < share)
+    classes = spark.createDataFrame([(str(y), int(k)) for y, k in per_class.items()], "y string, k long").select(F.col("y").cast(kind).alias("__y"), F.col("k").alias("__k"))
+    own = df.join(F.broadcast(classes), F.col(label) == F.col("__y")).withColumn("__d", digest(key, seed))
+    open_ = {r["__y"]: (r["__k"], "") for r in classes.collect()}  # rows still wanted, and the range they begin in
+    ends: dict[object, tuple[str, float]] = {}  # of each class: the last range, and the share of it that is read
+    while open_:
+        size = len(next(iter(open_.values()))[1]) + 4
+        inside = F.lit(False)
+        for y, (_, start) in open_.items():
+            inside = inside | ((F.col("__y") == F.lit(y)) & F.col("__d").startswith(start))
+        counts: dict[object, list] = {}
+        for r in own.where(inside).groupBy("__y", F.substring("__d", 1, size).alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():  # at most 16 ** 4 rows a class
+            counts.setdefault(r["__y"], []).append((r["d"], r["n"]))
+        now, open_ = open_, {}
+        for y, (k, _) in now.items():
+            for d, n in counts.get(y, ()):
+                if n >= k:
+                    if n <= k + MORE_ROWS:
+                        ends[y] = d, 1.0
+                    elif size == 32:  # rows of one key: more of them than are wanted, by twelve standard deviations
+                        ends[y] = d, min(1.0, (k + 12 * (k + 1) ** 0.5 + 50) / n)
+                    else:
+                        open_[y] = k, d
+                    break
+                k -= n
+    near = F.lit(True)  # a class with fewer rows than wanted is read whole
+    for y, (d, share) in ends.items():
+        first = F.substring("__d", 1, len(d))
+        within = first <= d if share == 1.0 else (first < d) | ((first == d) & (F.rand(seed) < share))
+        near = F.when(F.col("__y") == F.lit(y), within).otherwise(near)
     rank = F.row_number().over(Window.partitionBy("__y").orderBy("__d", key))
-    return near.withColumn("__r", rank).where(F.col("__r") <= F.col("__k")).select(*df.columns)
+    return own.where(near).withColumn("__r", rank).where(F.col("__r") <= F.col("__k")).select(*df.columns)
 
 
 def split_bucket(key: str | Column, seed: int = 0) -> Column:
