@@ -24,8 +24,11 @@ _NAME = r"[a-zA-Z][^\t\n\r\f />\x00]*"
 _ATTRIBUTE = r"""((?<=['"\s/])[^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?(?:\s|/(?!>))*"""
 _ENTITY = r"&(#?[xX]?(?:[0-9a-fA-F]+|\w{1,8}));"
 
+#: An attribute as above, without its groups.
+_ANY_ATTRIBUTE = r"""(?:(?<=['"\s/])[^\s/>][^\s/=>]*)(?:\s*=+\s*(?:'[^']*'|"[^"]*"|(?!['"])[^>\s]*))?(?:\s|/(?!>))*"""
+
 _CONSTRUCT = regex.compile(
-    r"(?P<start><" + _NAME + r"(?:[\s/]*(?:" + _ATTRIBUTE.replace("(\\s*=+", "(?:\\s*=+").replace("('[^']*'", "(?:'[^']*'").replace("((?<=", "(?:(?<=") + r")*)?\s*)"
+    r"(?P<start><" + _NAME + r"(?:[\s/]*(?:" + _ANY_ATTRIBUTE + r")*)?\s*)"
     r"|(?P<end></(?:\s*[a-zA-Z]|\Z))"
     r"|(?P<comment><!--)"
     r"|(?P<pi><\?)"

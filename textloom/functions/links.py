@@ -34,11 +34,8 @@ MORE_CODES = ("ac", "eu", "su", "tp", "uk")
 
 @cache
 def country_codes() -> tuple[str, ...]:
-    """Two-letter codes of countries, from the time zone data's table."""
-    try:
-        table = resources.files("tzdata").joinpath("zoneinfo/iso3166.tab").read_text(encoding="utf-8")
-    except (ModuleNotFoundError, FileNotFoundError):
-        return ("[a-z]{2}",)
+    """Two-letter codes of countries, from the time zone data's table (tzdata, which pandas requires)."""
+    table = resources.files("tzdata").joinpath("zoneinfo/iso3166.tab").read_text(encoding="utf-8")
     codes = {line.split("\t")[0].lower() for line in table.splitlines() if line and line[0] != "#"}
     return tuple(sorted(codes | set(MORE_CODES)))
 

@@ -41,7 +41,6 @@ COLLOCATION = "known collocation (both words)"
 ABBR_ORTHO = "abbreviation + orthographic heuristic"
 ABBR_STARTER = "abbreviation + frequent sentence starter"
 INITIAL_ORTHO = "initial + orthographic heuristic"
-NUMBER_ORTHO = "initial + orthographic heuristic"
 INITIAL_SPECIAL = "initial + special orthographic heuristic"
 
 
@@ -164,7 +163,7 @@ class Model:
                 return decide(True, ABBR_STARTER)
         if w.is_initial or w.bare == NUMBER:
             if starts is False:
-                return decide(False, INITIAL_ORTHO if w.is_initial else NUMBER_ORTHO)
+                return decide(False, INITIAL_ORTHO)
             if starts is None and w.is_initial and after.case == "upper" and not self.contexts.get(after.key, 0) & LOWER:
                 return decide(False, INITIAL_SPECIAL)
         return None
