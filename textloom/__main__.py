@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +92,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         out = pipelines.train(spark.read.parquet(args.input), config, vectors, folds=args.folds)
         for name in ("search", "report", "roc", "auc"):
             getattr(out, name).write.mode("overwrite").parquet(f"{args.output}/{name}")
-        out.model.bestModel.write().overwrite().save(f"{args.output}/model")
+        for i, stage in enumerate(out.model.bestModel.stages):  # fitted stages; those that only make columns have nothing to keep
+            if isinstance(stage, MLWritable):
+                stage.write().overwrite().save(f"{args.output}/stage-{i}")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

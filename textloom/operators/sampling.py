@@ -31,18 +31,18 @@ def stratified_sample(df: DataFrame, per_class: dict, label: str, key: str, seed
         return df.limit(0)
     spark = df.sparkSession
     kind = df.schema[label].dataType.simpleString()
-    classes = spark.createDataFrame([(str(y), int(k)) for y, k in per_class.items()], "y string, k long").select(F.col("y").cast(kind).alias("__y"), F.col("k").alias("__k"))
-    own = df.join(F.broadcast(classes), F.col(label) == F.col("__y")).withColumn("__d", digest(key, seed))
-    open_ = {r["__y"]: (r["__k"], "") for r in classes.collect()}  # rows still wanted, and the range they begin in
+    classes = spark.createDataFrame([(str(y), int(k)) for y, k in per_class.items()], "y string, k long").select(F.col("y").cast(kind).alias("__class"), F.col("k").alias("__wanted"))
+    own = df.join(F.broadcast(classes), F.col(label) == F.col("__class")).withColumn("__digest", digest(key, seed))
+    open_ = {r["__class"]: (r["__wanted"], "") for r in classes.collect()}  # rows still wanted, and the range they begin in
     ends: dict[object, tuple[str, float]] = {}  # of each class: the last range, and the share of it that is read
     while open_:
         size = len(next(iter(open_.values()))[1]) + 4
         inside = F.lit(False)
         for y, (_, start) in open_.items():
-            inside = inside | ((F.col("__y") == F.lit(y)) & F.col("__d").startswith(start))
+            inside = inside | ((F.col("__class") == F.lit(y)) & F.col("__digest").startswith(start))
         counts: dict[object, list] = {}
-        for r in own.where(inside).groupBy("__y", F.substring("__d", 1, size).alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():  # at most 16 ** 4 rows a class
-            counts.setdefault(r["__y"], []).append((r["d"], r["n"]))
+        for r in own.where(inside).groupBy("__class", F.substring("__digest", 1, size).alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():  # at most 16 ** 4 rows a class
+            counts.setdefault(r["__class"], []).append((r["d"], r["n"]))
         now, open_ = open_, {}
         for y, (k, _) in now.items():
             for d, n in counts.get(y, ()):
@@ -57,11 +57,11 @@ def stratified_sample(df: DataFrame, per_class: dict, label: str, key: str, seed
                 k -= n
     near = F.lit(True)  # a class with fewer rows than wanted is read whole
     for y, (d, share) in ends.items():
-        first = F.substring("__d", 1, len(d))
+        first = F.substring("__digest", 1, len(d))
         within = first <= d if share == 1.0 else (first < d) | ((first == d) & (F.rand(seed) < share))
-        near = F.when(F.col("__y") == F.lit(y), within).otherwise(near)
-    rank = F.row_number().over(Window.partitionBy("__y").orderBy("__d", key))
-    return own.where(near).withColumn("__r", rank).where(F.col("__r") <= F.col("__k")).select(*df.columns)
+        near = F.when(F.col("__class") == F.lit(y), within).otherwise(near)
+    rank = F.row_number().over(Window.partitionBy("__class").orderBy("__digest", key))
+    return own.where(near).withColumn("__rank", rank).where(F.col("__rank") <= F.col("__wanted")).select(*df.columns)
 
 
 def split_bucket(key: str | Column, seed: int = 0) -> Column:
