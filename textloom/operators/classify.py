@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml import Estimator, Pipeline, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasSeed, HasStepSize
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +28,7 @@ LR_C = (0.01, 0.033, 0.1, 0.33, 1.0)
 SVM_C = (0.01, 0.1, 1.0, 10.0, 33.0, 100.0)
 FOREST = {"numTrees": [90], "maxDepth": [30], "featureSubsetStrategy": ["50", "75", "100"], "minInstancesPerNode": [2, 3]}
 BOOST = {"maxIter": [60], "maxDepth": [2], "stepSize": [0.8]}
+GBT = BOOST
 
 
 #: Terms of a bag of words: as many as a vector can have, so that none at or over min_df is dropped.
@@ -37,6 +44,8 @@ def estimator(name: str, seed: int = 0, features: str = "features", label: str =
     if name == "random_forest":
         return RandomForestClassifier(**own, seed=seed, bootstrap=False)
     if name == "boost":
+        return AdaBoost(seed=seed, **own)
+    if name == "gbt":
         return GBTClassifier(**own, seed=seed)
     raise ValueError(f"no such classifier: {name}")
 
@@ -45,7 +54,7 @@ def grid(name: str, model: Estimator, rows: int, values: dict | None = None) ->
     """The settings that are tried; penalties are 1 / (rows * C)."""
     b = ParamGridBuilder()
     if values is None:
-        values = {"lr": {"regParam": [1 / (rows * c) for c in LR_C], "elasticNetParam": [0.0, 1.0]}, "svm": {"regParam": [1 / (rows * c) for c in SVM_C]}, "random_forest": FOREST, "boost": BOOST}[name]
+        values = {"lr": {"regParam": [1 / (rows * c) for c in LR_C], "elasticNetParam": [0.0, 1.0]}, "svm": {"regParam": [1 / (rows * c) for c in SVM_C]}, "random_forest": FOREST, "boost": BOOST, "gbt": GBT}[name]
     for k, v in values.items():
         b = b.addGrid(model.getParam(k), v)
     return b.build()
@@ -63,7 +72,7 @@ def feature_stages(features: tuple[str, ...], tokens: str = "tokens", embedding:
         stages.append(ColumnStage(lambda df: df.withColumn("__embedding", array_to_vector(F.transform(embedding, lambda x: x.cast("double") * by)))))
         parts.append("__embedding")
     if "bow" in features:
-        stages += [CountVectorizer(inputCol=tokens, outputCol="__tf", minDF=min_df, vocabSize=MAX_TERMS), IDF(inputCol="__tf", outputCol="__idf"), ColumnStage(_smoothed), Normalizer(inputCol="__tfidf", outputCol="__bow", p=2.0)]
+        stages += [CountVectorizer(inputCol=tokens, outputCol="__tf", minDF=min_df, vocabSize=MAX_TERMS), SmoothedIDF(), Normalizer(inputCol="__tfidf", outputCol="__bow", p=2.0)]
         parts.append("__bow")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 
@@ -79,20 +88,105 @@ class ColumnStage(Transformer):
         return self.f(dataset)
 
 
-def _smoothed(df: DataFrame) -> DataFrame:
-    """tf * (idf + 1) from tf and tf * idf."""
-    return df.withColumn("__tfidf", array_to_vector(F.zip_with(vector_to_array("__tf"), vector_to_array("__idf"), lambda a, b: a + b)))
+class SmoothedIDF(Estimator):
+    """tf * (idf + 1) of sparse vectors, which stay sparse; idf is fitted on the table that fit() gets."""
 
+    def _fit(self, dataset: DataFrame) -> Transformer:
+        idf = IDF(inputCol="__tf", outputCol="__idf").fit(dataset).idf.toArray()
+        return ElementwiseProduct(scalingVec=Vectors.dense(idf + 1), inputCol="__tf", outputCol="__tfidf")
 
-def search(train: DataFrame, name: str, *, features: list | None = None, folds: int = 5, scoring: str = "accuracy", values: dict | None = None, seed: int = 0, parallelism: int = 2) -> CrossValidatorModel:
-    """The best of a grid by cross validation, fitted again on all of train (label, and features or what feature stages need)."""
+
+class AdaBoost(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepSize, HasSeed):
+    """Discrete multi-class boosting (SAMME) of shallow trees: each tree is fitted with the rows' weights, which grow
+    where it errs. maxIter trees of maxDepth; stepSize shrinks each tree's vote."""
+
+    maxDepth = Param(Params._dummy(), "maxDepth", "depth of a tree", TypeConverters.toInt)
+
+    def __init__(self, featuresCol: str = "features", labelCol: str = "label", maxIter: int = 60, maxDepth: int = 2, stepSize: float = 0.8, seed: int = 0):
+        super().__init__()
+        self._setDefault(maxIter=60, maxDepth=2, stepSize=0.8, seed=0)
+        self._set(featuresCol=featuresCol, labelCol=labelCol, maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, seed=seed)
+
+    def _fit(self, dataset: DataFrame) -> AdaBoostModel:
+        label, features = self.getLabelCol(), self.getFeaturesCol()
+        rows = dataset.select(features, F.col(label).cast("double").alias(label)).persist()
+        classes = rows.select(label).distinct().count()
+        tree = DecisionTreeClassifier(featuresCol=features, labelCol=label, weightCol="__weight", maxDepth=self.getOrDefault(self.maxDepth), seed=self.getSeed(), predictionCol="__said", rawPredictionCol="__raw", probabilityCol="__prob")
+        model = AdaBoostModel([], [], features, max(classes, 2))
+        for _ in range(self.getMaxIter()):
+            # A row's weight follows from the votes that erred on it, so that nothing but the trees is kept between rounds.
+            now = model.misses(rows, label).withColumn("__weight", F.exp("__miss")).drop("__miss")
+            own = tree.fit(now)
+            wrong = F.col("__said") != F.col(label)
+            r = own.transform(now).agg(F.sum(F.when(wrong, F.col("__weight")).otherwise(0.0)).alias("bad"), F.sum("__weight").alias("all")).first()
+            error = (r["bad"] or 0.0) / r["all"]
+            if error >= 1 - 1 / max(classes, 2):
+                break
+            vote = self.getStepSize() * (math.log((1 - error) / max(error, 1e-12)) + math.log(max(classes, 2) - 1))
+            model = AdaBoostModel([*model.trees, own], [*model.votes, vote], features, max(classes, 2))
+            if error <= 1e-12:
+                break
+        rows.unpersist()
+        return model
+
+
+class AdaBoostModel(Model):
+    """prediction and rawPrediction (votes of each class)."""
+
+    def __init__(self, trees: list, votes: list[float], features: str, classes: int):
+        super().__init__()
+        self.trees, self.votes, self.features, self.classes = trees, votes, features, classes
+
+    def _said(self, df: DataFrame) -> DataFrame:
+        """df with __votes, the classes' votes."""
+        out = df.withColumn("__votes", F.array_repeat(F.lit(0.0), self.classes))
+        for tree, vote in zip(self.trees, self.votes):
+            out = tree.transform(out).withColumn("__votes", F.transform("__votes", lambda v, i: v + F.when(F.col("__said") == i, vote).otherwise(0.0)))
+            out = out.drop("__said", "__raw", "__prob")
+        return out
+
+    def misses(self, df: DataFrame, label: str) -> DataFrame:
+        """df with __miss, the sum of the votes of trees that err on a row."""
+        own = self._said(df).withColumn("__miss", F.lit(float(sum(self.votes))) - F.get("__votes", F.col(label).cast("int")))
+        return own.drop("__votes")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = self._said(dataset)
+        best = (F.array_position("__votes", F.array_max("__votes")) - 1).cast("double")
+        return out.withColumns({"prediction": best, "rawPrediction": array_to_vector("__votes")}).drop("__votes")
+
+
+def search(train: DataFrame, name: str, *, features: list | None = None, folds: int = 5, scoring: str = "accuracy", values: dict | None = None, seed: int = 0, parallelism: int = 2, key: str | None = None) -> CrossValidatorModel:
+    """The best of a grid by cross validation, fitted again on all of train (label, and features or what feature stages need).
+
+    Feature stages are fitted once a fold, on its training rows, and each point of the grid on what they give. key: rows'
+    folds follow from its digest (see fold()); without it they are drawn.
+    """
     model = estimator(name, seed)
-    train = train.persist()  # each fold and each point of the grid reads it
-    pipeline = Pipeline(stages=[*(features or []), model])
+    part = fold(key, folds, seed) if key else F.floor(F.rand(seed) * folds)
+    train = train.withColumn("__fold", part).persist()  # each fold reads it
+    maps = grid(name, model, train.count(), values)
     metric = BinaryClassificationEvaluator(labelCol="label") if scoring == "roc_auc" else MulticlassClassificationEvaluator(labelCol="label", metricName=scoring)
-    out = CrossValidator(estimator=pipeline, estimatorParamMaps=grid(name, model, train.count(), values), evaluator=metric, numFolds=folds, seed=seed, parallelism=parallelism).fit(train)
+    pipeline = Pipeline(stages=[*(features or []), model])
+    marks = np.zeros((folds, len(maps)))
+    for i in range(folds):
+        fit, held = (train.where(c) for c in (F.col("__fold") != i, F.col("__fold") == i))
+        made = Pipeline(stages=features or []).fit(fit)
+        fit, held = (made.transform(x).select("features", "label").persist() for x in (fit, held))
+
+        def mark(j: int) -> float:
+            return metric.evaluate(model.fit(fit, maps[j]).transform(held))
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            marks[i] = list(pool.map(inheritable_thread_target(train.sparkSession)(mark), range(len(maps))))
+        fit.unpersist()
+        held.unpersist()
+    mean = marks.mean(axis=0)
+    best = int(mean.argmax() if metric.isLargerBetter() else mean.argmin())
+    final = pipeline.fit(train.drop("__fold"), maps[best])
     train.unpersist()
-    return out
+    search = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=metric, numFolds=folds, seed=seed)
+    return search._copyValues(CrossValidatorModel(final, avgMetrics=mean.tolist(), stdMetrics=marks.std(axis=0).tolist()))
 
 
 def search_report(model: CrossValidatorModel) -> DataFrame:
