@@ -46,11 +46,11 @@ BLOCKS = 64
 #: Bytes of text whose shingles are held at a time.
 SEGMENT = 2 << 20
 #: Sets that ask one pivot, or visit one block of a cell, together.
-ASK_ROWS, VISIT_ROWS = 500, 4000
+ASK_ROWS, VISIT_ROWS = 500, 1000
 #: Rows of regions that a task looks at together, and sets of one region among them that travel apart from it.
 SEGMENT_ROWS, HOT_ROWS = 1_000_000, 64
 #: Shingles of the members of a cell that are in one block.
-BLOCK_TOKENS = 250_000
+BLOCK_TOKENS = 100_000
 #: Places that one row asks a set for, and bytes of a set that are written at a time.
 LIST_ROWS, SENT_BYTES = 500, 4 << 20
 #: Of distances in floating point: what is this near to a bound is compared exactly.
@@ -264,14 +264,16 @@ def _regions(rows: DataFrame, classes: np.ndarray, n: int, percent: int) -> Data
         h, sid, size, place, share = (np.concatenate(x) for x in zip(*held))
         core = place <= size - -(-2 * percent * size // (100 + percent))
         order = np.lexsort((sid, -share, h))  # a region's pivot comes first
-        h, sid, place, share, core = (x[order] for x in (h, sid, place, share, core))
-        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         many = np.diff(np.append(cut, len(h)))
-        hot = np.repeat(many >= hot_rows, many)
+        crowded = many >= hot_rows
+        hot = np.zeros(len(h), bool)
+        hot[order] = np.repeat(crowded, many)
+        # In the order of documents: a document's rows compress well side by side.
         yield from given(h, np.where(hot, 1 + (sid & 63), 0), sid, place, share, core, np.where(hot, HELD, ROW), seg)
-        top = cut[many >= hot_rows]
-        if len(top):
-            any_core = np.logical_or.reduceat(core, cut)[many >= hot_rows]
+        if crowded.any():
+            top = order[cut[crowded]]
+            any_core = np.logical_or.reduceat(core[order], cut)[crowded]
             yield from given(h[top], np.zeros(len(top)), sid[top], place[top], share[top], any_core, np.full(len(top), SUMMARY), seg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
