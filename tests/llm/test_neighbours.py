@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.llm import neighbours as N
+from textloom.llm import queries
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, list string, v string"
 
@@ -34,6 +35,31 @@ def test_recall_and_exact_scores(spark, sf_dir):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_recall_of_the_registered_query(spark):
+    """The query's own parameters, on as many vectors as make lists of the size it asks for."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
+    want = plain(ids, x, np.flatnonzero(ids % 100 == 0))
+    assert len(rows) > 256 * 5
+    found = {}
+    for r in queries.op3_nearest_neighbours(spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(found) == set(want) and all(len(v) == 10 for v in found.values())
+    assert sum(len(found[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * 10 * len(want)
+
+
+def test_many_queries_of_one_list_and_lists_of_few_rows(spark):
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    x[:200] = x[0] + x[:200] / 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    a = N.search(df, F.col("vec_id") < 200, list_rows=300).collect()
+    b = N.search(df, F.col("vec_id") < 200, list_rows=300, ask_cap=7, list_cap=11).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 2000
+    few = N.search(df, F.lit(True), list_rows=3, recall=0.1).groupBy("query_id").count().collect()
+    assert len(few) == 300 and all(r["count"] == 10 for r in few)
+
+
 def test_graph_finds_the_nearest_centroid():
     r = np.random.default_rng(1)
     x = r.normal(size=(4000, 8))

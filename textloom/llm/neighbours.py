@@ -2,7 +2,8 @@
 
 Centroids come from balanced splits of a bounded sample of the vectors. Every vector goes to its nearest list, and a
 boundary vector also to the lists whose centroid is nearly as near (at most `replicas` in all). Lists are balanced: one
-longer than `list_cap` is dealt over sub-lists, all of which a query reads. A query finds its nearest centroids by a
+longer than `list_cap` is dealt over sub-lists, all of which a query reads, and the queries of a list over parts of about
+`ask_cap`, so that a task holds a bounded part of both. A query finds its nearest centroids by a
 best-first walk over an in-memory graph of them and searches the lists whose distance is at most `prune` times the
 nearest one's, and at most `probe`. The walk starts from pivots, about the root of the number of centroids and far from
 each other, and the graph is connected: each centroid is linked both ways with its nearest ones and its pivot, each
@@ -22,9 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import frozen
+
 
 @dataclass
 class Index:
@@ -161,7 +165,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, list_rows: int = 256, max_lists: int = 8192, replicas: int = 4, closure: float = 1.1, recall: float = 0.97, list_cap: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, list_rows: int = 256, max_lists: int = 8192, replicas: int = 4, closure: float = 1.1, recall: float = 0.97, list_cap: int = 4096, ask_cap: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of all other rows for each row that `queries` selects.
 
     sample_rows bounds the rows that the centroids are fitted on (those with the smallest hash of the id), max_lists
@@ -187,20 +191,32 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "v
                 own = np.repeat(np.arange(len(part)), [len(x) for x in lists])
                 yield pd.DataFrame({"list": np.concatenate(lists), "id": part["id"].to_numpy()[own], "v": part["v"].to_numpy()[own]})
 
+    deals = rows.select("id", "v").mapInPandas(deal, "list bigint, id bigint, v array<double>")
+    counts = deals.groupBy("list").count()
+    # max_lists bounds the rows collected and broadcast.
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in counts.collect():
+        sizes[r["list"]] = r["count"]
+
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for q, v in zip(b["id"], b["v"]):
                 own, d = index.nearest(np.array(v), width)
-                own = own[:probe][d[:probe] <= prune * d[0] + 1e-12]
+                m = int((d[:probe] <= prune * d[0] + 1e-12).sum())
+                enough = int(np.searchsorted(np.cumsum(sizes[own]), (k + 1) * replicas)) + 1
+                own = own[: max(m, enough)]  # lists of few rows do not leave a query without k answers
                 yield pd.DataFrame({"list": own, "q": q, "qv": [v] * len(own)})
 
-    deals = rows.select("id", "v").mapInPandas(deal, "list bigint, id bigint, v array<double>")
-    counts = deals.groupBy("list").count()
-    # As many rows as there are centroids: max_lists bounds the broadcast.
-    subs = counts.select(F.col("list").alias("of"), F.ceil(F.col("count") / list_cap).cast("long").alias("subs"))
+    table = pa.table({"of": np.flatnonzero(sizes), "subs": -(-sizes[sizes > 0] // list_cap)})
+    subs = vectors.sparkSession.createDataFrame(table)
     posted = deals.join(F.broadcast(subs), F.col("list") == F.col("of")).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs"))).drop("of", "subs")
-    asked = rows.where("asks").select("id", "v").mapInPandas(probes, "list bigint, q bigint, qv array<double>")
-    asked = asked.join(F.broadcast(subs), F.col("list") == F.col("of")).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).drop("of", "subs")
+    asked = frozen(rows.where("asks").select("id", "v").mapInPandas(probes, "list bigint, q bigint, qv array<double>"))
+    # Likewise a row per list at most.
+    parts = asked.groupBy(F.col("list").alias("of")).agg(F.ceil(F.count("*") / ask_cap).cast("long").alias("parts"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    posted = posted.join(F.broadcast(parts), F.col("list") == F.col("of")).withColumn("part", every("parts")).drop("of", "parts")
+    asked = asked.join(F.broadcast(subs), F.col("list") == F.col("of")).withColumn("sub", every("subs")).drop("of", "subs")
+    asked = asked.join(F.broadcast(parts), F.col("list") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).drop("of", "parts")
 
     def best(key, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if own.empty or asks.empty:
@@ -216,7 +232,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 10, id_col: str = "v
             out.append(pd.DataFrame({"q": q, "id": ids[at], "score": d[at]}))
         return pd.concat(out)
 
-    found = posted.groupBy("list", "sub").cogroup(asked.groupBy("list", "sub")).applyInPandas(best, "q bigint, id bigint, score double")
+    found = posted.groupBy("list", "sub", "part").cogroup(asked.groupBy("list", "sub", "part")).applyInPandas(best, "q bigint, id bigint, score double")
     # A query's answers: at most k from each of at most `probe` lists' sub-lists.
     unique = found.groupBy("q", "id").agg(F.min("score").alias("score"))
     ranked = unique.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "id")))
