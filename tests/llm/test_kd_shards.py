@@ -38,6 +38,36 @@ def test_sizes_are_near_equal_on_documents(spark, sf_dir):
     assert len(got) == 16 and max(r["b"] for r in got) - min(r["b"] for r in got) <= 4 * most
 
 
+@pytest.mark.parametrize("shards", [16, 11])
+def test_against_a_plain_tree(spark, shards):
+    """Each node is split across its widest dimension, by one threshold of (value, hash), as near to its share of the
+    weight as one row or the tolerance allows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dims = K.dimensions()
+    size = F.octet_length("text") + 1
+    own = docs.select("doc_id", F.xxhash64("doc_id", K.utf8_crc32(F.col("text"))).alias("u"), size.alias("weight"), *(c.alias(n) for n, c in dims.items()))
+    rows = [r.asDict() for r in K.shard(docs, dims, shards=shards).select("doc_id", "shard").join(own, "doc_id").collect()]
+    whole = {n: max(r[n] for r in rows) - min(r[n] for r in rows) for n in dims}
+
+    def check(inside, first, leaves):
+        if leaves == 1:
+            return
+        half = leaves // 2
+        extents = [(max(r[n] for r in inside) - min(r[n] for r in inside)) / whole[n] for n in dims]
+        n = list(dims)[extents.index(max(extents))]
+        left, right = ([r for r in inside if (r["shard"] < first + half) == side] for side in (True, False))
+        key = lambda r: (r[n], r["u"])
+        assert max(map(key, left)) <= min(map(key, right))
+        total, got = sum(r["weight"] for r in inside), sum(r["weight"] for r in left)
+        edge = max(max(left, key=key)["weight"], min(right, key=key)["weight"])
+        assert abs(got - total * half / leaves) <= max(edge, K.TOLERANCE * total)
+        check(left, first, half)
+        check(right, first + half, leaves - half)
+
+    assert len(rows) == docs.count()
+    check(rows, 0, shards)
+
+
 def test_leaves_are_boxes(spark, sf_dir):
     """The first split is one threshold of one dimension, up to ties in it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
