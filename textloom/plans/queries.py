@@ -200,15 +200,30 @@ def strip_comments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(html.strip_comments("html")).alias("digest"))
 
 
-@query()
+def _without_tags(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '<(/?p|br)( [^>]*)?/?>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+
+
+# Pages hold one script, whose text is no markup; of references they hold those replaced here.
+_PAGE_TEXT = "coalesce(" + _without_tags("x") + " || y || " + _without_tags("z") + ", '')"
+_REPLACED = f"replace(replace(replace(replace({_PAGE_TEXT}, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""WITH a AS (SELECT page_id, replace(regexp_replace(html, '(?s)<!--(.*?)-->[\\n]?', '\\1', 'g'), '<!--', '') AS h FROM pages),
+b AS (SELECT page_id, h, regexp_extract(h, '(?s)^(.*?<script>)(.*?)(</script>.*)$', ['x', 'y', 'z']) AS s FROM a),
+c AS (SELECT page_id, CASE WHEN s.x = '' THEN h ELSE s.x END AS x, s.y AS y, s.z AS z FROM b)
+SELECT page_id, trim({_REPLACED}, chr(10) || ' ') AS text FROM c""")
 def strip_html_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.strip_html("html").alias("text"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+@example[.](?:com|org|net)')) AS n FROM documents WHERE regexp_matches(text, '[A-Za-z0-9_]+@example[.](?:com|org|net)')")
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+(?:[-+.''][A-Za-z0-9_]+)*@(?:[a-z0-9-]+[.])+(?:com|org|net)')) AS emails,
+len(regexp_extract_all(text, '\\b(?:[0-9]{1,3}[.]){3}[0-9]{1,3}\\b')) AS uris FROM documents WHERE text IS NOT NULL""")
 def emails_in_docs(spark, sf_dir):
-    pattern = "[A-Za-z0-9_]+@example[.](?:com|org|net)"
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(pattern)).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).cast("long").alias("n"))
+    """E-mail addresses and links of every whole document; the links there are addresses by number."""
+    found = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", links.find_links("text").alias("links"))
+    of = lambda k: F.size(F.filter("links", lambda x: x["entity_type"] == k)).cast("long")
+    return found.select("doc_id", of("email").alias("emails"), of("uri").alias("uris"))
 
 
 @query(f"WITH {_WORDS} SELECT term, count(*) AS n FROM words GROUP BY term")
