@@ -128,6 +128,13 @@ def test_report_against_dues(spark):
         assert due(s, t + 1) > b - 1e-6 and due(s, t) < b + 1 + 1e-6  # released, and not late
 
 
+def test_blocks_grow_where_there_would_be_too_many(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_BLOCKS", 10)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("source"))
+    rows = P.mix(df).collect()
+    assert {(r["source"], r["block"]) for r in rows} == {("a", i) for i in range(8)} | {("b", i) for i in range(3)}
+
+
 def test_filter_on_position(spark):
     out = P.mixing_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     every = sorted(r["position"] for r in out.collect())

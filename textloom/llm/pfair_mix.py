@@ -1,11 +1,13 @@
 """Mixing sources to target weights: Pfair scheduling, native.
 
-Each source's rows form blocks of `block_rows`. A source's due is its share of the slots by weight among the sources
+Each source's rows form blocks of `block_rows` (of BLOCK_ROWS, or of as many as make MAX_BLOCKS blocks of a corpus that
+would have more, if that is not given). A source's due is its share of the slots by weight among the sources
 that last, until all its blocks are due; its i-th block has as release time and deadline the slots before which i - 1
 and i blocks are due, and each slot of the mix takes the released block with the earliest deadline; at every slot each
 source is then within less than one block of its due, also where others end, and no row is dropped or repeated. Every
 source is scheduled on its own. The driver works out the slots from numbers of blocks and weights alone, one block of
-each source at a time: it holds a record of each source and eight bytes of each block, which executors get as a table.
+each source at a time: it holds a record of each source and eight bytes of each block, at most 128 MB by the rule above,
+which executors get as a table.
 Numbers of blocks come from counts of hash buckets (see common.slots): a source that holds most rows is numbered by
 many tasks.
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import slots
 
+#: Rows of a block, and the number of blocks from which on blocks grow instead.
+BLOCK_ROWS, MAX_BLOCKS = 32, 1 << 24
 #: Blocks of a row of the table of slots.
 TURN_BLOCKS = 1024
 #: Slots that are broadcast at most; a longer table is joined by shuffles.
@@ -95,7 +99,7 @@ def make_turns(blocks: dict[str, int], weights: dict[str, float]) -> list[Turn]:
     return [Turn(s, i, i + len(own), 0, 0, own) for s, at in edf(blocks, weights).items() for i in range(0, len(at), TURN_BLOCKS) for own in [at[i : i + TURN_BLOCKS].tolist()]]
 
 
-def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, rest: float | None = None, block_rows: int = 32, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, rest: float | None = None, block_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """`__row` (a row of docs as a struct), its block and its position.
 
     weights: target weights of sources; without them a source weighs its number of rows to the power of temperature.
@@ -104,6 +108,7 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, *, tempe
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
     sizes = docs.groupBy(named.alias("s")).count()
     total = sizes.agg(F.sum("count")).first()[0] or 0
+    block_rows = block_rows or max(BLOCK_ROWS, math.ceil(total / MAX_BLOCKS))
     known = {f"={s}": w for s, w in weights.items()} if weights else None
     top = sizes.where(F.col("s").isin(list(known))) if known else sizes
     counts = {r["s"]: r["count"] for r in top.collect()}
