@@ -332,9 +332,15 @@ def _lists(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), words_of("text").alias("words")).where(F.size("words") > 0)
 
 
-@query(f"WITH {_POS} SELECT term AS word FROM words GROUP BY term HAVING count(*) >= 5")
+def _vectors(vectors: DataFrame, size: int, unit: bool = True) -> DataFrame:
+    """word, and whether its vector is what it should be: of that size, finite, and of unit length."""
+    fits = (F.size("vector") == size) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.select("word", (fits & (F.abs(embeddings.norm("vector") - 1) < 1e-6) if unit else fits).alias("fits"))
+
+
+@query(f"WITH {_POS} SELECT term AS word, true AS fits FROM words GROUP BY term HAVING count(*) >= 5")
 def word2vec_vocab(spark, sf_dir):
-    return embeddings.word2vec(_lists(spark, sf_dir), size=16, min_count=5, window=5).select("word")
+    return _vectors(embeddings.word2vec(_lists(spark, sf_dir), size=16, min_count=5, window=5), 16)
 
 
 @query()
@@ -343,16 +349,16 @@ def word2vec_synonyms(spark, sf_dir):
     return embeddings.nearest(vectors, vectors.orderBy("word").limit(18))  # a report on 18 words
 
 
-@query()
+@query(f"WITH {_POS} SELECT 'DOC_' || doc AS word, true AS fits FROM words GROUP BY doc")
 def doc2vec_tags(spark, sf_dir):
     docs = _lists(spark, sf_dir).select("doc", F.array("words").alias("s"))
     labels = features.sentence_labels(docs, "doc", "s", ("document",))
-    return embeddings.doc2vec(labels, size=16, min_count=1, window=5).where(F.col("word").startswith("DOC_")).select("word")
+    return _vectors(embeddings.doc2vec(labels, size=16, min_count=1, window=5).where(F.col("word").startswith("DOC_")), 16)
 
 
-@query()
+@query(f"WITH {_POS} SELECT term AS word, true AS fits FROM words GROUP BY term")
 def glove_vectors(spark, sf_dir):
-    return embeddings.glove(document_tokens(spark, sf_dir), size=16, epochs=3, window=5).select("word")
+    return _vectors(embeddings.glove(document_tokens(spark, sf_dir), size=16, epochs=2, window=5), 16, unit=False)
 
 
 _INDEX = _POS + ", ix AS (SELECT term, count(*) AS n, count(DISTINCT doc) AS docs, row_number() OVER (ORDER BY count(*) DESC, term) AS id FROM words GROUP BY term)"
