@@ -159,6 +159,14 @@ def sequences(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
     return pages.select(F.col(id_col), parse(F.col(html_col)).alias("sequence"))
 
 
+def sequence_report(pages: DataFrame) -> DataFrame:
+    """page_id, items, media and text (the pieces, a line each) of every page's sequence."""
+    found = sequences(pages)
+    of = lambda k: F.filter("sequence", lambda x: (x["kind"] == "text") if k == "text" else (x["kind"] != "text"))
+    text = F.array_join(F.transform(of("text"), lambda x: x["text"]), "\n")
+    return found.select("page_id", F.size("sequence").cast("long").alias("items"), F.size(of("media")).cast("long").alias("media"), text.alias("text"))
+
+
 def resolve(seqs: DataFrame, media: DataFrame, *, id_col: str) -> DataFrame:
     """A row per media reference: id_col, position, caption, digest and the other columns of media, whose digests are unique."""
     refs = seqs.select(F.col(id_col).alias("id"), F.explode("sequence").alias("x")).where("x.digest is not null")

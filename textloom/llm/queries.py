@@ -38,6 +38,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_report(read(spark, sf_dir, "documents"))
 
 
+def media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op4 on real pages: their ordered pieces of text and references."""
+    return media_columns.sequence_report(read(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_media_columns": op4_media_columns,
+    "media_sequences": media_sequences,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
@@ -76,6 +82,14 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # Pages have no media; of references they hold those replaced here.
+    "media_sequences": r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script>.*?</script>|<style>.*?</style>', '', 'g'), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?(p|br|div|h1|h2|h3|li|article)( [^>]*)?/?>', chr(1), 'g'), '<[^>]*>', '', 'g') AS h FROM a),
+c AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(1)), lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(x, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS pieces FROM b)
+SELECT page_id, len(pieces) AS items, 0 AS media, array_to_string(pieces, chr(10)) AS text FROM c
+""",
     "op6_url_filters": r"""
 WITH a AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
 b AS (SELECT page_id, CASE WHEN strpos(u, '://') > 0 THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS rest FROM a),
