@@ -52,6 +52,20 @@ def test_planted_passages(spark):
     assert run(df) == plain(rows)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_crowded_anchors(spark, monkeypatch, seed):
+    """Every shared anchor counts as crowded; tasks of a few documents see a part of a crowd each."""
+    monkeypatch.setattr(S, "CROWD", 2)
+    r = random.Random(seed)
+    passage = fixtures.words(40, seed)
+    rows = []
+    for i in range(80):
+        a, b = sorted((r.randint(0, len(passage)), r.randint(0, len(passage))))
+        rows.append((i * 37 % 80, fixtures.words(r.randint(0, 3), i % 9) + r.choice(["", " ", "ab"]) + passage[a if r.random() < 0.4 else 0 : b if r.random() < 0.4 else None] + fixtures.words(r.randint(0, 3), i % 7)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert run(df) == plain(rows)
+
+
 def test_same_id_with_two_texts(spark):
     a, b = fixtures.words(40, 1), fixtures.words(40, 2)
     rows = [(5, a), (5, b), (7, "k" + b), (3, a)]

@@ -9,7 +9,9 @@ fourteen is looked at.
    finds the hashes that splits share. A hash has at most one row per split there, however common it is.
 2. Documents with shared hashes are read again; each such anchor gives its context, the bytes that windows around it
    can hold. A context that a smaller document of the same task has as well is settled there.
-3. The other contexts meet by hash. Right sides (the suffixes) and reversed left sides are each sorted to a
+   Windows around an anchor that very many documents have (CROWD) are settled one by one.
+3. The other contexts meet by hash, those of crowded anchors by the bytes beside the anchor too, which part them: the
+   windows that reach over these bytes on one side, on both, or on the other meet apart. Right sides (the suffixes) and reversed left sides are each sorted to a
    shallow depth by multikey quicksort, eight bytes a letter, and groups that still agree by a blind trie. Longest common prefixes then give, for each window around an anchor, the smallest document that has it.
 4. Documents equal to a smaller one are removed whole by their digest and take no part in 2 and 3.
 
@@ -22,10 +24,9 @@ gives an empty result; other columns are not read. Texts are compared as UTF-8 b
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,15 +43,20 @@ PART = 1 << 20
 #: Contexts in a task of step 3, about.
 TASK_ROWS = 120_000
 SHALLOW = 16
+#: Documents with an anchor from which on its contexts are dealt out by what is beside the anchor, and how many such
+#: anchors at most (those with the most documents); others are compared in one task each.
+CROWD, CROWDS = 2_000, 100_000
+#: Bytes beside an anchor that deal out its contexts.
+NEAR = 6
 _ODD = 0x9E3779B97F4A7C15
 
 
-@cache
+@functools.cache
 def _letters() -> np.ndarray:
     return np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-@cache
+@functools.cache
 def _weights(n: int) -> np.ndarray:
     return np.random.default_rng(2).integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
 
@@ -266,28 +272,51 @@ def _classes(group: np.ndarray, rows: np.ndarray):
     return lambda depth: np.cumsum(common < depth)[place[own]]
 
 
-def smallest_documents(group: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(low, high): of each row's windows that a smaller document of its group has, the least and greatest number of
-    bytes before the anchor; -1 if there are none. left, right: the bytes that the text has on either side of the
-    anchor's start within the context."""
+def settled_windows(group: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, length: int, k: int, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(known, settled): of each row and number of bytes before the anchor, whether the row has that window, and whether
+    a smaller document of its group has it too. left, right: the bytes that the text has on either side of the anchor's
+    start within the context; mask: bits of the windows that are looked at."""
     reach = length - k
     ends = _classes(group, np.ascontiguousarray(context[:, reach:]))
     begins = _classes(group, np.ascontiguousarray(context[:, :reach][:, ::-1]))
-    low, high = np.full(len(doc), -1, np.int64), np.full(len(doc), -1, np.int64)
+    known, settled = (np.zeros((len(doc), reach + 1), dtype=bool) for _ in range(2))
     for s in range(reach + 1):
-        own = np.flatnonzero((left >= s) & (right >= length - s))
+        known[:, s] = (left >= s) & (right >= length - s)
+        if mask is not None:
+            known[:, s] &= (mask >> np.int64(s)) & 1 == 1
+        own = np.flatnonzero(known[:, s])
         if len(own) < 2:
             continue
         key = (ends(length - s)[own] * (len(doc) + 1)) + begins(s)[own]
         order = np.argsort(key, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
         least = np.repeat(np.minimum.reduceat(doc[own][order], cut), np.diff(np.append(cut, len(order))))
-        hit = own[order][least < doc[own][order]]
-        high[hit] = s
-        low[hit[low[hit] < 0]] = s
+        settled[own[order[least < doc[own][order]]], s] = True
+    return known, settled
+
+
+def outer(settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high): the least and greatest settled window of each row; -1 if there are none. What lies between overlaps."""
+    some = settled.any(axis=1)
+    low = np.where(some, settled.argmax(axis=1), -1)
+    high = np.where(some, settled.shape[1] - 1 - settled[:, ::-1].argmax(axis=1), -1)
     return low, high
 
 
+def content_keys(h: np.ndarray, context: np.ndarray, length: int, k: int) -> list[tuple[np.ndarray, range]]:
+    """Keys of a crowded anchor's contexts by what their windows hold, and the windows that each is for.
+
+    All windows with NEAR bytes or more before the anchor agree on these, all with as many behind it on those.
+    """
+    reach = length - k
+    near = min(NEAR, reach // 3)
+    before, behind = np.ascontiguousarray(context[:, reach - near : reach]), np.ascontiguousarray(context[:, reach + k : reach + k + near])
+    a, b = row_hash(before), row_hash(behind)
+    mixed = lambda *x: functools.reduce(lambda p, q: (p ^ q) * np.uint64(_ODD), x, h.astype(np.uint64)) >> np.uint64(33)
+    top = reach - near
+    return [(mixed(b, np.uint64(1)), range(0, near)), (mixed(a, b, np.uint64(2)), range(near, top + 1)), (mixed(a, np.uint64(3)), range(top + 1, reach + 1))]
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -365,6 +394,8 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     wanted = across.unionByName(shared(True).select("id", "h")).groupBy("id").agg(F.collect_set("h").alias("hs"))
     wanted = frozen(wanted.join(settled, "id", "left"))
     total = wanted.agg(F.sum(F.size("hs"))).first()[0] or 0
+    crowds = wanted.select(F.explode("hs").alias("h")).groupBy("h").count().where(F.col("count") >= CROWD).orderBy(F.desc("count"), "h").limit(CROWDS)
+    crowded = np.sort(np.array([r["h"] for r in crowds.collect()], dtype=np.int64))  # at most CROWDS
     release(docs, total)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,25 +430,42 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
             np.minimum.at(least, cls, d)
             # A smaller document of this task has the same context: all windows around the anchor are settled.
             done = least[cls] < d
-            h = (h & 0x7FFFFFFF).astype(np.int32)
-            pos = at - starts[t]
-            out = [(d[done], hashes[t][done], pos[done] - left[done], pos[done] + right[done], None, None)]
+            pos, th = at - starts[t], hashes[t]
+            # Of a crowded anchor the windows are settled one by one, and what is left goes where its content leads.
+            crowd = np.flatnonzero(~done & np.isin(h, crowded))
+            every = np.full(len(h), (1 << (reach + 1)) - 1, np.int64)
+            short = (h & 0x7FFFFFFF).astype(np.int32)
+            out = [(d[done], th[done], pos[done] - left[done], pos[done] + right[done], None, None)]
+            if len(crowd):
+                own = tuple(x[crowd] for x in (ctx, left, right))
+                known, settled = settled_windows(np.unique(h[crowd], return_inverse=True)[1], *own, d[crowd], length, k)
+                low, high = outer(settled)
+                hit = high >= 0
+                out.append((d[crowd][hit], th[crowd][hit], (pos[crowd] - high)[hit], (pos[crowd] - low + length)[hit], None, None))
+                open_ = known & ~settled
+                for key, windows in content_keys(h[crowd], own[0], length, k):
+                    bits = (open_[:, windows] * (np.int64(1) << np.array(windows, np.int64))).sum(axis=1)
+                    some = bits > 0
+                    rows_ = crowd[some]
+                    out.append((d[rows_], th[rows_], pos[rows_], pos[rows_], (key[some] & np.uint64(0x7FFFFFFF)).astype(np.int32), (ctx[rows_], left[rows_], right[rows_], bits[some])))
+                done = done.copy()
+                done[crowd] = True
             # Of equal contexts of one document, at different places, each needs its answer and goes on.
-            out.append((d[~done], hashes[t][~done], pos[~done], pos[~done], h[~done], (ctx[~done], left[~done], right[~done])))
-            for d_, th, a, b, key, own in out:
+            out.append((d[~done], th[~done], pos[~done], pos[~done], short[~done], (ctx[~done], left[~done], right[~done], every[~done])))
+            for d_, th_, a, b, key, own in out:
                 for i in range(0, len(d_), 20_000):
                     s = slice(i, i + 20_000)
                     n = len(d_[s])
                     if own is None:
-                        a_, b_, d2, th2 = _joined(d_[s], th[s], a[s], b[s])
+                        a_, b_, d2, th2 = _joined(d_[s], th_[s], a[s], b[s])
                         n = len(d2)
-                        yield pa.RecordBatch.from_arrays([pa.array(((d2 * 31 + a_) & 0x7FFFFFFF).astype(np.int32)), pa.array(d2), pa.array(th2), pa.array(a_), pa.array(b_), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], NAMES)
+                        yield pa.RecordBatch.from_arrays([pa.array(((d2 * 31 + a_) & 0x7FFFFFFF).astype(np.int32)), pa.array(d2), pa.array(th2), pa.array(a_), pa.array(b_), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], NAMES)
                     else:
                         flat = own[0][s].tobytes()
                         width = own[0].shape[1]
                         offsets = pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes())
                         blob = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(flat)])
-                        yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(d_[s]), pa.array(th[s]), pa.array(a[s]), pa.array(b[s]), blob, pa.array(own[1][s].astype(np.int32)), pa.array(own[2][s].astype(np.int32))], NAMES)
+                        yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(d_[s]), pa.array(th_[s]), pa.array(a[s]), pa.array(b[s]), blob, pa.array(own[1][s].astype(np.int32)), pa.array(own[2][s].astype(np.int32)), pa.array(own[3][s])], NAMES)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -431,7 +479,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        h, d, th, pos, left, right = (table.column(x).to_numpy() for x in ("h", "id", "text_hash", "start", "left", "right"))
+        h, d, th, pos, left, right, mask = (table.column(x).to_numpy() for x in ("h", "id", "text_hash", "start", "left", "right", "windows"))
         ctx = np.frombuffer(b"".join(table.column("ctx").to_pylist()), dtype=np.uint8).reshape(len(h), reach + length)
         del table, held
         order = np.argsort(h, kind="stable")
@@ -441,9 +489,9 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
         order = order[np.repeat(least < most, sizes)]
         if not len(order):
             return
-        h, d, th, pos, left, right, ctx = (x[order] for x in (h, d, th, pos, left, right, ctx))
+        h, d, th, pos, left, right, mask, ctx = (x[order] for x in (h, d, th, pos, left, right, mask, ctx))
         group = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
-        low, high = smallest_documents(group, ctx, left, right, d, length, k)
+        low, high = outer(settled_windows(group, ctx, left, right, d, length, k, mask)[1])
         hit = high >= 0
         a, b, d, th = _joined(d[hit], th[hit], (pos - high)[hit], (pos - low + length)[hit])
         for i in range(0, len(d), 100_000):
@@ -451,7 +499,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (d, th, a, b)], SPANS)
 
     again = packed_texts(rows).join(wanted, "id").where("settled is null or not array_contains(settled, text_hash)")
-    made = again.select("id", "text_hash", "packed", "hs").mapInArrow(contexts, "h int, id long, text_hash int, start long, end long, ctx binary, left int, right int")
+    made = again.select("id", "text_hash", "packed", "hs").mapInArrow(contexts, "h int, id long, text_hash int, start long, end long, ctx binary, left int, right int, windows long")
     tasks = max(8, -(-total // TASK_ROWS))
     spans = made.repartition(tasks, "h").mapInArrow(settle, "id long, text_hash int, start long, end long")
     # A document's spans: at most as many as it has bytes.
@@ -461,7 +509,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     return joined
 
 
-NAMES = ["h", "id", "text_hash", "start", "end", "ctx", "left", "right"]
+NAMES = ["h", "id", "text_hash", "start", "end", "ctx", "left", "right", "windows"]
 SPANS = ["id", "text_hash", "start", "end"]
 
 
