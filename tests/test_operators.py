@@ -171,3 +171,30 @@ def test_bag_of_words_keeps_every_term(spark):
     many = 300_000  # more than CountVectorizer's default
     rows = spark.range(300).select(F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda x: F.concat(F.lit("t"), x.cast("string"))).alias("tokens"))
     assert len(C.feature_stages(("bow",))[0].fit(rows).vocabulary) == many
+
+
+def test_subsampling_leaves_rare_words_alone(spark):
+    rows = [(i, ["the"] * 20 + [f"w{i % 50}", "sea"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc int, words array<string>")
+    got = E.subsampled(df, "words", 0.05, 1).collect()
+    left = sum(w == "the" for r in got for w in r["words"])
+    share = 8000 / 8800
+    assert abs(left / 8000 - ((share / 0.05) ** 0.5 + 1) * 0.05 / share) < 0.03
+    assert all([w for w in r["words"] if w != "the"] == [f"w{r['doc'] % 50}", "sea"] for r in got)
+    words = {r["word"] for r in E.word2vec(df, size=4, min_count=8, window=2, sample=0.001).collect()}
+    assert words <= {"the", "sea"} | {f"w{i}" for i in range(50)} and "sea" in words
+
+
+def test_glove_learns_over_blocks(spark):
+    r = np.random.default_rng(0)
+    rows = []
+    for d in range(200):
+        topic = d % 2
+        rows += [(d, p, f"t{topic}_{r.integers(0, 15)}" if r.random() < 0.8 else f"c{r.integers(0, 5)}") for p in range(30)]
+    tokens = spark.createDataFrame(rows, "doc int, pos int, term string")
+    got = E.glove(tokens, size=8, epochs=6, window=5, block_words=12, learning_rate=0.1).collect()
+    assert {x["word"] for x in got} == {t for _, _, t in rows}
+    v = {x["word"]: np.array(x["vector"]) for x in got}
+    one, two = (np.mean([v[w] for w in v if w.startswith(p)], axis=0) for p in ("t0", "t1"))
+    near = np.mean([(v[w] @ one > v[w] @ two) == w.startswith("t0") for w in v if w[0] == "t"])
+    assert near > 0.9

@@ -233,6 +233,16 @@ def learn(words: DataFrame, least: int = 1, keep: bool = True) -> Learned:
     return Learned(frequent.unionByName(rare).distinct(), starters, pairs, bits, (words, marked) if keep else ())
 
 
+def model_of_texts(spark: SparkSession, texts: list[str], least: int = 1) -> S.Model:
+    """The record of a model that is learned from texts at hand."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc long, t string")
+    learned = learn(word_table(rows.select("doc", training_text(F.col("t")).alias("t")), "doc", "t"), least)
+    try:
+        return learned.model()
+    finally:
+        learned.release()
+
+
 def training_text(text: Column) -> Column:
     """Stripped, and with a period at the end."""
     t = F.trim(text)

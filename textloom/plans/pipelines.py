@@ -101,7 +101,7 @@ def pretrain(corpus: DataFrame, config: dict, *, limit: int | None = None, worke
         data = features.token_table(corpus, id_col, features.flatten_sentences("X"))
         return embeddings.learn("glove", "word2vec", data, workers, **{k: options[k] for k in ("size", "learning_rate", "epochs", "window")})
     data = features.sentence_labels(corpus, id_col, "X", own["labels"], own["split_by_sentence"]) if name == "doc2vec" else features.training_sentences(corpus, "X", own["split_by_sentence"])
-    return embeddings.learn("word2vec", name, data, workers, **{k: options[k] for k in ("size", "min_count", "window", "seed")})
+    return embeddings.learn("word2vec", name, data, workers, **{k: options[k] for k in ("size", "min_count", "window", "seed", "sample")})
 
 
 @dataclass
@@ -130,7 +130,7 @@ def train(corpus: DataFrame, config: dict, vectors: DataFrame | None = None, *,
     split = sampling.train_test_split(data.drop("__x"), "doc", own["test_size"], own["random_state"])
     fit, held = split.where("split = 'train'"), split.where("split = 'test'")
     stages = classify.feature_stages(own["features"])
-    model = classify.search(fit, own["classifier"], features=stages, folds=folds, scoring=own["scoring"], values=values, seed=own["random_state"])
+    model = classify.search(fit, own["classifier"], features=stages, folds=folds, scoring=own["scoring"], values=values, seed=own["random_state"], key="doc")
     said = model.transform(held)
     curve = classify.roc_curve(said.withColumn("score", vector_to_array("rawPrediction")[1]))
     return Trained(model, classify.search_report(model), classify.classification_report(said), curve, classify.roc_auc(curve))
