@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from textloom.config import REVIEW_FEATURES, TWITTER_FEATURES, preset
@@ -113,6 +115,17 @@ def test_decades():
         assert lexer(TWITTER_FEATURES).tokens(text) == [word, "<DECADE>"]
 
 
+@pytest.mark.parametrize("features", [REVIEW_FEATURES, TWITTER_FEATURES, tuple(PATTERNS)])
+def test_features_left_out_for_a_text_change_nothing(monkeypatch, features):
+    r = random.Random(3)
+    pool = "ab xXoO tTdDgrade10 /-'@#_*.()[]:;=<>^\\$3 !?&+–—…ˇ~\n"
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    found = [list(Lexer(features).matches(t)) for t in texts[:1]] + [list(x) for x in map(Lexer(features).matches, texts[1:])]
+    monkeypatch.setattr("textloom.functions.lexer.NEEDS", {})
+    whole = Lexer(features)
+    assert found == [list(whole.matches(t)) for t in texts] and len(whole.kept) == 1
+
+
 def test_unknown_features_are_left_out_and_handlers_can_be_replaced():
     assert Lexer(["NOPE", "ANYWORD"]).features == ("ANYWORD",)
     assert Lexer(["ANYWORD"], handlers={"ANYWORD": lambda name, text, groups: [text.upper()]}).tokens("a b") == ["A", "B"]

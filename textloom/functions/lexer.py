@@ -68,6 +68,20 @@ PATTERNS: dict[str, str] = {
     "ANYWORD": r"\w+",
 }
 
+_DIGITS = "0123456789"
+#: What a text must hold for a feature to match in it: of each string one character at least. Features that ask for
+#: nothing here are always tried.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "CUSTOMTOKEN": ("_",), "REPLY": ("@",), "CENSORED": ("*",), "EMPHASIS_B": ("*",), "EMPHASIS_U": ("_",), "TIMEOFDAY": (_DIGITS,), "DATE": ("/", _DIGITS),
+    "EMOTIC_EAST_LO": ("_.", "+^ˇ*->~"), "EMOTIC_EAST_HI": ("^ˇ*",), "EMOTIC_EAST_SAD": ("_.",), "EMOTIC_WEST_R": ("-=^':;",), "EMOTIC_WEST_CHEER": ("\\",),
+    "EMOTIC_WEST_L_MISC": (";:=", "3$@\\/"), "EMOTIC_WEST_R_MISC": ("$@\\/", ":="), "EMOTIC_RUSS_HAPPY": (")",), "EMOTIC_RUSS_SAD": ("(",), "EMOTIC_HEART": ("<",), "CONTRACTION": ("'",),
+    "STARRATING_FULL": ("1", "0"), "STARRATING_X": (_DIGITS,), "MPAARATING": ("1", "37"), "GRADE_POST": ("g",), "GRADE_PRE": ("g",), "THREED": ("3", "d"), "DECADE": ("0",), "NUMBER": (_DIGITS,),
+    "HASHTAG": ("#",), "MENTION": ("@",), "ASCIIARROW_R": (">",), "ASCIIARROW_L": ("<",), "MNDASH": ("-–—",), "ABBREV1": ("&/-+",), "ABBREV2": ("-",), "ABBREV3": (".",), "ELLIPSIS": (".…",),
+    "XOXO": ("xX", "oO"), "XX": ("xX",),
+}
+#: Alternations that a lexer keeps, one for each set of features that a text can have.
+KEPT = 500
+
 Emit = Callable[[str, str, tuple], list[str]]
 _NOT_WORD, _SPACE = regex.compile(r"\W+"), regex.compile(r"\s+")
 
@@ -194,17 +208,31 @@ class Lexer:
         patterns = PATTERNS | (patterns or {})
         self.handlers = HANDLERS | (handlers or {})
         self.features = tuple(f for f in features if f in patterns)
-        self.regex = regex.compile("|".join(f"(?P<{f}>{patterns[f]})" for f in self.features), regex.DOTALL)
-        first = {f: self.regex.groupindex[f] for f in self.features}
-        ends = [*list(first.values())[1:], self.regex.groups + 1]
-        self.inner = {f: range(a + 1, b) for (f, a), b in zip(first.items(), ends)}
+        self.patterns = {f: patterns[f] for f in self.features}
+        self.needs = [tuple(map(frozenset, NEEDS.get(f, ()))) if self.patterns[f] == PATTERNS.get(f) else () for f in self.features]
+        self.kept: dict[tuple, tuple] = {}
+
+    def _alternation(self, text: str) -> tuple:
+        """The pattern of the features that can match in text, and the groups within each; a feature that can't changes
+        no other's matches."""
+        chars = set(text)
+        able = tuple(f for f, needs in zip(self.features, self.needs) if not any(n.isdisjoint(chars) for n in needs))
+        if able not in self.kept:
+            if len(self.kept) >= KEPT:
+                self.kept = {}
+            own = regex.compile("|".join(f"(?P<{f}>{self.patterns[f]})" for f in able) or "(?!)", regex.DOTALL)
+            first = {f: own.groupindex[f] for f in able}
+            ends = [*list(first.values())[1:], own.groups + 1]
+            self.kept[able] = own, {f: range(a + 1, b) for (f, a), b in zip(first.items(), ends)}
+        return self.kept[able]
 
     def matches(self, text: str) -> Iterator[tuple[str, str, int, int]]:
         """(token, feature, start, end), in order."""
-        for m in self.regex.finditer(text):
+        pattern, inner = self._alternation(text)
+        for m in pattern.finditer(text):
             name = m.lastgroup
             emit = self.handlers.get(name)
-            for token in emit(name, m[0], m.group(0, *self.inner[name])[1:]) if emit and self.inner[name] else emit(name, m[0], ()) if emit else (m[0],):
+            for token in emit(name, m[0], m.group(0, *inner[name])[1:]) if emit and inner[name] else emit(name, m[0], ()) if emit else (m[0],):
                 yield token, name, m.start(), m.end()
 
     def tokens(self, text: str | None) -> list[str]:
