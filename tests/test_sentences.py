@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions.splitter import Model, words
+from textloom.functions.splitter import ALPHA, LETTER, Model, words
 from textloom.functions import morphology as M
 from textloom.operators import sentences as S
 from textloom.plans import pipelines
@@ -52,11 +52,13 @@ def test_learning_does_not_depend_on_partitions(spark, corpus, tmp_path):
     assert pipelines.load_sentence_model(spark, str(tmp_path / "none")) is None
 
 
-def test_native_words_agree_with_the_lexer(spark):
-    rows = spark.createDataFrame([(1, "Mr. Öl paid 1,000.50 ... A. x")], "doc long, t string")
-    tokens = rows.select("doc", F.posexplode(F.split("t", " ")).alias("pos", "tok"))
-    columns = ["pos", "tok", "type", "period_final", "is_number", "is_initial", "is_alpha", "is_non_punct", "case"]
-    assert S.words_of_tokens(tokens).select(columns).orderBy("pos").collect() == S.word_table(rows, "doc", "t").select(columns).orderBy("pos").collect()
+def test_native_properties_are_those_of_words(spark):
+    texts = ["Mr. Öl paid 1,000.50 ... A. x", "One line.\n\n  Ä new paragraph (no. ٣) -5. É.\nits ß line", "", None, "ǅ ª Ⅷ _x_ 3rd a.b. U.S.", "\n\n\t\nend"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, t string")
+    columns = ["doc", "pos", "tok", "type", "period_final", "parastart", "linestart", "is_number", "is_initial", "is_alpha", "is_non_punct", "case"]
+    got = [tuple(r) for r in S.word_table(docs, "doc", "t").select(columns).orderBy("doc", "pos").collect()]
+    plain = lambda w: (w.tok, w.type, w.period_final, bool(w.parastart), bool(w.linestart), w.is_number, w.is_initial, bool(ALPHA.match(w.tok)), bool(LETTER.search(w.type)), w.case)
+    assert got == [(d, i, *plain(w)) for d, t in enumerate(texts) for i, w in enumerate(words(t or ""))]
 
 
 def test_counts_are_mergeable(spark, corpus):

@@ -94,18 +94,24 @@ class Word:
         return self.tok + "<A>" * bool(self.abbr) + "<E>" * bool(self.ellipsis) + "<S>" * bool(self.sentbreak)
 
 
-def words(text: str) -> Iterator[Word]:
-    """Words of a text, line by line; the first after an empty line starts a paragraph."""
+def lines_of_words(text: str) -> Iterator[tuple[bool, list[str]]]:
+    """Each line that is not empty: whether it starts a paragraph, and its words."""
     blank = False
     for line in text.split("\n"):
         if not line.strip():
             blank = True
             continue
-        for i, tok in enumerate(WORDS.findall(line)):
-            yield Word(tok, *((blank, True) if i == 0 else ()))
+        yield blank, WORDS.findall(line)
         blank = False
 
 
+def words(text: str) -> Iterator[Word]:
+    """Words of a text, line by line; the first after an empty line starts a paragraph."""
+    for paragraph, own in lines_of_words(text):
+        for i, tok in enumerate(own):
+            yield Word(tok, *((paragraph, True) if i == 0 else ()))
+
+
 @dataclass(frozen=True)
 class Model:
     abbreviations: frozenset[str] = frozenset()
@@ -240,7 +246,6 @@ class Model:
 
 SPANS = "array<struct<start:int,end:int,text:string>>"
 DECISIONS = "array<struct<period_index:int,text:string,type1:string,type2:string,type1_in_abbrs:boolean,type1_is_initial:boolean,type2_is_sent_starter:boolean,type2_ortho_heuristic:string,type2_ortho_contexts:array<string>,collocation:boolean,reason:string,break_decision:boolean>>"
-FLAGS = "array<struct<pos:int,tok:string,type:string,period_final:boolean,parastart:boolean,linestart:boolean,is_number:boolean,is_initial:boolean,is_alpha:boolean,is_non_punct:boolean,case:string>>"
 
 
 def _mapped(f, column: Column | str, kind: str) -> Column:
@@ -263,15 +268,3 @@ def split_sentences(column: Column | str, model: Model | None, realign: bool = T
 
 def sentence_decisions(column: Column | str, model: Model) -> Column:
     return _mapped(model.decisions, column, DECISIONS)
-
-
-def word_flags(column: Column | str) -> Column:
-    """The words of a text with what can be said of each alone; explode it for a table."""
-
-    def one(t: str) -> list[dict]:
-        return [
-            {"pos": i, "tok": w.tok, "type": w.type, "period_final": w.period_final, "parastart": bool(w.parastart), "linestart": bool(w.linestart), "is_number": w.is_number, "is_initial": w.is_initial, "is_alpha": bool(ALPHA.match(w.tok)), "is_non_punct": bool(LETTER.search(w.type)), "case": w.case}
-            for i, w in enumerate(words(t))
-        ]
-
-    return _mapped(one, column, FLAGS)

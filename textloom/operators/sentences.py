@@ -8,8 +8,10 @@ Counts of several corpora can be added up (statistics are mergeable) before they
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,30 +24,60 @@ RARE_BELOW = 5
 COLLOCATION = 7.88
 STARTER = 30.0
 MIN_COLLOCATION = 2
+#: Words that a task hands on at a time.
+WORDS_AT_A_TIME = 200_000
+#: Abbreviations that are broadcast to find them among words; more are joined as Spark sees fit.
+BROADCAST_TYPES = 200_000
 #: Entries that a model may have on the driver and the workers.
 MAX_TYPES = 2_000_000
 
 
 def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row per word: doc, pos and the word's own properties."""
-    flags = docs.select(F.col(id_col).alias("doc"), F.explode(S.word_flags(F.col(text_col))).alias("w"))
-    return flags.select("doc", "w.*")
-
-
-def words_of_tokens(tokens: DataFrame, doc: str = "doc", pos: str = "pos", tok: str = "tok") -> DataFrame:
-    """The same table for tokens that are there already, native: no lines or paragraphs."""
+    """A row per word: doc, pos and the word's own properties. Python splits the texts, the rest is native."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc", "pos", "tok", "parastart", "linestart"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            toks, owner, pos, para, line = [], [], [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                at = 0
+                for paragraph, own in S.lines_of_words(text or ""):
+                    toks += own
+                    owner += [i] * len(own)
+                    pos += range(at, at + len(own))
+                    para += [paragraph] + [False] * (len(own) - 1) if own else []
+                    line += [True] + [False] * (len(own) - 1) if own else []
+                    at += len(own)
+                if len(toks) >= WORDS_AT_A_TIME:
+                    yield table(b, owner, pos, toks, para, line)
+                    toks, owner, pos, para, line = [], [], [], [], []
+            yield table(b, owner, pos, toks, para, line)
+
+    def table(b: pa.RecordBatch, owner: list, pos: list, toks: list, para: list, line: list) -> pa.RecordBatch:
+        own = [pa.array(pos, pa.int32()), pa.array(toks, pa.string()), pa.array(para, pa.bool_()), pa.array(line, pa.bool_())]
+        return pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(owner, pa.int64())), *own], names)
+
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    split = rows.mapInArrow(run, f"doc {kind}, pos int, tok string, parastart boolean, linestart boolean")
+    return words_of_tokens(split, parastart=F.col("parastart"), linestart=F.col("linestart"))
+
+
+def words_of_tokens(tokens: DataFrame, doc: str = "doc", pos: str = "pos", tok: str = "tok", parastart: Column | None = None, linestart: Column | None = None) -> DataFrame:
+    """The same table for tokens that are there already, native; lines and paragraphs only as far as they are given."""
     t = F.col(tok)
     kind = token_type(t)
     first = F.substring(t, 1, 1)
-    case = F.when(first.rlike(r"^\p{Ll}"), "lower").when(first.rlike(r"^\p{Lu}"), "upper").otherwise("none")
+    case = F.when(first.rlike(r"^\p{IsLowercase}"), "lower").when(first.rlike(r"^\p{IsUppercase}"), "upper").otherwise("none")
+    starts = [F.lit(False) if c is None else c for c in (parastart, linestart)]
     return tokens.select(
-        F.col(doc).alias("doc"), F.col(pos).alias("pos"), t.alias("tok"), kind.alias("type"), t.endswith(".").alias("period_final"), F.lit(False).alias("parastart"), F.lit(False).alias("linestart"),
+        F.col(doc).alias("doc"), F.col(pos).alias("pos"), t.alias("tok"), kind.alias("type"), t.endswith(".").alias("period_final"), starts[0].alias("parastart"), starts[1].alias("linestart"),
         kind.startswith(S.NUMBER).alias("is_number"), t.rlike(r"^(?U)[^\W\d]\.$").alias("is_initial"), t.rlike(r"^(?U)[^\W\d]+$").alias("is_alpha"), kind.rlike(r"(?U)[^\W\d]").alias("is_non_punct"), case.alias("case"),
     )
 
 
 def token_type(tok: Column) -> Column:
-    return F.when(tok.rlike(r"^-?[\.,]?\d[\d,\.-]*\.?$"), F.lit(S.NUMBER)).otherwise(F.lower(tok))
+    return F.when(tok.rlike(r"^(?U)-?[\.,]?\d[\d,\.-]*\.?$"), F.lit(S.NUMBER)).otherwise(F.lower(tok))
 
 
 def type_counts(words: DataFrame) -> DataFrame:
@@ -104,6 +136,8 @@ def annotated(words: DataFrame, abbreviations: DataFrame) -> DataFrame:
     part = F.element_at(F.split(stem, "-"), -1)
     single = F.col("period_final") & ~F.col("tok").endswith("..") & ~F.col("tok").isin(*S.SENTENCE_ENDS)
     known = abbreviations.select(F.col("type").alias("a"), F.lit(True).alias("hit")).distinct()
+    if known.limit(BROADCAST_TYPES + 1).count() <= BROADCAST_TYPES:
+        known = F.broadcast(known)
     w = words.withColumns({"__s": F.when(single, stem), "__p": F.when(single, part)})
     w = w.join(known.withColumnRenamed("hit", "h1"), F.col("__s") == F.col("a"), "left").drop("a")
     w = w.join(known.withColumnRenamed("hit", "h2"), F.col("__p") == F.col("a"), "left").drop("a")
