@@ -420,22 +420,9 @@ def skipgrams_neg(spark, sf_dir):
     return out.groupBy("doc", "word").agg(F.count("*").alias("n"), F.max("label").alias("label"), F.min(F.col("context").between(1, 999)).alias("known"))
 
 
-@query("SELECT word, CASE word WHEN 'cries' THEN 'cry' WHEN 'is' THEN 'be' WHEN 'making' THEN 'make' WHEN 'stopped' THEN 'stop' ELSE 'watch' END AS lemma FROM (VALUES ('cries'), ('is'), ('making'), ('stopped'), ('watches')) t(word)")
-def lemmatize(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in ("cries", "is", "making", "stopped", "watches")], "word string")
-    return words.select("word", morphology.lemma_column("word", "v").alias("lemma"))
-
-
-@query("SELECT word, CASE word WHEN 'caresses' THEN 'caress' WHEN 'ponies' THEN 'poni' WHEN 'relational' THEN 'relat' ELSE 'hop' END AS stem FROM (VALUES ('caresses'), ('ponies'), ('relational'), ('hopping')) t(word)")
-def porter_stem(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in ("caresses", "ponies", "relational", "hopping")], "word string")
-    return words.select("word", morphology.stem_column("word").alias("stem"))
-
-
-@query("SELECT tag, CASE tag[1] WHEN 'J' THEN 'a' WHEN 'V' THEN 'v' WHEN 'N' THEN 'n' WHEN 'R' THEN 'r' END AS class FROM (VALUES ('JJ'), ('VBZ'), ('NN'), ('RB'), ('DT')) t(tag)")
-def pos_map(spark, sf_dir):
-    tags = spark.createDataFrame([(t,) for t in ("JJ", "VBZ", "NN", "RB", "DT")], "tag string")
-    return tags.select("tag", morphology.class_of_tag("tag").alias("class"))
+text_query("lemmatize", _P, _PICK("cries", "is", "making", "stopped", "watches", "went", "tries"), _PICK("cry", "be", "make", "stop", "watch", "go", "try"), lambda c: morphology.lemma_column(c, "v"))
+text_query("porter_stem", _P, _PICK("caresses", "ponies", "relational", "hopping", "motoring", "sky", "electrical"), _PICK("caress", "poni", "relat", "hop", "motor", "sky", "electr"), morphology.stem_column)
+text_query("pos_map", _P, _PICK("JJ", "VBZ", "NN", "RB", "NNS", "JJR"), _PICK("a", "v", "n", "r", "n", "a"), morphology.class_of_tag)
 
 
 @query(f"WITH {_POS} SELECT doc, string_agg(term, ' ' ORDER BY pos) AS words FROM words GROUP BY doc")
