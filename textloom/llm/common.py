@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -21,7 +23,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir.
 
-    Where it is unset, a local master gets a temporary folder; a cluster must name one.
+    Where it is unset, a local master gets a temporary folder, deleted at its end; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
