@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 def kept(df: DataFrame) -> DataFrame:
     """df computed once and checkpointed in the folder that spark.checkpoint.dir names.
 
-    A local master without that setting gets a temporary folder; a cluster must have it.
+    A local master without that setting gets a temporary folder, deleted at its end; a cluster must have it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -20,5 +22,6 @@ def kept(df: DataFrame) -> DataFrame:
             if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = tempfile.mkdtemp(prefix="textloom-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
     return df.checkpoint(eager=True)
