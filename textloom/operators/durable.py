@@ -6,22 +6,27 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once and checkpointed in the folder that spark.checkpoint.dir names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
 
     A local master without that setting gets a temporary folder, deleted at its end; a cluster must have it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if sc.master != "local" and not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = tempfile.mkdtemp(prefix="textloom-")
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
+    return found
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

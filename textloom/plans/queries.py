@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import preset
 from ..functions import html, lexer, links, morphology, normalize, splitter
 from ..operators import classify, embeddings, features, sampling, sentences
+from ..operators.durable import shared_dir
+from ..sources import tables
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors see."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # Lexer features: text built from columns, and the tokens it must give, in SQL that both engines read.
 _P, _O, _C = ("part", "p_partkey"), ("orders", "o_orderkey"), ("customer", "c_custkey")
 _SIZE, _KEY = "CAST(p_size AS VARCHAR(9))", "CAST(o_orderkey AS VARCHAR(20))"
@@ -132,6 +141,19 @@ text_query("keras_words", _P, "'A, b;' || upper(p_brand) || '!'", "'a b ' || rep
 text_query("pad_pre", _P, "repeat('1,', p_size % 6 + 1)", "repeat('0 ', greatest(0, 3 - p_size % 6)) || trim(repeat('1 ', least(4, p_size % 6 + 1)))", lambda c: F.array_join(features.pad_sequence(F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast("int")), 4).cast("array<string>"), " "))
 text_query("pad_post", _P, "repeat('1,', p_size % 6 + 1)", "trim(repeat('1 ', least(4, p_size % 6 + 1)) || repeat('0 ', greatest(0, 3 - p_size % 6)))", lambda c: F.array_join(features.pad_sequence(F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast("int")), 4, padding="post", truncating="post").cast("array<string>"), " "))
 
+text_query("soup_html", _P, "'<p> ' || p_name || ' <b> x </b></p><br>' || p_brand", "p_name || 'x' || chr(10) || p_brand", lambda c: html.strip_html(c, "soup"))
+text_query("broken_html", _P, "p_name || ' <![x ' || p_brand", "p_name || ' <![x ' || p_brand", html.strip_html)
+text_query("link_fragments", _U, "'see http://' || " + _HOST + " || '/a, and more'", "'see |, and more'", lambda c: F.array_join(links.parse_links(c)["fragments"], "|"))
+text_query("link_placeholders", _U, "'see http://' || " + _HOST + " || '/a or kim@example.org now'", "'see |<uri>| or |<email>| now'", lambda c: F.array_join(links.parse_links(c, placeholder="<%s>")["fragments"], "|"))
+text_query("run_on_links", _U, "'http://example.org/http://' || " + _HOST + " || '/y?q=1'", "'http://example.org/ http://' || " + _HOST + " || '/y?q=1'", lambda c: F.array_join(F.transform(links.find_links(c), lambda x: x["string"]), " "))
+text_query("sentence_realign", _P, "'(It came.) \"Then ' || p_brand || ' left!\" So be it.'", "'(It came.)|\"Then ' || p_brand || ' left!\"|So be it.'", lambda c: F.array_join(splitter.split_sentences(c, _MODEL), "|"))
+text_query("sentence_lower_case", _P, "'He saw ' || p_brand || ' etc. but left. no more.'", "'He saw ' || p_brand || ' etc. but left.|no more.'", lambda c: F.array_join(splitter.split_sentences(c, _LOWER), "|"))
+text_query("sentence_collocation", _P, "'See No. 5 of ' || p_brand || '. It is there.'", "'See No. 5 of ' || p_brand || '.|It is there.'", lambda c: F.array_join(splitter.split_sentences(c, _PAIRS), "|"))
+text_query("sentence_initials", _P, "'By J. Bach of ' || p_brand || '. It is there.'", "'By J. Bach of ' || p_brand || '.|It is there.'", lambda c: F.array_join(splitter.split_sentences(c, splitter.Model(contexts={"bach": splitter.MIDDLE_UPPER})), "|"))
+text_query("sentence_reasons", _P, "'He saw ' || p_brand || ' etc. The end came. no more.'", "'abbreviation + orthographic heuristic default decision default decision'", lambda c: F.array_join(F.transform(splitter.sentence_decisions(c, _LOWER), lambda x: x["reason"]), " "))
+
+_LOWER = splitter.Model(abbreviations=frozenset(["etc"]), contexts={"but": splitter.MIDDLE_LOWER, "the": splitter.MIDDLE_LOWER, "no": splitter.BEGIN_LOWER})
+_PAIRS = splitter.Model(collocations=frozenset([("no", "##number##")]))
 _MODEL = splitter.Model(abbreviations=frozenset(["mr", "dr"]))
 
 
@@ -190,6 +212,58 @@ def drop_missing(spark, sf_dir):
     return sampling.drop_missing(both.select("doc_id", "quality"), "quality")
 
 
+@query("SELECT doc_id, text FROM documents")
+def json_lines_files(spark, sf_dir):
+    """All documents as compressed JSON lines, and back by a pattern of file names; one field is read on its own."""
+    path = folder(spark, "lines")
+    tables.write_json_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return tables.read_json_lines(spark, f"{path}/part-*.json.gz", schema="doc_id bigint, text string")
+
+
+@query("SELECT text FROM documents")
+def json_lines_field(spark, sf_dir):
+    path = folder(spark, "lines")
+    tables.write_json_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), path, None)
+    return tables.read_json_lines(spark, [path], field="text", schema="doc_id bigint, text string")
+
+
+@query("SELECT doc_id AS id, text AS X, CAST(quality AS INTEGER) AS Y FROM documents JOIN labels USING (doc_id)")
+def delimited_files(spark, sf_dir):
+    """Labelled documents, line ends and quotes in them, as a delimited file with a header, and back by the fields' names."""
+    path = folder(spark, "delimited")
+    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", "text")
+    both.write.options(sep="\t", header=True, quoteAll=True, escape='"').csv(path)
+    back = tables.read_delimited(spark, f"{path}/*.csv", sep="\t", header=True, escape='"', schema="doc_id bigint, quality int, text string")
+    return back.select(F.col("doc_id").alias("id"), *(F.col(x).alias(y) for x, y in (("text", "X"), ("quality", "Y"))))
+
+
+@query("SELECT 0 AS place, c_custkey AS id, c_name AS X, 1 AS Y FROM customer UNION ALL SELECT 1, s_suppkey, s_name, NULL FROM supplier")
+def headerless_files(spark, sf_dir):
+    """Files without a header, fields by their places, labelled and unlabelled rows as one."""
+    one, two = folder(spark, "one"), folder(spark, "two")
+    table(spark, sf_dir, "customer").select(F.lit(1).alias("y"), "c_name", "c_custkey").write.options(sep="\t").csv(one)
+    table(spark, sf_dir, "supplier").select("s_name", "s_suppkey").write.options(sep="\t").csv(two)
+    config = {"data": {"labeled": {"Y": 0, "X": 1}, "unlabeled": {"X": 0}}}
+    read = [tables.read_delimited(spark, p, sep="\t") for p in (one, two)]
+    ids = read[0].select(F.col("_c1").alias("X"), F.col("_c2").cast("long").alias("id"), F.lit(0).alias("place")).unionByName(read[1].select(F.col("_c0").alias("X"), F.col("_c1").cast("long").alias("id"), F.lit(1).alias("place")))
+    return tables.union_labeled(*read, config).join(ids, "X").select("place", "id", "X", "Y")
+
+
+@query("SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '0'), 1, 7) AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END AS side FROM documents")
+def split_files(spark, sf_dir):
+    path = folder(spark, "split")
+    tables.write_split(sampling.train_test_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"), path)
+    train, test = tables.read_split(spark, path)
+    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+def embedding_files(spark, sf_dir):
+    path = folder(spark, "vectors")
+    embeddings.save(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector")), path)
+    return embeddings.load(spark, path).select(F.col("word").alias("vec_id"), F.round(embeddings.norm("vector"), 6).alias("norm"))
+
+
 @query(f"WITH {_WORDS} SELECT doc, count(*) AS n FROM words WHERE term NOT IN ('the', 'of', 'and') GROUP BY doc")
 def stopword_filter(spark, sf_dir):
     return features.without_stop_words(document_tokens(spark, sf_dir), ["the", "of", "and"]).groupBy("doc").agg(F.count("*").alias("n"))
@@ -246,6 +320,30 @@ def tfidf(spark, sf_dir):
     return features.tfidf(features.term_counts(document_tokens(spark, sf_dir))).select("doc", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
+_FIT = "fit AS (SELECT * FROM counts WHERE CAST('0x' || substr(md5(CAST(doc AS VARCHAR) || '0'), 1, 7) AS BIGINT) % 100 >= 20)"
+
+
+@query(f"WITH {_COUNTS}, {_FIT}, idf AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT doc) FROM fit)) / (1 + count(*))) + 1 AS idf FROM fit GROUP BY term), raw AS (SELECT doc, term, tf * idf AS w FROM counts JOIN idf USING (term)) SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS tfidf FROM raw")
+def tfidf_fitted(spark, sf_dir):
+    """All documents by the document frequencies of those on the training side."""
+    counts = features.term_counts(document_tokens(spark, sf_dir))
+    fit = sampling.train_test_split(counts, "doc").where("split = 'train'").drop("split")
+    return features.tfidf(counts, fit).select("doc", "term", F.round("tfidf", 6).alias("tfidf"))
+
+
+@query(f"WITH {_COUNTS}, often AS (SELECT term FROM counts GROUP BY term HAVING count(*) >= 5) SELECT doc, (SELECT count(*) FROM often) + 64 AS size, count(*) + 64 AS held FROM counts JOIN often USING (term) JOIN embeddings ON vec_id = doc GROUP BY doc")
+def feature_union(spark, sf_dir):
+    """TF-IDF and an embedding side by side, as a classifier gets them."""
+    from pyspark.ml import Pipeline
+
+    docs = _lists(spark, sf_dir).withColumnRenamed("words", "tokens")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
+    both = docs.join(vectors, "doc", "left")
+    fitted = Pipeline(stages=classify.feature_stages(("bow", "embedding"), min_df=5.0)).fit(both.withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), 64).cast("array<float>"))))
+    out = fitted.transform(both.where("embedding is not null")).withColumn("v", vector_to_array("features"))
+    return out.select("doc", F.size("v").cast("long").alias("size"), F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("held")).where("held > 64")
+
+
 @query(f"WITH {_WORDS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT term FROM words)")
 def term_dictionary(spark, sf_dir):
     return features.term_dictionary(document_tokens(spark, sf_dir))
@@ -271,6 +369,13 @@ def _sentence_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", words.alias("s"))
 
 
+@query(f"SELECT doc, i - 1 AS s, array_to_string(regexp_extract_all(s[i], '" + WORD + f"'), ' ') AS words FROM (SELECT doc, s, unnest(generate_series(1, len(s))) AS i FROM ({_SENTENCES}))")
+def sentence_stream(spark, sf_dir):
+    """Each sentence of each document, as the learners of word vectors read them."""
+    out = features.sentence_labels(_sentence_docs(spark, sf_dir), "doc_id", "s", ())
+    return out.select("doc", F.col("s").cast("long").alias("s"), F.array_join("words", " ").alias("words"))
+
+
 @query("SELECT doc, array_to_string(flatten(list_transform(s, lambda x: regexp_extract_all(x, '" + WORD + f"'))), ' ') AS words FROM ({_SENTENCES})")
 def flatten_sentences(spark, sf_dir):
     return _sentence_docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.array_join(features.flatten_sentences("s"), " ").alias("words"))
@@ -567,6 +672,23 @@ def punkt_abbreviations(spark, sf_dir):
     return _learned(spark, sf_dir).abbreviations
 
 
+@query(f"WITH {_MARKED} SELECT type, bits FROM ortho")
+def punkt_files(spark, sf_dir):
+    """A learned model, saved and read again."""
+    path = folder(spark, "model")
+    _learned(spark, sf_dir).save(path)
+    return sentences.load(spark, path).contexts
+
+
+@query(f"WITH {_TOK} SELECT type, count(*) AS n FROM ty GROUP BY type HAVING count(*) >= 3")
+def punkt_merged(spark, sf_dir):
+    """Counts of two halves of the corpus, added up and pruned."""
+    words = _plain_words(spark, sf_dir)
+    side = F.pmod(F.xxhash64("doc"), F.lit(2))
+    halves = [sentences.type_counts(words.where(side == i)) for i in (0, 1)]
+    return sentences.keep_frequent(sentences.merged_counts(*halves), 3)
+
+
 # Evaluation.
 _SCORED = "scored AS (SELECT doc_id, quality AS label, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 7) AS BIGINT) % 1000 / 1000.0::DOUBLE AS score FROM labels)"
 
