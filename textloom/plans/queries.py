@@ -150,7 +150,7 @@ text_query("sentence_realign", _P, "'(It came.) \"Then ' || p_brand || ' left!\"
 text_query("sentence_lower_case", _P, "'He saw ' || p_brand || ' etc. but left. no more.'", "'He saw ' || p_brand || ' etc. but left.|no more.'", lambda c: F.array_join(splitter.split_sentences(c, _LOWER), "|"))
 text_query("sentence_collocation", _P, "'See No. 5 of ' || p_brand || '. It is there.'", "'See No. 5 of ' || p_brand || '.|It is there.'", lambda c: F.array_join(splitter.split_sentences(c, _PAIRS), "|"))
 text_query("sentence_initials", _P, "'By J. Bach of ' || p_brand || '. It is there.'", "'By J. Bach of ' || p_brand || '.|It is there.'", lambda c: F.array_join(splitter.split_sentences(c, splitter.Model(contexts={"bach": splitter.MIDDLE_UPPER})), "|"))
-text_query("sentence_reasons", _P, "'He saw ' || p_brand || ' etc. The end came. no more.'", "'abbreviation + orthographic heuristic default decision default decision'", lambda c: F.array_join(F.transform(splitter.sentence_decisions(c, _LOWER), lambda x: x["reason"]), " "))
+text_query("sentence_reasons", _P, "'He saw ' || p_brand || ' etc. The end came. no more.'", "'abbreviation + orthographic heuristic default decision'", lambda c: F.array_join(F.transform(splitter.sentence_decisions(c, _LOWER), lambda x: x["reason"]), " "))
 
 _LOWER = splitter.Model(abbreviations=frozenset(["etc"]), contexts={"but": splitter.MIDDLE_LOWER, "the": splitter.MIDDLE_LOWER, "no": splitter.BEGIN_LOWER})
 _PAIRS = splitter.Model(collocations=frozenset([("no", "##number##")]))
