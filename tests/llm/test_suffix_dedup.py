@@ -66,6 +66,16 @@ def test_crowded_anchors(spark, monkeypatch, seed):
     assert run(df) == plain(rows)
 
 
+def test_runs_of_one_word(spark):
+    """A word over and over, at many places of a text, in few and in many texts, with other text in between."""
+    r = random.Random(1)
+    rows = []
+    for i in range(30):
+        word = r.choice(["a", "ab ", "the line\n", "z" * 49 + " "])
+        rows.append((i * 7 % 30, fixtures.words(r.randint(0, 6), i) + word * r.randint(20, 90) + fixtures.words(r.randint(0, 12), i) + word * r.randint(0, 40)))
+    assert run(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == plain(rows)
+
+
 def test_same_id_with_two_texts(spark):
     a, b = fixtures.words(40, 1), fixtures.words(40, 2)
     rows = [(5, a), (5, b), (7, "k" + b), (3, a)]

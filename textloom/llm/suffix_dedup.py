@@ -431,27 +431,35 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
             # A smaller document of this task has the same context: all windows around the anchor are settled.
             done = least[cls] < d
             pos, th = at - starts[t], hashes[t]
+            out = [(d[done], th[done], pos[done] - left[done], pos[done] + right[done], None, None)]
+            # Equal contexts of one text that are no farther apart than a window go on as one, from the first to the last:
+            # their answers overlap. So a text of one repeated word does not crowd its anchor.
+            rest = np.flatnonzero(~done)
+            rest = rest[np.lexsort((pos[rest], t[rest], cls[rest]))]
+            if not len(rest):
+                first = last = rest
+            else:
+                apart = (np.diff(cls[rest]) != 0) | (np.diff(t[rest]) != 0) | (np.diff(pos[rest]) > length)
+                first = rest[np.concatenate([[True], apart])]
+                last = pos[rest[np.concatenate([apart, [True]])]]
+            h, d, th, pos, left, right, ctx = (x[first] for x in (h, d, th, pos, left, right, ctx))
             # Of a crowded anchor the windows are settled one by one, and what is left goes where its content leads.
-            crowd = np.flatnonzero(~done & np.isin(h, crowded))
+            crowd = np.flatnonzero(np.isin(h, crowded))
             every = np.full(len(h), (1 << (reach + 1)) - 1, np.int64)
-            short = (h & 0x7FFFFFFF).astype(np.int32)
-            out = [(d[done], th[done], pos[done] - left[done], pos[done] + right[done], None, None)]
             if len(crowd):
                 own = tuple(x[crowd] for x in (ctx, left, right))
                 known, settled = settled_windows(np.unique(h[crowd], return_inverse=True)[1], *own, d[crowd], length, k)
                 low, high = outer(settled)
                 hit = high >= 0
-                out.append((d[crowd][hit], th[crowd][hit], (pos[crowd] - high)[hit], (pos[crowd] - low + length)[hit], None, None))
+                out.append((d[crowd][hit], th[crowd][hit], (pos[crowd] - high)[hit], (last[crowd] - low + length)[hit], None, None))
                 open_ = known & ~settled
                 for key, windows in content_keys(h[crowd], own[0], length, k):
                     bits = (open_[:, windows] * (np.int64(1) << np.array(windows, np.int64))).sum(axis=1)
                     some = bits > 0
                     rows_ = crowd[some]
-                    out.append((d[rows_], th[rows_], pos[rows_], pos[rows_], (key[some] & np.uint64(0x7FFFFFFF)).astype(np.int32), (ctx[rows_], left[rows_], right[rows_], bits[some])))
-                done = done.copy()
-                done[crowd] = True
-            # Of equal contexts of one document, at different places, each needs its answer and goes on.
-            out.append((d[~done], th[~done], pos[~done], pos[~done], short[~done], (ctx[~done], left[~done], right[~done], every[~done])))
+                    out.append((d[rows_], th[rows_], pos[rows_], last[rows_], (key[some] & np.uint64(0x7FFFFFFF)).astype(np.int32), (ctx[rows_], left[rows_], right[rows_], bits[some])))
+            others = np.delete(np.arange(len(h)), crowd)
+            out.append((d[others], th[others], pos[others], last[others], (h[others] & 0x7FFFFFFF).astype(np.int32), (ctx[others], left[others], right[others], every[others])))
             for d_, th_, a, b, key, own in out:
                 for i in range(0, len(d_), 20_000):
                     s = slice(i, i + 20_000)
@@ -479,7 +487,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        h, d, th, pos, left, right, mask = (table.column(x).to_numpy() for x in ("h", "id", "text_hash", "start", "left", "right", "windows"))
+        h, d, th, pos, last, left, right, mask = (table.column(x).to_numpy() for x in ("h", "id", "text_hash", "start", "end", "left", "right", "windows"))
         ctx = np.frombuffer(b"".join(table.column("ctx").to_pylist()), dtype=np.uint8).reshape(len(h), reach + length)
         del table, held
         order = np.argsort(h, kind="stable")
@@ -489,11 +497,11 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
         order = order[np.repeat(least < most, sizes)]
         if not len(order):
             return
-        h, d, th, pos, left, right, mask, ctx = (x[order] for x in (h, d, th, pos, left, right, mask, ctx))
+        h, d, th, pos, last, left, right, mask, ctx = (x[order] for x in (h, d, th, pos, last, left, right, mask, ctx))
         group = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
         low, high = outer(settled_windows(group, ctx, left, right, d, length, k, mask)[1])
         hit = high >= 0
-        a, b, d, th = _joined(d[hit], th[hit], (pos - high)[hit], (pos - low + length)[hit])
+        a, b, d, th = _joined(d[hit], th[hit], (pos - high)[hit], (last - low + length)[hit])
         for i in range(0, len(d), 100_000):
             s = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (d, th, a, b)], SPANS)
