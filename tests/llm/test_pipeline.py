@@ -4,6 +4,7 @@ import corpus_pipeline as C
 import pytest
 
 from textloom.llm import packing, quality_mil, secret_scan
+from textloom.llm.common import with_row_key
 
 from . import fixtures
 from .test_ngram_join import plain_components
@@ -57,6 +58,20 @@ def test_unrelated_rows_of_one_id_all_stay(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (None, None), (None, None)], key=str)
 
 
+def test_row_keys_do_not_depend_on_splits(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "repeat(cast(id as string), 50) AS text").repartition(3).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/t")
+    spark.range(5000, 5010).selectExpr("id", "'x' AS text").write.parquet(f"{tmp_path}/u")
+    docs = spark.read.parquet(f"{tmp_path}/t", f"{tmp_path}/u")
+    keys = []
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        keys.append({r["id"]: r["k"] for r in with_row_key(docs, "k").select("id", "k").collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert keys[0] == keys[1] and len(set(keys[0].values())) == 5010
+    other = with_row_key(docs.groupBy("id").count(), "k")
+    assert other.columns == ["id", "count", "k"] and other.select("k").distinct().count() == 5010
+
+
 @pytest.mark.parametrize("name", ["quality", "near_duplicates", "secrets", "mixing", "packing"])
 def test_edge_rows_and_clashing_columns(spark, name):
     plain, extra = (STAGES[name](spark, fixtures.docs(spark, e), SF) for e in (False, True))

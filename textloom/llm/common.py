@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,27 @@ def release(df: DataFrame, rows: int) -> None:
         time.sleep(0.4)
 
 
+#: Files whose numbers are broadcast; those of more are joined as Spark sees fit.
+BROADCAST_FILES = 200_000
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with `name`, a long of its own for each row, the same whenever docs is read.
+
+    Rows of files have the file's number, by path, and theirs in the file: scans may be split in other ways when
+    executors come or go, which the place in a partition depends on. Other rows are kept in the shared folder.
+    """
+    try:
+        paths = docs.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__index"))
+    except AnalysisException:  # not rows of files
+        return frozen(docs.withColumn(name, F.monotonically_increasing_id()))
+    files = sorted(r["__path"] for r in paths.select("__path").distinct().collect())  # a row per file
+    table = docs.sparkSession.createDataFrame(pa.table({"__path": pa.array(files, pa.string()), "__number": pa.array(range(len(files)), pa.int64())}))
+    table = F.broadcast(table) if len(files) <= BROADCAST_FILES else table
+    numbered = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__index")).join(table, "__path")
+    return numbered.withColumn(name, F.shiftleft("__number", 40).bitwiseOR(F.col("__index"))).select(*(F.col(f"`{c}`") for c in docs.columns), name)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
