@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import ngram_join, packing, pfair_mix, quality_mil, queries, secret_scan
-from textloom.llm.common import discard, scratch
+from textloom.llm.common import discard, scratch, with_row_key
 
 #: The key of a row in drop_near_duplicates.
 KEY = "__row_key"
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a key of their own: rows of one id with unrelated texts all stay, and rows without an id are
     documents like any other, which stay only if their group has no id.
     """
-    keyed = docs.withColumn(KEY, F.monotonically_increasing_id())
+    keyed = with_row_key(docs, KEY)
     classes = ngram_join.shingle_components(keyed, id_col=KEY).select(KEY, "component_id")
     # Only rows of groups of two and more are looked at again: a group's first row is its component's key.
     grouped = classes.where(f"{KEY} <> component_id")
