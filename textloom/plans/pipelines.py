@@ -101,7 +101,7 @@ def pretrain(corpus: DataFrame, config: dict, *, limit: int | None = None, worke
         data = features.token_table(corpus, id_col, features.flatten_sentences("X"))
         return embeddings.learn("glove", "word2vec", data, workers, **{k: options[k] for k in ("size", "learning_rate", "epochs", "window")})
     data = features.sentence_labels(corpus, id_col, "X", own["labels"], own["split_by_sentence"]) if name == "doc2vec" else features.training_sentences(corpus, "X", own["split_by_sentence"])
-    return embeddings.learn("word2vec", name, data, workers, **{k: options[k] for k in ("size", "min_count", "window", "seed", "sample")})
+    return embeddings.learn("word2vec", name, data, workers, **{k: options[k] for k in ("size", "min_count", "window", "seed", "sample") if k in options})
 
 
 @dataclass
