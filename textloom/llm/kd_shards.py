@@ -6,7 +6,7 @@ of a dimension's range find the bucket that holds the median, which is divided a
 matters; all nodes of a level go on together. Ties in the dimension are split by a hash of id and text, and rows that
 agree in these by their place in the scan, so that a value that a third of all rows share is still split in two.
 The texts are read once; what is split, numbered and shuffled are rows of a few numbers. The nodes of a level, with what
-is known of their medians, are a table like any other; the driver sees counts alone.
+is known of their medians, are a table like any other; of a level with very many of them the driver sees counts alone.
 
 Cases: null text has size 1, null metadata counts as 0; repeated rows are rows of their own; fewer rows than shards
 leave shards empty; an empty table gives an empty result; other columns are not read.
@@ -54,15 +54,14 @@ def shard(docs: DataFrame, dims: dict[str, Column], *, shards: int | None = None
     while many:
         near = F.broadcast if many <= BROADCAST_NODES else (lambda df: df)
         stats = rows.groupBy("node").agg(F.sum("size").alias("weight"), *extent)
-        nodes = frozen(_begin(open_.join(stats, F.col("first") == F.col("node"), "left"), names, spans))
-        while nodes.where("not done").limit(1).count():
+        nodes, unfinished = _settled(_begin(open_.join(stats, F.col("first") == F.col("node"), "left"), names, spans), many, "not done")
+        while unfinished:
             found = _median_buckets(rows, near(nodes.where("not done")), names)
-            nodes = frozen(_narrowed(nodes.join(found, "first", "left")))
+            nodes, unfinished = _settled(_narrowed(nodes.join(found, "first", "left")), many, "not done")
         rows = _split(rows, near(nodes), names)
         half = F.floor(F.col("leaves") / 2)
         children = F.explode(F.array(F.struct(F.col("first"), half.alias("leaves")), F.struct((F.col("first") + half).alias("first"), (F.col("leaves") - half).alias("leaves"))))
-        open_ = frozen(nodes.select(children.alias("c")).select("c.first", "c.leaves").where("leaves > 1"))
-        many = open_.count()
+        open_, many = _settled(nodes.select(children.alias("c")).select("c.first", "c.leaves").where("leaves > 1"), 2 * many, "true")
         level += 1
         if level % LEVELS == 0 and many:
             rows = frozen(rows)
@@ -71,6 +70,16 @@ def shard(docs: DataFrame, dims: dict[str, Column], *, shards: int | None = None
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
+def _settled(nodes: DataFrame, many: int, condition: str) -> tuple[DataFrame, int]:
+    """(nodes computed once, how many of them meet the condition). A table of at most BROADCAST_NODES nodes goes through
+    the driver, which spares writing it; a longer one is kept in the shared folder."""
+    if many > BROADCAST_NODES:
+        kept = frozen(nodes)
+        return kept, kept.where(condition).count()
+    table = nodes.withColumn("__meets", F.expr(condition)).toArrow()
+    return nodes.sparkSession.createDataFrame(table.drop_columns("__meets"), nodes.schema), sum(table.column("__meets").to_pylist())
+
+
 def _begin(nodes: DataFrame, names: list[str], spans: list[float]) -> DataFrame:
     """The nodes of a level before their medians are looked for.
 
