@@ -29,3 +29,8 @@ def test_a_stop_without_its_space_is_no_numeric_address(against_sql):
     texts = ["so they do.do The end", "at 10.0.0.1 or http://10.0.0.2/x", "kim@example.com", "", None]
     rows = against_sql("emails_in_docs", documents=([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"))
     assert rows == ["(0, 0, 0)", "(1, 0, 2)", "(2, 1, 0)", "(3, 0, 0)"]
+
+
+def test_feature_union_keeps_vectors_sparse(spark):
+    plan = QUERIES["feature_union"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "vector_to_array" not in plan
