@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.ml.feature import Word2Vec
 
+from textloom.operators import embeddings as E
 from textloom.plans.queries import ORACLE_SQL, QUERIES
 
 from .test_operators import plain
@@ -34,3 +36,16 @@ def test_a_stop_without_its_space_is_no_numeric_address(against_sql):
 def test_feature_union_keeps_vectors_sparse(spark):
     plan = QUERIES["feature_union"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "vector_to_array" not in plan
+
+
+def test_a_task_of_word2vec_learns_from_so_many_words(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(E, "Word2Vec", lambda **options: made.append(options["numPartitions"]) or Word2Vec(**options))
+    monkeypatch.setattr(E, "TASK_WORDS", 1000)
+    docs = spark.range(200).selectExpr("id", "array('a', 'b', 'w' || id % 7, 'c', 'd') AS words")
+    words = [f"w{i}" for i in range(7)]
+    assert sorted(r["word"] for r in E.word2vec(docs, size=4, min_count=1, window=2).collect()) == sorted([*"abcd", *words])
+    labels = docs.selectExpr("words", "array('DOC_' || id) AS labels")
+    assert E.doc2vec(labels, size=4, min_count=1, window=2).where("word LIKE 'DOC%'").count() == 200
+    E.word2vec(docs, size=4, min_count=1, window=2, partitions=3)
+    assert made == [1, 3, 3]
