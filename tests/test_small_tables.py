@@ -33,9 +33,12 @@ def test_a_stop_without_its_space_is_no_numeric_address(against_sql):
     assert rows == ["(0, 0, 0)", "(1, 0, 2)", "(2, 1, 0)", "(3, 0, 0)"]
 
 
-def test_feature_union_keeps_vectors_sparse(spark):
-    plan = QUERIES["feature_union"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert "vector_to_array" not in plan
+def test_rounds_of_glove_follow_the_bytes_of_vectors(spark, monkeypatch):
+    kept, rounds = E.kept, []
+    monkeypatch.setattr(E, "kept", lambda df: rounds.append(1) or kept(df))
+    tokens = spark.range(25_000).selectExpr("id DIV 10 AS doc", "CAST(id % 10 AS INT) AS pos", "'w' || id AS term")
+    got = E.glove(tokens, size=4, epochs=2, window=2)
+    assert len(rounds) == 2 and got.where("size(vector) = 4").count() == 25_000
 
 
 def test_a_task_of_word2vec_learns_from_so_many_words(spark, monkeypatch):
@@ -49,3 +52,8 @@ def test_a_task_of_word2vec_learns_from_so_many_words(spark, monkeypatch):
     assert E.doc2vec(labels, size=4, min_count=1, window=2).where("word LIKE 'DOC%'").count() == 200
     E.word2vec(docs, size=4, min_count=1, window=2, partitions=3)
     assert made == [1, 3, 3]
+
+
+def test_feature_union_keeps_vectors_sparse(spark):
+    plan = QUERIES["feature_union"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "vector_to_array" not in plan
