@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import classify as C
 from textloom.operators import trees as T
+from textloom.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,11 @@ def test_forests_of_very_many_features(spark):
     forest = T.SparseForest(numTrees=3)
     forest._set(featureSubsetStrategy="100", maxDepth=3)
     assert len(forest.fit(wide).trees) == 3
+
+
+def test_the_grid_of_the_forest_is_whole(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries.classify, "search", lambda *a, values, **k: asked.append(values))
+    monkeypatch.setattr(queries.classify, "search_report", lambda m: None)
+    queries.QUERIES["grid_search_random_forest"](spark, "/root/testdata/sf0.001")
+    assert asked == [None] and len(C.grid("random_forest", C.estimator("random_forest"), 1)) == 6
