@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 from pyspark.ml.feature import Word2Vec
+from pyspark.sql import functions as F
 
 from textloom.operators import embeddings as E
+from textloom.operators import features as A
 from textloom.plans.queries import ORACLE_SQL, QUERIES
 
 from .test_operators import plain
@@ -57,3 +59,11 @@ def test_a_task_of_word2vec_learns_from_so_many_words(spark, monkeypatch):
 def test_feature_union_keeps_vectors_sparse(spark):
     plan = QUERIES["feature_union"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "vector_to_array" not in plan
+
+
+def test_weights_of_terms_are_made_once(spark):
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1)], "doc long, term string, tf long")
+    out = A.tfidf(counts)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1  # counts and terms
+    lengths = out.groupBy("doc").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("n")).collect()
+    assert len(lengths) == 2 and all(abs(r["n"] - 1) < 1e-9 for r in lengths)
