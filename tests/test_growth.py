@@ -9,3 +9,33 @@ from textloom.plans.queries import QUERIES
 def test_rows_of_one_small_file_are_dealt_over_all_cores(spark, sf_dir, name):
     assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() < 4
     assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_nearest_is_exact_for_ties_repeated_and_odd_vectors(spark):
+    import numpy as np
+
+    from textloom.operators import embeddings as E
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    rows += [(i, [1.0, 2.0, 3.0, 0.0, 1.0, 1.0]) for i in range(300, 400)] + [(400, [0.0] * 6), (401, [1.0, 2.0]), (402, None), (None, [1.0] * 6), (403, [1.0, None, 0.0, 0.0, 0.0, 1.0]), (5, [1.0, 2.0, 3.0, 0.0, 1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "word int, vector array<double>").repartition(3)
+    asked = vectors.where("word % 25 = 0 or word = 5")
+    got = E.nearest(vectors, asked, 7)
+
+    plain = lambda v: None if v is None or None in v or not any(v) else [x / sum(y * y for y in v) ** 0.5 for x in v]
+    want = []
+    for q in sorted({r["word"] for r in asked.collect()}):
+        pairs = []
+        for a, va in rows:
+            for b, vb in rows:
+                if a == q and b is not None and a != b:
+                    u, w = plain(va), plain(vb)
+                    pairs.append((-sum(x * y for x, y in zip(u, w)) if u and w and len(u) == len(w) else 2.0, b))
+        want += [(q, r + 1, b) for r, (_, b) in enumerate(sorted(pairs)[:7])]
+    assert [(r["query"], r["rank"], r["found"]) for r in got.orderBy("query", "rank").collect()] == want
+
+
+def test_nearest_does_not_compare_row_by_row(spark, sf_dir):
+    plan = QUERIES["nearest_vectors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
