@@ -39,3 +39,19 @@ def test_nearest_is_exact_for_ties_repeated_and_odd_vectors(spark):
 def test_nearest_does_not_compare_row_by_row(spark, sf_dir):
     plan = QUERIES["nearest_vectors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_sentence_models_move_counts_of_adjoining_words_only(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import sentences as S
+
+    rows = [(i, f"Dr. Lee{i % 3} met Mr. Wu at 5 p.m. on 3. May ... so they talked . It rained ! Etc. {i}. Then".split()) for i in range(40)] + [(90, []), (91, None), (92, ["End."])]
+    docs = spark.createDataFrame(rows, "doc long, t array<string>")
+    words = S.words_of_lists(docs, "doc", F.col("t"))
+    plan = S.adjoining(words)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    tokens = docs.select("doc", F.posexplode("t").alias("pos", "tok"))
+    by_window = S.adjoining(S.words_of_tokens(tokens))
+    assert sorted(map(repr, by_window.collect())) == sorted(map(repr, S.adjoining(words).collect()))
+    assert by_window.agg(F.sum("n")).first()[0] == tokens.count()

@@ -12,11 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import splitter as S
+from .durable import stored
 
 # Thresholds of the method.
 ABBREVIATION = 0.3
@@ -28,6 +28,8 @@ MIN_COLLOCATION = 2
 WORDS_AT_A_TIME = 200_000
 #: Abbreviations that are broadcast to find them among words; more are joined as Spark sees fit.
 BROADCAST_TYPES = 200_000
+#: What the steps of learning read of adjoining words.
+ANNOTATIONS = ("tok", "n", "parastart", "linestart", "type", "key", "case", "is_alpha", "is_non_punct", "sentbreak", *(f"prev_{c}" for c in ("key", "bare", "period_final", "sentbreak", "abbr", "ellipsis", "is_number", "is_initial", "is_non_punct")))
 #: Entries that a model may have on the driver and the workers.
 MAX_TYPES = 2_000_000
 
@@ -35,45 +37,63 @@ MAX_TYPES = 2_000_000
 def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row per word: doc, pos and the word's own properties. Python splits the texts, the rest is native."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc", "pos", "tok", "parastart", "linestart"]
+    names = ["doc", "pos", "tok", "parastart", "linestart", "prev_tok"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toks, owner, pos, para, line = [], [], [], [], []
+            toks, owner, pos, para, line, prev = [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                at = 0
+                at, last = 0, None
                 for paragraph, own in S.lines_of_words(text or ""):
                     toks += own
                     owner += [i] * len(own)
                     pos += range(at, at + len(own))
                     para += [paragraph] + [False] * (len(own) - 1) if own else []
                     line += [True] + [False] * (len(own) - 1) if own else []
+                    prev += [last, *own[:-1]] if own else []
+                    last = own[-1] if own else last
                     at += len(own)
                 if len(toks) >= WORDS_AT_A_TIME:
-                    yield table(b, owner, pos, toks, para, line)
-                    toks, owner, pos, para, line = [], [], [], [], []
-            yield table(b, owner, pos, toks, para, line)
+                    yield table(b, owner, pos, toks, para, line, prev)
+                    toks, owner, pos, para, line, prev = [], [], [], [], [], []
+            yield table(b, owner, pos, toks, para, line, prev)
 
-    def table(b: pa.RecordBatch, owner: list, pos: list, toks: list, para: list, line: list) -> pa.RecordBatch:
-        own = [pa.array(pos, pa.int32()), pa.array(toks, pa.string()), pa.array(para, pa.bool_()), pa.array(line, pa.bool_())]
+    def table(b: pa.RecordBatch, owner: list, pos: list, toks: list, para: list, line: list, prev: list) -> pa.RecordBatch:
+        own = [pa.array(pos, pa.int32()), pa.array(toks, pa.string()), pa.array(para, pa.bool_()), pa.array(line, pa.bool_()), pa.array(prev, pa.string())]
         return pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(owner, pa.int64())), *own], names)
 
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    split = rows.mapInArrow(run, f"doc {kind}, pos int, tok string, parastart boolean, linestart boolean")
+    split = rows.mapInArrow(run, f"doc {kind}, pos int, tok string, parastart boolean, linestart boolean, prev_tok string")
     return words_of_tokens(split, parastart=F.col("parastart"), linestart=F.col("linestart"))
 
 
 def words_of_tokens(tokens: DataFrame, doc: str = "doc", pos: str = "pos", tok: str = "tok", parastart: Column | None = None, linestart: Column | None = None) -> DataFrame:
     """The same table for tokens that are there already, native; lines and paragraphs only as far as they are given."""
-    t = F.col(tok)
+    starts = {"parastart": F.lit(False) if parastart is None else parastart, "linestart": F.lit(False) if linestart is None else linestart}
+    own = properties(F.col(tok))
+    before = [F.col("prev_tok")] if "prev_tok" in tokens.columns else []
+    columns = {"type": own.pop("type"), "period_final": own.pop("period_final")} | starts | own
+    return tokens.select(F.col(doc).alias("doc"), F.col(pos).alias("pos"), F.col(tok).alias("tok"), *(c.alias(n) for n, c in columns.items()), *before)
+
+
+def properties(t: Column) -> dict[str, Column]:
+    """What is known of a word alone."""
     kind = token_type(t)
     first = F.substring(t, 1, 1)
     case = F.when(first.rlike(r"^\p{IsLowercase}"), "lower").when(first.rlike(r"^\p{IsUppercase}"), "upper").otherwise("none")
-    starts = [F.lit(False) if c is None else c for c in (parastart, linestart)]
-    return tokens.select(
-        F.col(doc).alias("doc"), F.col(pos).alias("pos"), t.alias("tok"), kind.alias("type"), t.endswith(".").alias("period_final"), starts[0].alias("parastart"), starts[1].alias("linestart"),
-        kind.startswith(S.NUMBER).alias("is_number"), t.rlike(r"^(?U)[^\W\d]\.$").alias("is_initial"), t.rlike(r"^(?U)[^\W\d]+$").alias("is_alpha"), kind.rlike(r"(?U)[^\W\d]").alias("is_non_punct"), case.alias("case"),
-    )
+    return {
+        "type": kind, "period_final": t.endswith("."), "is_number": kind.startswith(S.NUMBER), "is_initial": t.rlike(r"^(?U)[^\W\d]\.$"), "is_alpha": t.rlike(r"^(?U)[^\W\d]+$"),
+        "is_non_punct": kind.rlike(r"(?U)[^\W\d]"), "case": case,
+    }
+
+
+def words_of_lists(docs: DataFrame, doc: str, toks: Column) -> DataFrame:
+    """The word table of an array of each document's tokens, with the token before each as prev_tok: neighbours come from
+    the array, so that no word is moved to find them."""
+    rows = docs.select(F.col(doc).alias("doc"), toks.alias("t"))
+    n = F.size("t")
+    rows = rows.where(n > 0).select("doc", F.posexplode(F.arrays_zip(F.col("t").alias("tok"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, n - 1)).alias("prev_tok"))).alias("pos", "w"))
+    return words_of_tokens(rows.select("doc", "pos", F.col("w.tok").alias("tok"), F.col("w.prev_tok").alias("prev_tok")))
 
 
 def token_type(tok: Column) -> Column:
@@ -130,29 +150,52 @@ def totals_of(words: DataFrame) -> DataFrame:
     return words.agg(F.count("*").alias("n"), F.sum(F.col("period_final").cast("long")).alias("periods"))
 
 
-def annotated(words: DataFrame, abbreviations: DataFrame) -> DataFrame:
-    """words with sentbreak, abbr, ellipsis, bare and key, and of the word after it next_tok, next_type, next_key ..."""
-    stem = F.lower(F.expr("substring(tok, 1, length(tok) - 1)"))
-    part = F.element_at(F.split(stem, "-"), -1)
-    single = F.col("period_final") & ~F.col("tok").endswith("..") & ~F.col("tok").isin(*S.SENTENCE_ENDS)
+def adjoining(words: DataFrame) -> DataFrame:
+    """before, tok, parastart, linestart, n: how often each word comes after each word with a final period; other words
+    before it stand for their kind (null: none, "!" and "?": as they are, "x": any other, which ends
+    nothing whatever it is).
+
+    All that a model is learned from follows from this table, which is far smaller than the corpus: a word's neighbour is
+    told apart only where it may have ended a sentence, and counts combine before they are moved.
+    """
+    if "prev_tok" not in words.columns:
+        words = words.withColumn("prev_tok", F.lag("tok").over(Window.partitionBy("doc").orderBy("pos")))
+    prev = F.col("prev_tok")
+    kind = F.when(prev.isNull() | prev.endswith(".") | prev.isin(*S.SENTENCE_ENDS), prev).otherwise(F.lit("x"))
+    return words.groupBy(kind.alias("before"), "tok", "parastart", "linestart").agg(F.count("*").alias("n"))
+
+
+def with_properties(pairs: DataFrame) -> DataFrame:
+    """adjoining pairs with both words' own properties."""
+    own = lambda c: {name: e for name, e in properties(F.col(c)).items()}
+    return pairs.withColumns(own("tok") | {f"prev_{n}": e for n, e in own("before").items()})
+
+
+def annotated(pairs: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    """pairs (see adjoining) with type, case, sentbreak, abbr, ellipsis, bare, key ... of the word, and of the one before
+    it as prev_type ..."""
     known = abbreviations.select(F.col("type").alias("a"), F.lit(True).alias("hit")).distinct()
     if known.limit(BROADCAST_TYPES + 1).count() <= BROADCAST_TYPES:
         known = F.broadcast(known)
-    w = words.withColumns({"__s": F.when(single, stem), "__p": F.when(single, part)})
-    w = w.join(known.withColumnRenamed("hit", "h1"), F.col("__s") == F.col("a"), "left").drop("a")
-    w = w.join(known.withColumnRenamed("hit", "h2"), F.col("__p") == F.col("a"), "left").drop("a")
-    abbr = single & (F.col("h1").isNotNull() | F.col("h2").isNotNull())
-    w = w.withColumns({"abbr": abbr, "ellipsis": F.col("tok").rlike(r"^\.\.+$"), "sentbreak": F.col("tok").isin(*S.SENTENCE_ENDS) | single & ~abbr})
-    bare = F.when((F.length("type") > 1) & F.col("type").endswith("."), F.expr("substring(type, 1, length(type) - 1)")).otherwise(F.col("type"))
-    w = w.withColumn("bare", bare).withColumn("key", F.when(F.col("sentbreak"), F.col("bare")).otherwise(F.col("type")))
-    order = Window.partitionBy("doc").orderBy("pos")
-    after = {f"next_{c}": F.lead(c).over(order) for c in ("tok", "type", "key", "case", "is_alpha", "is_non_punct")}
-    before = {f"prev_{c}": F.lag(c).over(order) for c in ("sentbreak", "abbr", "ellipsis", "is_number", "is_initial")}
-    return w.withColumns(after | before).drop("__s", "__p", "h1", "h2")
-
-
-def contexts(words: DataFrame) -> DataFrame:
-    """type, bits: the cases and places that each type was seen in. words: annotated."""
+    w = with_properties(pairs)
+    for tok, pre in (("tok", ""), ("before", "prev_")):
+        t = F.col(tok)
+        stem = F.lower(F.expr(f"substring({tok}, 1, length({tok}) - 1)"))
+        single = F.col(f"{pre}period_final") & ~t.endswith("..") & ~t.isin(*S.SENTENCE_ENDS)
+        w = w.withColumns({"__s": F.when(single, stem), "__p": F.when(single, F.element_at(F.split(stem, "-"), -1))})
+        w = w.join(known.withColumnRenamed("hit", "h1"), F.col("__s") == F.col("a"), "left").drop("a")
+        w = w.join(known.withColumnRenamed("hit", "h2"), F.col("__p") == F.col("a"), "left").drop("a")
+        abbr = single & (F.col("h1").isNotNull() | F.col("h2").isNotNull())
+        w = w.withColumns({f"{pre}abbr": abbr, f"{pre}ellipsis": t.rlike(r"^\.\.+$"), f"{pre}sentbreak": t.isin(*S.SENTENCE_ENDS) | single & ~abbr})
+        kind = f"{pre}type"
+        bare = F.when((F.length(kind) > 1) & F.col(kind).endswith("."), F.expr(f"substring({kind}, 1, length({kind}) - 1)")).otherwise(F.col(kind))
+        w = w.withColumn(f"{pre}bare", bare).withColumn(f"{pre}key", F.when(F.col(f"{pre}sentbreak"), F.col(f"{pre}bare")).otherwise(F.col(kind)))
+        w = w.drop("__s", "__p", "h1", "h2")
+    return w
+
+
+def contexts(pairs: DataFrame) -> DataFrame:
+    """type, bits: the cases and places that each type was seen in. pairs: annotated."""
     ended = F.coalesce(F.col("prev_sentbreak"), F.lit(True))
     vague = F.coalesce(F.col("prev_is_number") | F.col("prev_is_initial"), F.lit(False))
     held = F.coalesce(F.col("prev_ellipsis") | F.col("prev_abbr"), F.lit(False))
@@ -163,12 +206,12 @@ def contexts(words: DataFrame) -> DataFrame:
     bit = F.lit(0)
     for (p, c), b in bits.items():
         bit = F.when((place == p) & (F.col("case") == c), F.lit(b)).otherwise(bit)
-    return words.select(F.col("key").alias("type"), bit.alias("bit")).where("bit > 0").groupBy("type").agg(F.bit_or("bit").alias("bits"))
+    return pairs.select(F.col("key").alias("type"), bit.alias("bit")).where("bit > 0").groupBy("type").agg(F.bit_or("bit").alias("bits"))
 
 
-def rare_abbreviations(words: DataFrame, counts: DataFrame, context_bits: DataFrame, abbreviations: DataFrame) -> DataFrame:
+def rare_abbreviations(pairs: DataFrame, counts: DataFrame, context_bits: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """type: words before a period that stand where no sentence can have ended."""
-    pairs = words.where("period_final and next_tok is not null and sentbreak and not abbr").select(F.col("key").alias("type"), F.col("bare").alias("found"), "next_tok", "next_key", "next_case")
+    pairs = pairs.where("prev_period_final and prev_sentbreak and not prev_abbr").select(F.col("prev_key").alias("type"), F.col("prev_bare").alias("found"), F.col("tok").alias("next_tok"), F.col("key").alias("next_key"), F.col("case").alias("next_case"))
     pairs = pairs.join(abbreviations.select("type"), "type", "left_anti")
     n = counts.select(F.col("type").alias("t"), F.col("n").alias("cn"))
     shorter = F.expr("substring(type, 1, length(type) - 1)")
@@ -181,14 +224,14 @@ def rare_abbreviations(words: DataFrame, counts: DataFrame, context_bits: DataFr
     return pairs.where(inside | name).select(F.col("found").alias("type")).distinct()
 
 
-def starter_counts(words: DataFrame) -> DataFrame:
-    found = words.where("period_final and sentbreak and not is_number and not is_initial and next_is_alpha")
-    return found.groupBy(F.col("next_type").alias("type")).agg(F.count("*").alias("n"))
+def starter_counts(pairs: DataFrame) -> DataFrame:
+    found = pairs.where("prev_period_final and prev_sentbreak and not prev_is_number and not prev_is_initial and is_alpha")
+    return found.groupBy("type").agg(F.sum("n").alias("n"))
 
 
-def collocation_counts(words: DataFrame) -> DataFrame:
-    found = words.where("period_final and next_tok is not null and is_non_punct and next_is_non_punct")
-    return found.groupBy(F.col("bare").alias("type1"), F.col("next_key").alias("type2")).agg(F.count("*").alias("n"))
+def collocation_counts(pairs: DataFrame) -> DataFrame:
+    found = pairs.where("prev_period_final and prev_is_non_punct and is_non_punct")
+    return found.groupBy(F.col("prev_bare").alias("type1"), F.col("key").alias("type2")).agg(F.sum("n").alias("n"))
 
 
 def _with_total(df: DataFrame, counts: DataFrame, column: str, out: str) -> DataFrame:
@@ -199,17 +242,17 @@ def _with_total(df: DataFrame, counts: DataFrame, column: str, out: str) -> Data
     return df.join(both, F.col(column) == F.col("__t"), "left").drop("__t").na.fill(0, [out])
 
 
-def sentence_starters(words: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
+def sentence_starters(pairs: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
     """type, score of words that start sentences more often than chance has it."""
-    breaks = words.agg(F.sum(F.col("sentbreak").cast("long")).alias("breaks"))
-    c = _with_total(starter_counts(words), counts, "type", "all_n").crossJoin(F.broadcast(breaks)).crossJoin(F.broadcast(totals.select(F.col("n").alias("total"))))
+    breaks = pairs.agg(F.sum(F.when(F.col("sentbreak"), F.col("n")).otherwise(0)).alias("breaks"))
+    c = _with_total(starter_counts(pairs), counts, "type", "all_n").crossJoin(F.broadcast(breaks)).crossJoin(F.broadcast(totals.select(F.col("n").alias("total"))))
     c = c.where("all_n >= n").withColumn("score", collocation_ratio(F.col("breaks"), F.col("all_n"), F.col("n"), F.col("total")))
     return c.where((F.col("score") >= STARTER) & (F.col("total") / F.col("breaks") > F.col("all_n") / F.col("n"))).select("type", "score")
 
 
-def collocations(words: DataFrame, counts: DataFrame, totals: DataFrame, starters: DataFrame) -> DataFrame:
+def collocations(pairs: DataFrame, counts: DataFrame, totals: DataFrame, starters: DataFrame) -> DataFrame:
     """type1, type2, score of pairs around a period that belong together."""
-    c = collocation_counts(words).join(starters.select(F.col("type").alias("type2")), "type2", "left_anti")
+    c = collocation_counts(pairs).join(starters.select(F.col("type").alias("type2")), "type2", "left_anti")
     c = _with_total(_with_total(c, counts, "type1", "n1"), counts, "type2", "n2").crossJoin(F.broadcast(totals.select(F.col("n").alias("total"))))
     c = c.where((F.col("n1") > 1) & (F.col("n2") > 1) & (F.col("n") > MIN_COLLOCATION) & (F.col("n") <= F.least("n1", "n2")))
     c = c.withColumn("score", collocation_ratio(F.col("n1"), F.col("n2"), F.col("n"), F.col("total")))
@@ -250,21 +293,25 @@ def load(spark: SparkSession, path: str) -> Learned:
 def learn(words: DataFrame, least: int = 1, keep: bool = True) -> Learned:
     """A model from a word table; least: types seen less often keep no context.
 
-    Words and their annotations, which several steps read, are persisted (on disk if need be) until Learned.release();
-    without keep they are computed again, for uses that take one of the model's tables.
+    The corpus is read once, into a table of adjoining words (see there); that and its annotations, which several steps
+    read, are stored in the shared folder. keep: counts are persisted too (on disk if need be) until Learned.release();
+    without it they are computed again, for uses that take one of the model's tables.
     """
-    held = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
-    words = held(words)
-    counts, totals = type_counts(words), totals_of(words)
+    pairs = stored(adjoining(words))
+    kind = token_type(F.col("tok"))
+    each = pairs.select(kind.alias("type"), F.col("tok").endswith(".").alias("period_final"), "n")
+    counts = each.groupBy("type").agg(F.sum("n").alias("n"))
+    counts = counts.persist() if keep else counts
+    totals = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("period_final"), F.col("n")).otherwise(0)).alias("periods"))
     frequent = abbreviation_scores(counts, totals).where(F.col("score") >= ABBREVIATION).select("type")
-    marked = held(annotated(words, frequent))
+    marked = stored(annotated(pairs, frequent).select(*ANNOTATIONS))
     bits = contexts(marked)
     rare = rare_abbreviations(marked, counts, bits, frequent)
     starters = sentence_starters(marked, counts, totals)
-    pairs = collocations(marked, counts, totals, starters)
+    both = collocations(marked, counts, totals, starters)
     if least > 1:
         bits = bits.join(keep_frequent(counts, least).select("type"), "type", "left_semi")
-    return Learned(frequent.unionByName(rare).distinct(), starters, pairs, bits, (words, marked) if keep else ())
+    return Learned(frequent.unionByName(rare).distinct(), starters, both, bits, (counts,) if keep else ())
 
 
 def model_of_texts(spark: SparkSession, texts: list[str], least: int = 1) -> S.Model:
