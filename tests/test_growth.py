@@ -55,3 +55,29 @@ def test_sentence_models_move_counts_of_adjoining_words_only(spark):
     by_window = S.adjoining(S.words_of_tokens(tokens))
     assert sorted(map(repr, by_window.collect())) == sorted(map(repr, S.adjoining(words).collect()))
     assert by_window.agg(F.sum("n")).first()[0] == tokens.count()
+
+
+def test_coded_documents_give_the_ids_of_tokens(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import features as X
+
+    monkeypatch.setattr(X, "GROUP_WORDS", 5)
+    rows = [(3, ["b", "a", "b"]), (1, ["c", "a"]), (2, []), (4, None), (None, ["z", "a"]), (5, ["q"] * 9), (6, ["a", "c", "d"])]
+    for rows in (rows, [*rows, (3, ["x", "a"])]):  # the second with an id twice
+        docs = spark.createDataFrame(rows, "doc int, words array<string>").repartition(2)
+        tokens, codes = X.token_table(docs, "doc", "words"), X.coded(docs)
+        assert sorted(X.word_index(codes).collect()) == sorted(X.word_index(tokens).collect())
+        for v in (X.first_seen_vocabulary(codes), X.first_seen_vocabulary(tokens), X.word_index(tokens).where("id < 3")):
+            want = [(r["doc"], sorted(r["ids"])) for r in X.encoded(tokens, v).collect()]
+            assert sorted(((r["doc"], sorted(r["ids"])) for r in X.decoded(codes, v).collect()), key=repr) == sorted(want, key=repr)
+        assert sorted(X.first_seen_vocabulary(codes).collect()) == sorted(X.first_seen_vocabulary(tokens).collect())
+        seqs = X.sequences(codes, X.word_index(codes))
+        plain = seqs.select("doc", F.explode("ids").alias("id")).where("id < 5").groupBy("doc", "id").count()
+        assert sorted(map(repr, (tuple(r) for r in X.sequence_matrix(seqs, "count", 5).select("doc", "id", F.col("value").cast("long")).collect()))) == sorted(map(repr, (tuple(r) for r in plain.collect())))
+
+
+@pytest.mark.parametrize("name", ["keras_count", "keras_tfidf", "vocab_encode", "skipgrams_neg"])
+def test_sequences_do_not_move_each_word(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(regexp_extract_all" not in plan and "CoGroup" in plan

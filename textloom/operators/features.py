@@ -5,14 +5,22 @@ Vectors are sparse long tables until a learner needs them; vocabularies are join
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import stored
 from .ranking import ranked
 from .text import as_column
 
+#: Words that are coded by one list of terms, about.
+GROUP_WORDS = 2_000_000
+
 # Fixed value: characters that split words in the sequence helpers.
 BASE_FILTER = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
@@ -84,7 +92,8 @@ def binary_bag(tokens: DataFrame) -> DataFrame:
 
 
 def first_seen_vocabulary(tokens: DataFrame) -> DataFrame:
-    """term, id: ids from 0 in the order in which terms are first seen (by doc, then pos)."""
+    """term, id: ids from 0 in the order in which terms are first seen (by doc, then pos) in a token table or coded()."""
+    tokens = tokens.where("term is not null") if "code" in tokens.columns else tokens
     first = tokens.groupBy("term").agg(F.min(F.struct("doc", "pos")).alias("at")).select("term", "at.doc", "at.pos")
     return ranked(first, [("doc", F.col("doc"))], [F.col("pos")], "id").select("term", (F.col("id") - 1).alias("id"))
 
@@ -95,6 +104,73 @@ def encoded(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return pairs.select("doc", F.transform("x", lambda x: x["id"]).alias("ids"))
 
 
+def coded(docs: DataFrame) -> DataFrame:
+    """Documents (doc, words) as codes, stored; for vocabularies and sequences that must not move each word.
+
+    Groups of documents of about GROUP_WORDS words have a list of terms each. Rows of two kinds: a document's grp and codes;
+    a term's grp and code, n (how often), docs (in how many documents), and the doc and pos that it is first seen at. Only
+    the terms of groups, far fewer than words, are moved to meet a vocabulary. Documents of one id are put together.
+    """
+    kind = docs.schema["doc"].dataType.simpleString()
+    names = ["grp", "doc", "codes", "term", "code", "n", "docs", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b.column("words").flatten())
+            if size >= GROUP_WORDS:
+                yield from group(grp, pa.Table.from_batches(held))
+                grp, held, size = grp + 1, [], 0
+        if size:
+            yield from group(grp, pa.Table.from_batches(held))
+
+    def group(grp: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.take(pc.sort_indices(rows["doc"], null_placement="at_start"))
+        doc, lists = pa.chunked_array(rows["doc"]).combine_chunks(), pa.chunked_array(rows["words"]).combine_chunks()
+        found = pc.dictionary_encode(lists.flatten())
+        codes, terms = found.indices.to_numpy(zero_copy_only=False), found.dictionary
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.zeros(len(terms), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]  # the last one written is the first seen
+        seen_in, seen = np.divmod(np.unique(owner * np.int64(len(terms)) + codes), np.int64(len(terms)))
+        own = np.bincount(seen[doc.is_valid().to_numpy(zero_copy_only=False)[seen_in]], minlength=len(terms))  # an id that is null counts for none
+        no = lambda n, t: pa.nulls(n, t)
+        n, at = len(doc), owner[first]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, grp)), doc, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32())), no(n, pa.string()), no(n, pa.int32()), no(n, pa.int64()), no(n, pa.int64()), no(n, pa.int32())], names)
+        n = len(terms)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, grp)), doc.take(pa.array(at)), no(n, pa.list_(pa.int32())), terms, pa.array(np.arange(n), pa.int32()), pa.array(np.bincount(codes, minlength=n)), pa.array(own), pa.array(first - ends[at], pa.int32())], names)
+
+    full = docs.select("doc", "words").where(F.size("words") > 0)
+    out = stored(full.mapInArrow(run, f"grp bigint, doc {kind}, codes array<int>, term string, code int, n bigint, docs bigint, pos int"))
+    if out.where("codes is not null").groupBy("doc").count().where("count > 1").limit(1).count():
+        tokens = token_table(full, "doc", "words").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("x"))
+        return coded(tokens.select("doc", F.transform("x", lambda x: x["term"]).alias("words")))
+    return out
+
+
+def decoded(codes: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc, ids of coded() documents, as encoded() has them."""
+    kind = codes.schema["doc"].dataType.simpleString()
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        lists = pa.chunked_array(rows["codes"]).combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        ids = np.full(int(flat.max(initial=-1)) + 1, -1, np.int64)
+        ids[known["code"].to_numpy()] = known["id"].to_numpy()
+        own = ids[flat]
+        left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[own >= 0], minlength=len(sizes))
+        ends = np.concatenate([[0], np.cumsum(left)])
+        out = pa.table({"doc": rows["doc"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own[own >= 0]))})
+        return out.filter(pa.array(left > 0))
+
+    known = codes.where("term is not null").select("grp", "code", "term").join(vocabulary.select("term", "id"), "term").select(F.col("grp").alias("__grp"), "code", "id")
+    docs = codes.where("codes is not null").select("grp", "doc", "codes")
+    return docs.groupBy("grp").cogroup(known.groupBy("__grp")).applyInArrow(run, f"doc {kind}, ids array<bigint>")
+
+
 def sentence_labels(docs: DataFrame, id_col: str, sentences: str, which: tuple[str, ...] = ("sentence", "document"), split: bool = True) -> DataFrame:
     """words, labels: SENT_d_s and DOC_d for each sentence; without split one row a document, its sentences joined."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(sentences).alias("s", "words")) if split else docs.select(F.col(id_col).alias("doc"), F.lit(0).alias("s"), F.flatten(sentences).alias("words"))
@@ -131,14 +207,18 @@ def hashed_ids(column: Column | str, n: int, hash_of: Callable[[Column], Column]
 
 
 def word_index(tokens: DataFrame) -> DataFrame:
-    """term, n, docs, id: ids from 1 by falling frequency, then by word."""
-    stats = tokens.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs")).withColumn("__p", F.substring("term", 1, 1))
+    """term, n, docs, id: ids from 1 by falling frequency, then by word; of a token table or coded()."""
+    if "code" in tokens.columns:
+        stats = tokens.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    else:
+        stats = tokens.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
+    stats = stats.withColumn("__p", F.substring("term", 1, 1))
     return ranked(stats, [("n", F.desc("n")), ("__p", F.col("__p"))], [F.col("term")], "id").select("term", "n", "docs", "id")
 
 
 def sequences(tokens: DataFrame, index: DataFrame, nb_words: int | None = None) -> DataFrame:
-    """doc, ids: known words' ids in order; ids from nb_words on are dropped."""
-    return encoded(tokens, index.where(F.col("id") < nb_words).select("term", "id") if nb_words else index.select("term", "id"))
+    """doc, ids: known words' ids in order; ids from nb_words on are dropped. tokens: a token table or coded()."""
+    return (decoded if "code" in tokens.columns else encoded)(tokens, index.where(F.col("id") < nb_words).select("term", "id") if nb_words else index.select("term", "id"))
 
 
 def id_documents(seqs: DataFrame) -> DataFrame:
@@ -155,7 +235,19 @@ def sequence_matrix(seqs: DataFrame, mode: str, nb_words: int, docs: DataFrame |
         raise ValueError(f"no such mode: {mode}")
     if mode == "tfidf" and (docs is None or n_docs is None):
         raise ValueError("tfidf needs the documents that ids stand in; fit first")
-    cells = seqs.select("doc", F.size("ids").alias("len"), F.explode("ids").alias("id")).where(F.col("id") < nb_words).groupBy("doc", "len", "id").agg(F.count("*").alias("c"))
+    kind = seqs.schema["doc"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's ids are in its row, so that none is moved to be counted."""
+        for b in batches:
+            sizes = pc.fill_null(pc.list_value_length(b.column("ids")), 0).to_numpy(zero_copy_only=False)
+            ids, row = b.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            ids, row = ids[ids < nb_words], row[ids < nb_words]
+            cells, n = np.unique(np.stack([row, ids]), axis=1, return_counts=True) if ids.min(initial=0) < 0 else np.unique(row * np.int64(nb_words) + ids, return_counts=True)
+            row, ids = cells if cells.ndim == 2 else np.divmod(cells, np.int64(nb_words))
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row)), pa.array(sizes[row], pa.int32()), pa.array(ids), pa.array(n)], ["doc", "len", "id", "c"])
+
+    cells = seqs.select("doc", "ids").mapInArrow(count, f"doc {kind}, len int, id bigint, c bigint") if nb_words > 0 else seqs.sparkSession.createDataFrame([], f"doc {kind}, len int, id bigint, c bigint")
     value = {"binary": F.lit(1.0), "count": F.col("c").cast("double"), "freq": F.col("c") / F.col("len")}
     if mode == "tfidf":
         cells = cells.join(docs.withColumnRenamed("docs", "df"), "id", "left").na.fill(0, ["df"])
