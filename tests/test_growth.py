@@ -96,3 +96,33 @@ def test_learners_get_stored_features_without_names(spark, monkeypatch):
     assert len(seen) == 5 and all(len(d.schema.json()) < 1000 for d in seen)
     assert not any("UDF(" in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)
     assert model.transform(rows).where("prediction = label").count() > 350
+
+
+@pytest.mark.parametrize("window", [1, 3, 30])
+def test_cooccurrences_of_documents_are_those_of_sql(spark, monkeypatch, window):
+    from collections import Counter
+
+    from textloom.operators import features as X
+
+    monkeypatch.setattr(X, "GROUP_PAIRS", 12)
+    rows = [(3, ["b", "a", "b", "é", "z", "a"]), (1, ["c", "a"]), (2, []), (4, None), (None, ["x", "a"]), (5, ["q"] * 40), (6, ["𝒳", "c", "￮"]), (7, ["a"]), (3, ["x", "y", "x", "k"]), (3, ["u"]), (7, ["c", None, "c"])]
+    want = Counter()
+    for d, one in rows:  # places of all rows of an id, as a join by the id has them
+        for e, two in rows:
+            if d is not None and d == e:
+                for i, a in enumerate(one or []):
+                    for k, b in enumerate((two or [])[i + 1 : i + 1 + window]):
+                        if a and b:
+                            want[tuple(sorted((a, b), key=str.encode))] += 1 / (k + 1)
+    for deal in (1, 3):
+        docs = spark.createDataFrame(rows, "doc int, words array<string>").repartition(deal)
+        got = {(r["term"], r["other"]): r["weight"] for r in X.cooccurrences(docs, window).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    single = docs.where("doc not in (3, 7) or doc is null")
+    assert sorted(map(tuple, X.cooccurrences(X.token_table(single, "doc", "words"), window).collect())) == sorted(map(tuple, X.cooccurrences(single, window).collect()))
+    assert X.cooccurrences(docs.where("doc > 99"), window).count() == 0
+
+
+def test_cooccurrences_move_packed_sums_only(spark, sf_dir):
+    plan = QUERIES["cooccurrence"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan and "Generate" not in plan
