@@ -89,12 +89,13 @@ def test_learners_get_stored_features_without_names(spark, monkeypatch):
 
     from textloom.operators import classify as C
 
-    rows = spark.range(400).select((F.col("id") % 2).cast("double").alias("label"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("t"), ((F.col("id") % 2) * 7 + F.col("id") * 10 + i).cast("string"))).alias("tokens"))
+    rows = spark.range(400).select((F.col("id") % 2).cast("double").alias("label"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("t"), ((F.col("id") % 2) * 7 + F.col("id") * 10 + i).cast("string"))).alias("tokens")).repartition(9)
     seen, fit = [], LogisticRegression.fit
     monkeypatch.setattr(LogisticRegression, "fit", lambda self, data, params=None: seen.append(data) or fit(self, data, params))
     model = C.search(rows, "lr", features=C.feature_stages(("bow",)), folds=2, values={"regParam": [0.1, 1.0]})
     assert len(seen) == 5 and all(len(d.schema.json()) < 1000 for d in seen)
     assert not any("UDF(" in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)
+    assert all(d.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism for d in seen)
     assert model.transform(rows).where("prediction = label").count() > 350
 
 
