@@ -24,7 +24,7 @@ from .text import as_column
 GROUP_WORDS = 2_000_000
 
 #: Pairs of words that a task adds up at a time, about.
-GROUP_PAIRS = 30_000_000
+GROUP_PAIRS = 8_000_000
 
 #: Classes of terms, by a hash; sums of pairs are dealt over the square of it.
 CELL_SIDE = 20
@@ -341,11 +341,18 @@ def cooccurrences(tokens: DataFrame, window: int = 40) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            held.append(b.column("words"))
-            size += len(held[-1].flatten())
-            if size >= step:
-                yield from group(held)
-                held, size = [], 0
+            words, start = b.column("words"), 0
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            while start < len(ends):
+                before = ends[start - 1] if start else 0
+                end = int(np.searchsorted(ends, before + step - size, side="right"))
+                if end == start and held:  # the next one is too long
+                    yield from group(held)
+                    held, size = [], 0
+                    continue
+                end = max(end, start + 1)
+                held.append(words.slice(start, end - start))
+                size, start = size + ends[end - 1] - before, end
         if size:
             yield from group(held)
 
@@ -361,21 +368,23 @@ def cooccurrences(tokens: DataFrame, window: int = 40) -> DataFrame:
         side = np.fromiter((zlib.crc32(t) % CELL_SIDE for t in terms.cast(pa.binary()).to_pylist()), np.uint16, len(terms))
         bits, n = max(1, len(terms).bit_length()), len(codes)
         for start in range(0, n, step):
-            keys = []
+            keys, size = np.empty(min(step, n - start) * window, np.int64), 0
             for k in range(1, window + 1):
                 end = max(start, min(start + step, n - k))
                 a, b = codes[start:end], codes[start + k : end + k]
                 near = (owner[start:end] == owner[start + k : end + k]) & (np.minimum(a, b) >= 0)
                 a, b = a[near], b[near]
-                keys.append((np.minimum(a, b) << bits | np.maximum(a, b)) << shift | k - 1)
-            keys = np.concatenate(keys)
+                keys[size : size + len(a)] = (np.minimum(a, b) << bits | np.maximum(a, b)) << shift | k - 1
+                size += len(a)
+            keys = keys[:size]
             keys.sort()
-            pairs = keys >> shift
-            first = np.flatnonzero(np.diff(pairs, prepend=-1))
-            if len(first):
-                sums, pairs = np.add.reduceat(shares[keys & ((1 << shift) - 1)], first), pairs[first]
+            if size:
+                first = np.concatenate([[0], np.flatnonzero((keys[1:] ^ keys[:-1]) >> shift) + 1])
+                pairs = keys[first] >> shift
+                keys &= (1 << shift) - 1
+                sums = np.add.reduceat(shares.take(keys, out=keys) if exact else shares[keys], first)
                 del keys, first
-                yield from cells(pairs >> bits, pairs & ((1 << bits) - 1), sums, terms, side)
+                yield from cells((pairs >> bits).astype(np.int32), (pairs & ((1 << bits) - 1)).astype(np.int32), sums, terms, side)
 
     def cells(one: np.ndarray, two: np.ndarray, sums: np.ndarray, terms: pa.Array, side: np.ndarray) -> Iterator[pa.RecordBatch]:
         cell = side[one] * np.uint16(CELL_SIDE) + side[two]
@@ -395,20 +404,28 @@ def cooccurrences(tokens: DataFrame, window: int = 40) -> DataFrame:
                         w.write_batch(packed)
                     yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["cell", "packed"])
 
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, sums = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        keys, sums = keys[order], sums[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[first], np.add.reduceat(sums, first)
+
     def merged(rows: pa.Table) -> pa.Table:
         parts = [pa.ipc.open_stream(x.as_buffer()).read_next_batch() for x in rows["packed"].combine_chunks()]
         take = lambda p, c: p.column(c).flatten()
         found = pc.dictionary_encode(pa.concat_arrays([take(p, "terms") for p in parts]))
-        codes, keys, at = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), [], 0
+        codes, held, at, size, most = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), [], 0, 0, step
         for p in parts:
             own = codes[at : at + len(take(p, "terms"))]
             at += len(own)
-            keys.append(own[np.cumsum(take(p, "one").to_numpy(), dtype=np.int64)] << 32 | own[take(p, "two").to_numpy()])
-        keys, sums = np.concatenate(keys), np.concatenate([take(p, "sums").to_numpy().astype(shares.dtype) for p in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, sums = keys[order], sums[order]
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys, sums = keys[first], np.add.reduceat(sums, first)
+            held.append((own[np.cumsum(take(p, "one").to_numpy(), dtype=np.int64)] << 32 | own[take(p, "two").to_numpy()], take(p, "sums").to_numpy().astype(shares.dtype)))
+            size += len(held[-1][0])
+            if size > most:
+                held = [added(held)]
+                size = len(held[0][0])
+                most = 2 * size + step
+        keys, sums = added(held)
         term, other = (found.dictionary.take(pa.array(c)) for c in (keys >> 32, keys & 0xFFFFFFFF))
         return pa.table({"term": term, "other": other, "weight": sums / unit if exact else sums})
 
